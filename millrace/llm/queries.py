@@ -7,20 +7,60 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import bpe, decontaminate, licenses, merkle_audit, oracles, simhash, url_filter
 from millrace.llm.shared import table
 
+#: The rules of query 9.
+OP9_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op1_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_audit.report(*merkle_audit.page_replicas(table(spark, sf_dir, "pages")))
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), OP9_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_merkle_audit": op1_merkle_audit,
+        "op2_bpe": op2_bpe,
+        "op5_decontaminate": op5_decontaminate,
         "op6_simhash": op6_simhash,
+        "op7_licenses": op7_licenses,
+        "op9_url_filter": op9_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_merkle_audit": oracles.op1(),
+        "op5_decontaminate": oracles.op5(),
+        "op7_licenses": oracles.op7(),
+        "op9_url_filter": oracles.op9(OP9_RULES),
+    }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)
+
+
+def alnum_words(text: Column) -> Column:
+    """Words of digits, letters a-z and characters beyond ASCII, A-Z lower-cased; null text has none."""
+    cut = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return F.filter(cut, lambda w: w != "")
+
+
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def gram_hash(hashes: Column, start: Column, n: int) -> Column:
+    """Hash of the n words from `start` (from 0), out of the words' own hashes."""
+    return F.xxhash64(F.slice(hashes, start + 1, n))
+
+
+def gram_text(words: Column, start: Column, n: Column | int) -> Column:
+    return F.array_join(F.slice(words, start + 1, n), " ")
+
+
+def starts(words: Column, n: int) -> Column:
+    """Positions, from 0, at which n words begin."""
+    return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def in_set(values: list) -> Callable[[Column], Column]:
+    """Membership in a literal set, which Spark sends with the tasks as a hash set."""
+    listed = [F.lit(v) for v in values]
+    return (lambda c: c.isin(listed)) if listed else (lambda c: F.lit(False))
