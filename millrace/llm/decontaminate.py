@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import alnum_words, durable, gram_hash, gram_text, in_set, starts, word_hashes
+from millrace.llm.shared import alnum_words, durable, gram_hash, gram_text, in_set, let, starts, word_hashes
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 10) -> DataFrame:
@@ -38,32 +38,29 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
-def _tokens(docs: DataFrame, text_col: str, keep: list[Column]) -> DataFrame:
-    return docs.select(*keep, alnum_words(F.col(text_col)).alias("__w")).withColumn("__h", word_hashes(F.col("__w")))
+def _hits_in_row(text: Column, grams: list) -> Column:
+    """(n_words, hits) of a text: windows whose hash is in the set, as an array of (start, n, gram)."""
+    sets = {n: in_set([g.hash for g in grams if g.n_words == n]) for n in sorted({g.n_words for g in grams})}
+    none = F.expr("cast(array() as array<struct<start:int,n:int,gram:string>>)")
 
+    def of(n: int, w: Column, h: Column) -> Column:
+        hit = F.filter(starts(w, n), lambda i: sets[n](gram_hash(h, i, n)))
+        return F.transform(hit, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), gram_text(w, i, n).alias("gram")))
 
-def _spans_in_row(grams: list) -> Column:
-    """Verified hits of a row's __w and __h as a sorted array of (start, n)."""
+    def found(w: Column) -> Column:
+        hits = let(word_hashes(w), lambda h: F.concat(none, *[of(n, w, h) for n in sets]))
+        return F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))
 
-    def of(n: int) -> Column:
-        own = [g for g in grams if g.n_words == n]
-        hashed, exact = in_set([g.hash for g in own]), in_set([g.gram for g in own])
-        hit = F.filter(starts(F.col("__w"), n), lambda i: hashed(gram_hash(F.col("__h"), i, n)) & exact(gram_text(F.col("__w"), i, n)))
-        return F.transform(hit, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n")))
+    return let(alnum_words(text), found)
 
-    none = F.expr("cast(array() as array<struct<start:int,n:int>>)")
-    return F.array_sort(F.concat(none, *[of(n) for n in sorted({g.n_words for g in grams})]))
 
+def _all_in_row(text: Column, lengths: list[int]) -> Column:
+    """Every window of a text: array of (start, n, hash, gram)."""
 
-def _hits_by_join(docs: DataFrame, grams: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, text_key, spans, grams) of rows with hits, for windows that are too many to send."""
+    def of(n: int, w: Column, h: Column) -> Column:
+        return F.transform(starts(w, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
 
-    def of(n: int) -> Column:
-        return F.transform(starts(F.col("__w"), n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), gram_hash(F.col("__h"), i, n).alias("hash"), gram_text(F.col("__w"), i, n).alias("gram")))
-
-    cand = docs.select("doc_id", "text_key", F.explode(F.concat(*map(of, lengths))).alias("x")).select("doc_id", "text_key", "x.*")
-    hits = cand.join(grams.select("hash", "gram"), ["hash", "gram"], "left_semi")
-    return hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"), F.collect_set("gram").alias("grams"))
+    return let(alnum_words(text), lambda w: let(word_hashes(w), lambda h: F.concat(*[of(n, w, h) for n in lengths])))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_set: int = 50_000) -> DataFrame:
@@ -75,22 +72,24 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     grams = durable(windows(benchmark, item_col, item_text_col, n))
     few = grams.limit(max_set + 1).count() <= max_set
     keep = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key")]
-    tokens = _tokens(docs, text_col, keep)
-    # Repeated rows travel as one with a count.
-    if few:
-        rows = tokens.select("doc_id", "text_key", F.size("__w").cast("long").alias("n_words"), F.col("__w"), _spans_in_row(grams.select("n_words", "hash", "gram").collect()).alias("spans"))
-        rows = rows.select("doc_id", "text_key", "n_words", "spans", F.array_distinct(F.transform("spans", lambda s: gram_text(F.col("__w"), s["start"], s["n"]))).alias("grams"))
-        once = rows.groupBy("doc_id", "text_key", "n_words", "spans", "grams").agg(F.count("*").cast("int").alias("copies"))
+    text = F.col(text_col)
+    items = grams.select("hash", "gram", "items")
+    if few:  # repeated rows travel as one with a count
+        sets = grams.select("n_words", "hash").collect()
+        rows = docs.select(*keep, _hits_in_row(text, sets).alias("x")).select("doc_id", "text_key", "x.n_words", "x.hits")
+        once = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("copies"))
+        hits = once.select("doc_id", "text_key", "n_words", "copies", F.explode_outer("hits").alias("hit")).select("doc_id", "text_key", "n_words", "copies", "hit.*")
+        checked = hits.join(F.broadcast(items), "gram", "left")
     else:
         lengths = sorted(r.n_words for r in grams.select("n_words").distinct().collect())
-        counted = tokens.groupBy("doc_id", "text_key", F.size("__w").cast("long").alias("n_words")).agg(F.count("*").cast("int").alias("copies"))
-        hits = _hits_by_join(tokens.dropDuplicates(["doc_id", "text_key"]), grams, lengths).withColumnRenamed("doc_id", "__id").withColumnRenamed("text_key", "__key")
-        joined = counted.join(hits, counted.doc_id.eqNullSafe(hits["__id"]) & (counted.text_key == hits["__key"]), "left")
-        none = "cast(array() as array<struct<start:int,n:int>>)"
-        once = joined.select("doc_id", "text_key", "n_words", F.coalesce("spans", F.expr(none)).alias("spans"), F.coalesce("grams", F.expr("cast(array() as array<string>)")).alias("grams"), "copies")
-    items = grams.select("gram", "items")
-    named = once.withColumn("gram", F.explode_outer("grams")).join(F.broadcast(items) if few else items, "gram", "left")
-    out = named.groupBy("doc_id", "text_key", "n_words", "spans", "copies").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        sized = docs.select(*keep, F.size(alnum_words(text)).cast("long").alias("n_words"))
+        counted = sized.groupBy("doc_id", "text_key", "n_words").agg(F.count("*").cast("int").alias("copies")).withColumn("items", F.expr("cast(null as array<string>)"))
+        cand = docs.select(*keep, F.explode(_all_in_row(text, lengths)).alias("x")).select("doc_id", "text_key", "x.*")
+        found = cand.join(items, ["hash", "gram"]).groupBy("doc_id", "text_key", "start", "n").agg(F.first("items").alias("items"))
+        checked = found.unionByName(counted, allowMissingColumns=True)
+    span = F.when(F.col("items").isNotNull(), F.struct("start", "n"))
+    whole = [F.max("n_words").alias("n_words"), F.max("copies").alias("copies")]
+    out = checked.groupBy("doc_id", "text_key").agg(*whole, F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     out = out.select("doc_id", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy"))
     return out.drop("__copy").withColumn("contaminated", F.col("n_hit") > 0)
 
@@ -98,12 +97,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", n: int = 10, max_set: int = 50_000) -> DataFrame:
     """docs without the rows that hold a benchmark window; columns as they came, clean rows untouched."""
     grams = durable(windows(benchmark.withColumn("__item", F.lit(0)), "__item", item_text_col, n))
+    lengths = sorted(r.n_words for r in grams.select("n_words").distinct().collect())
     if grams.limit(max_set + 1).count() <= max_set:
         rows = grams.select("n_words", "hash", "gram").collect()
-        packed = _tokens(docs, text_col, [F.struct(*docs.columns).alias("__row")])
-        return packed.where(F.size(_spans_in_row(rows)) == 0).select("__row.*")
-    keyed = docs.withColumn("__key", F.xxhash64(text_col))
-    lengths = sorted(r.n_words for r in grams.select("n_words").distinct().collect())
-    tokens = _tokens(docs, text_col, [F.lit(0).alias("doc_id"), F.xxhash64(text_col).alias("text_key")]).dropDuplicates(["text_key"])
-    hit = _hits_by_join(tokens, grams, lengths).select(F.col("text_key").alias("__key"))
-    return keyed.join(hit, "__key", "left_anti").select(*docs.columns)
+        listed = F.lit("\n" + "\n".join(sorted(r.gram for r in rows)) + "\n")  # words hold no line feed
+        return docs.where(~F.exists(_hits_in_row(F.col(text_col), rows)["hits"], lambda x: F.contains(listed, F.concat(F.lit("\n"), x["gram"], F.lit("\n")))))
+    if not lengths:
+        return docs
+    cand = docs.select(F.xxhash64(text_col).alias("__key"), F.explode(_all_in_row(F.col(text_col), lengths)).alias("x")).select("__key", "x.hash", "x.gram")
+    hit = cand.join(grams.select("hash", "gram"), ["hash", "gram"], "left_semi").select("__key").distinct()
+    return docs.withColumn("__key", F.xxhash64(text_col)).join(hit, "__key", "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import alnum_words, gram_hash, gram_text, in_set, starts, word_hashes
+from millrace.llm.shared import alnum_words, gram_hash, gram_text, in_set, let, starts, word_hashes
 
 #: The phrases that name a license, and their labels.
 PHRASES = {
@@ -72,15 +72,18 @@ def runs(docs: DataFrame, text_col: str, keep: list[Column], slack: int = 4) ->
     hashes = {k: [h for (h,) in table.where(F.col("k") == k).select(F.xxhash64(word_hashes(F.split("gram", " ")))).distinct().collect()] for k in {t.k for t in known}}
     assert len(grams) < 2_000, "the template table is sent with the tasks"
 
-    tokens = docs.select(*keep, alnum_words(F.col(text_col)).alias("__w")).withColumn("__h", word_hashes(F.col("__w")))
+    sets = {k: in_set(hs) for k, hs in sorted(hashes.items())}
 
-    def hits(k: int) -> Column:
-        inside = in_set(hashes[k])
-        hit = F.filter(starts(F.col("__w"), k), lambda i: inside(gram_hash(F.col("__h"), i, k)))
-        return F.transform(hit, lambda i: F.struct(i.alias("at"), gram_text(F.col("__w"), i, k).alias("gram")))
+    def of(k: int, w: Column, h: Column) -> Column:
+        hit = F.filter(starts(w, k), lambda i: sets[k](gram_hash(h, i, k)))
+        return F.transform(hit, lambda i: F.struct(i.alias("at"), gram_text(w, i, k).alias("gram")))
 
-    names = [c for c in tokens.columns if c not in ("__w", "__h")]
-    rows = tokens.select(*names, F.size("__w").cast("long").alias("n_words"), F.concat(*map(hits, sorted(hashes))).alias("hits"))
+    def hits(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), let(word_hashes(w), lambda h: F.concat(*[of(k, w, h) for k in sets])).alias("hits"))
+
+    rows = docs.select(*keep, let(alnum_words(F.col(text_col)), hits).alias("__x"))
+    names = [c for c in rows.columns if c != "__x"]
+    rows = rows.select(*names, "__x.n_words", "__x.hits")
     once = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("copies"))
     key = [*names, "n_words", "copies"]
 

@@ -53,6 +53,15 @@ def alnum_words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once.
+
+    A lambda variable is out of the optimizer's reach, which would otherwise put the expression
+    for `value` into every lambda that reads it and compute it anew for each element.
+    """
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
