@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, flac, licenses, merkle_audit, oracles, simhash, url_filter
+from millrace.llm import bpe, decontaminate, flac, licenses, merkle_audit, oracles, pii, simhash, url_filter
 from millrace.llm.shared import table
 
 #: The rules of query 9.
@@ -28,6 +28,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digests(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merkle_audit": op1_merkle_audit,
         "op2_bpe": op2_bpe,
+        "op3_pii": op3_pii,
         "op4_flac": op4_flac,
         "op5_decontaminate": op5_decontaminate,
         "op6_simhash": op6_simhash,
