@@ -38,7 +38,7 @@ def default_path() -> str:
 class PieceBpe:
     """A `tokenizers` file of the kind normalise, split by a pattern, map bytes, merge with word ends."""
 
-    def __init__(self, path: str, leaf: int = 1024, keep: int = 150_000):
+    def __init__(self, path: str, leaf: int = 1024, keep: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -50,9 +50,10 @@ class PieceBpe:
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.end = spec["model"].get("end_of_word_suffix") or ""
         bare = spec | {"normalizer": None, "pre_tokenizer": None, "added_tokens": []}
+        self.unmarked = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))  # lower-casing may spell a special token, which is then text
         self.last = Tokenizer.from_str(json.dumps(bare))
         self.inner = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
-        self.leaf, self.keep, self.seen = leaf, keep, {}
+        self.leaf, self.keep, self.seen, self.older = leaf, keep, {}, {}
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of text without special tokens, before bytes are mapped."""
@@ -92,8 +93,24 @@ class PieceBpe:
                 return left[: len(left) - len(l)] + ids + right[len(r) :]
             k *= 2
 
+    def _kept(self, run: str, whole: bool) -> tuple[str, str, int]:
+        """What a run (white space around it, or one piece) becomes. Recent runs are remembered, in two generations of `keep`."""
+        got = self.older.get(run)
+        if got is None:
+            if whole and len(run) <= 64:
+                got = self._named(self.unmarked.encode(run, add_special_tokens=False).ids)
+            else:
+                got = self._of(self.pattern.findall(run) if whole else [run])
+        if len(run) <= 64:
+            if len(self.seen) >= self.keep:
+                self.seen, self.older = {}, self.seen
+            self.seen[run] = got
+        return got
+
     def _of(self, pieces: list[str]) -> tuple[str, str, int]:
-        ids = [i for p in pieces for i in self.piece_ids(p)]
+        return self._named([i for p in pieces for i in self.piece_ids(p)])
+
+    def _named(self, ids: list[int]) -> tuple[str, str, int]:
         return " ".join(map(str, ids)), " ".join(map(self.tok.id_to_token, ids)), len(ids)
 
     def coded(self, text: str | None) -> tuple[list[str], list[str], int]:
@@ -103,26 +120,9 @@ class PieceBpe:
             if self.special and self.special.fullmatch(part):
                 out.append((str(self.tok.token_to_id(part)), part, 1))
             elif _PLAIN.fullmatch(part):  # no piece spans white space: runs between it repeat, and with them their ids
-                seen = self.seen
-                for run in part.lower().split():
-                    got = seen.get(run)
-                    if got is None:
-                        got = self._of(self.pattern.findall(run))
-                        if len(run) <= 64:
-                            if len(seen) >= self.keep:
-                                seen.clear()
-                            seen[run] = got
-                    out.append(got)
+                out += [self.seen.get(run) or self._kept(run, True) for run in part.lower().split()]
             else:
-                for piece in self.pieces(part):
-                    got = self.seen.get(piece)
-                    if got is None:
-                        got = self._of([piece])
-                        if len(piece) <= 64:
-                            if len(self.seen) >= self.keep:
-                                self.seen.clear()
-                            self.seen[piece] = got
-                    out.append(got)
+                out += [self.seen.get(piece) or self._kept(piece, False) for piece in self.pieces(part)]
         out = [x for x in out if x[2]]
         return [x[0] for x in out], [x[1] for x in out], sum(x[2] for x in out)
 

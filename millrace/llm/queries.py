@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, flac, licenses, merkle_audit, oracles, pii, simhash, url_filter
+from millrace.llm import attention_lm, bpe, cotraining, decontaminate, flac, licenses, merkle_audit, oracles, pii, simhash, url_filter
 from millrace.llm.shared import table
 
 #: The rules of query 9.
@@ -50,10 +50,20 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), OP9_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.fit(docs, table(spark, sf_dir, "labels"))
+    return cotraining.score(docs, model).select("doc_id", "p_text", "p_page", "score", "keep")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_merkle_audit": op1_merkle_audit,
@@ -63,7 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_simhash": op6_simhash,
         "op7_licenses": op7_licenses,
+        "op8_attention_lm": op8_attention_lm,
         "op9_url_filter": op9_url_filter,
+        "op10_cotraining": op10_cotraining,
     }
 
 
