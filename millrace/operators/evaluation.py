@@ -106,9 +106,9 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str, ki
     """rows with `score` predicted by models that saw no row of the same group; imputation and class weights are fitted inside the folds too."""
     dealt = rows.withColumn("__fold", fold(F.col(group), folds))
     made = {
-        "forest": lambda: RandomForestClassifier(labelCol=label, weightCol="__w", numTrees=trees, seed=seed),
-        "boosting": lambda: GBTClassifier(labelCol=label, weightCol="__w", maxIter=trees, seed=seed),
-        "logistic": lambda: LogisticRegression(labelCol=label, weightCol="__w", maxIter=50),
+        "forest": lambda: RandomForestClassifier(featuresCol="__x", labelCol=label, weightCol="__w", numTrees=trees, seed=seed),
+        "boosting": lambda: GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=trees, seed=seed),
+        "logistic": lambda: LogisticRegression(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=50),
     }[kind]
     parts = []
     for k in range(folds):
