@@ -7,9 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EARTH_M = 6371008.8
 POINTS = "array<struct<lat:double,lon:double>>"
+#: The same as a type, which needs no session to be made.
+_POINTS = T.ArrayType(T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())]))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
@@ -63,7 +66,7 @@ def circularity(area: Column, length: Column) -> Column:
     return F.when(length > 0, F.abs(area) / (length * length / (4 * math.pi))).otherwise(0.0)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def polyline_encode(tracks: pd.Series) -> pd.Series:
     """Tracks as delta-coded text at five decimals; null stays null."""
 
@@ -85,7 +88,7 @@ def polyline_encode(tracks: pd.Series) -> pd.Series:
     return tracks.map(one, na_action="ignore")
 
 
-@F.pandas_udf(POINTS)
+@F.pandas_udf(_POINTS)
 def polyline_decode(texts: pd.Series) -> pd.Series:
     """The inverse of polyline_encode."""
 
@@ -110,7 +113,7 @@ def polyline_decode(texts: pd.Series) -> pd.Series:
 def simplifier(tolerance_m: float):
     """A function that drops points nearer than the tolerance to the line that stays (Douglas-Peucker, farthest first)."""
 
-    @F.pandas_udf(POINTS)
+    @F.pandas_udf(_POINTS)
     def simplify(tracks: pd.Series) -> pd.Series:
         import numpy as np
 
