@@ -237,25 +237,24 @@ def capped_hist(spark, sf):
     return aggregates.capped_histogram(lines, F.col("k"))
 
 
-_PAIRS = """WITH m AS (SELECT DISTINCT o_custkey AS o, l_partkey % 200 AS e FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT o, count(*) AS n FROM m GROUP BY o)
-SELECT a, b, k / (x.n + y.n - k) AS similarity FROM (SELECT p.o AS a, q.o AS b, count(*) AS k FROM m p JOIN m q ON p.e = q.e AND p.o < q.o GROUP BY ALL) JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE k / (x.n + y.n - k) >= 0.25"""
+_PAIRS = """WITH m AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS e FROM lineitem), n AS (SELECT o, count(*) AS n FROM m GROUP BY o)
+SELECT a, b, k / (x.n + y.n - k) AS similarity FROM (SELECT p.o AS a, q.o AS b, count(*) AS k FROM m p JOIN m q ON p.e = q.e AND p.o < q.o GROUP BY ALL) JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE k / (x.n + y.n - k) >= 0.5"""
 
 
 def _pairs(spark, sf):
-    lines = _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") % 200).alias("e"))
-    members = _t(spark, sf, "orders").select("o_orderkey", "o_custkey").join(lines, "o_orderkey")
-    return sets.jaccard_pairs(members, "o_custkey", "e", 0.25)
+    return sets.jaccard_pairs(_t(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey", 0.5)
 
 
 @query(_PAIRS)
 def jaccard_pairs(spark, sf):
+    """Orders of like parts. Parts grow with the orders, so what meets at one part does not."""
     return _pairs(spark, sf)
 
 
 @query()
 def medoid_clusters(spark, sf):
-    """Clusters of customers that buy alike. A greedy iteration, which SQL can't express; tested against the one-by-one order."""
-    nodes = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    """Clusters of orders of like parts. A greedy iteration, which SQL can't express; tested against the one-by-one order."""
+    nodes = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
     return clusters.medoid_clusters(nodes, _pairs(spark, sf)).select("id", "seed")
 
 
