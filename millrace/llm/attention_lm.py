@@ -8,8 +8,10 @@ counts of all training texts give the id within its class. Windows overlap by ha
 id is scored once, in the window that shows it most context; windows of many texts go through
 masked attention as one batch.
 
-Attention weights are fitted on at most `max_windows` windows; classes, in-class
-probabilities and word counts are those of all training texts.
+Attention weights are learnt from every window of all training texts, as classes, in-class
+probabilities and word counts are: a start is fitted on about `max_windows` windows, drawn
+evenly from all, then in each of `rounds` rounds every task goes on from the same weights
+over its share of the windows, and the tasks' weights are averaged by their windows.
 """
 
 from __future__ import annotations
@@ -106,39 +108,56 @@ class AttentionLm:
         z -= z.max(axis=2, keepdims=True)
         return np.take_along_axis(z, target[:, :, None], axis=2)[:, :, 0] - np.log(np.exp(z).sum(axis=2))
 
-    def fit(self, cls: np.ndarray, ids: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 48, rate: float = 0.01, seed: int = 7) -> AttentionLm:
-        """Adam on windows (n, window) of input classes and ids and target classes."""
-        rng, p = np.random.default_rng(seed), self.p
-        m, v2 = {n: np.zeros_like(w) for n, w in p.items()}, {n: np.zeros_like(w) for n, w in p.items()}
-        root = math.sqrt(self.dim)
+    def gradients(self, c: np.ndarray, i: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss over the targets that `real` marks."""
+        p, root = self.p, math.sqrt(self.dim)
+        x, q, k, v, a, h = self._forward(c, i)
+        z = h @ p["out"] + p["bias"]
+        d = np.exp(z - z.max(axis=2, keepdims=True))
+        d /= d.sum(axis=2, keepdims=True)
+        np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], axis=2) - 1, axis=2)
+        d *= (real / np.float32(max(1, real.sum())))[:, :, None]
+        flat = lambda u: u.reshape(-1, u.shape[-1])
+        g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
+        dh = flat(d) @ p["out"].T
+        dh = dh.reshape(h.shape)
+        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.float32(root)
+        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+        dx = dh + (flat(dq) @ p["q"].T + flat(dk) @ p["k"].T + flat(dv) @ p["v"].T).reshape(h.shape)
+        g |= {n: flat(x).T @ flat(u) for n, u in (("q", dq), ("k", dk), ("v", dv))}
+        g["pos"] = dx.sum(axis=0)
+        for n, rows in (("cls", c), ("ids", i % self.HASHED)):
+            at = (rows.reshape(-1, 1) * self.dim + np.arange(self.dim)).ravel()
+            g[n] = np.bincount(at, dx.ravel(), p[n].size).reshape(p[n].shape).astype(np.float32)
+        return g
+
+    def fit(self, cls: np.ndarray, ids: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 48, rate: float = 0.01, seed: int = 7, real: np.ndarray | None = None) -> AttentionLm:
+        """Adam on windows (n, window) of input classes and ids and target classes, and which targets count (all by default)."""
+        rng, adam = np.random.default_rng(seed), Adam(self)
+        real = np.ones(target.shape, bool) if real is None else real
         for t in range(1, steps + 1 if len(cls) else 1):
             rows = rng.integers(0, len(cls), min(batch, len(cls)))
-            c, i, y = cls[rows], ids[rows] % self.HASHED, target[rows]
-            x, q, k, v, a, h = self._forward(c, i)
-            z = h @ p["out"] + p["bias"]
-            d = np.exp(z - z.max(axis=2, keepdims=True))
-            d /= d.sum(axis=2, keepdims=True)
-            np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], axis=2) - 1, axis=2)
-            d /= y.size
-            flat = lambda u: u.reshape(-1, u.shape[-1])
-            g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
-            dh = d @ p["out"].T
-            da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-            ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / root
-            dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-            dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-            g |= {n: flat(x).T @ flat(u) for n, u in (("q", dq), ("k", dk), ("v", dv))}
-            g |= {"pos": dx.sum(axis=0), "cls": np.zeros_like(p["cls"]), "ids": np.zeros_like(p["ids"])}
-            np.add.at(g["cls"], c.ravel(), flat(dx))
-            np.add.at(g["ids"], i.ravel(), flat(dx))
-            lr = rate * min(1.0, 2 * (1 - t / (steps + 1)))
-            for n in p:
-                m[n] = 0.9 * m[n] + 0.1 * g[n]
-                v2[n] = 0.99 * v2[n] + 0.01 * g[n] ** 2
-                p[n] -= (lr * (m[n] / (1 - 0.9**t)) / (np.sqrt(v2[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            adam.step(self.gradients(cls[rows], ids[rows], target[rows], real[rows]), rate * min(1.0, 2 * (1 - t / (steps + 1))))
         return self
 
 
+class Adam:
+    """Running moments of a net's gradients."""
+
+    def __init__(self, net: AttentionLm):
+        self.p, self.t = net.p, 0
+        self.m, self.v = {n: np.zeros_like(w) for n, w in net.p.items()}, {n: np.zeros_like(w) for n, w in net.p.items()}
+
+    def step(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.t += 1
+        t, m, v, p = self.t, self.m, self.v, self.p
+        for n in p:
+            m[n] = 0.9 * m[n] + 0.1 * g[n]
+            v[n] = 0.99 * v[n] + 0.01 * g[n] ** 2
+            p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+
+
 class SubwordModel(NamedTuple):
     net: AttentionLm
     cls: np.ndarray  # of each subword id
@@ -247,60 +266,150 @@ def _classes(counts: np.ndarray, classes: int) -> np.ndarray:
     return out
 
 
-def learn(docs: DataFrame, path: str, hot: int, classes: int, window: int, max_windows: int) -> tuple:
+def _cut(seq: np.ndarray, window: int) -> np.ndarray:
+    """A text's ids between two ends as windows (n, window + 1) that share only their edge ids, so that each id is a target once; -1 fills the last."""
+    n = len(seq) - 1
+    at = np.arange(-(-n // window))[:, None] * window + np.arange(window + 1)
+    return np.where(at <= n, seq[np.minimum(at, n)], -1)
+
+
+def _lesson(rows: np.ndarray, cls: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Input classes and ids, target classes, and which targets are real, of windows from _cut."""
+    ids = np.where(rows < 0, end, rows)
+    return cls[ids[:, :-1]], ids[:, :-1], cls[ids[:, 1:]], rows[:, 1:] >= 0
+
+
+def _drawn(draw: int, n: int, rate: int) -> np.ndarray:
+    """Which of a text's n windows are in a sample of rate / 2^30 of all windows."""
+    z = (np.uint64(draw << 32) + np.arange(n, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z >> np.uint64(34)) < np.uint64(rate)
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int, pick) -> Iterator[np.ndarray]:
+    """Windows of each text of (ids, draw) that pick(draw, their number) marks."""
+    for b in batches:
+        ids, draws = b.column(0), b.column(1).to_pylist()
+        values, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
+        for lo, hi, draw in zip(cuts[:-1], cuts[1:], draws):
+            rows = _cut(values[lo:hi].astype(np.int64), window)
+            yield rows[pick(draw, len(rows))]
+
+
+def _round(texts: DataFrame, model: SubwordModel, window: int, turn: int, rounds: int, rate: float, batch: int) -> None:
+    """One round of learning: the windows of this turn in all partitions; model.net gets the mean of the tasks' weights.
+
+    Weights are summed as whole numbers, so that the order of the sum doesn't matter. What a task
+    sends, and what the driver gets, is of fixed size.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(model)
+    unit = float(1 << 20)
+    slots = {n: w.shape for n, w in model.net.p.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        net = AttentionLm(1, window)
+        net.dim, net.p = known.net.dim, {n: w.copy() for n, w in known.net.p.items()}
+        adam, held, size, seen = Adam(net), [], 0, 0
+
+        def learnt(least: int) -> None:
+            nonlocal held, size
+            rows = np.concatenate(held)
+            lo = 0
+            while len(rows) - lo >= least:
+                adam.step(net.gradients(*_lesson(rows[lo : lo + batch], known.cls, known.end)), rate)
+                lo += batch
+            held, size = [rows[lo:]], max(0, len(rows) - lo)
+
+        for rows in _windows(batches, window, lambda draw, n: (draw + np.arange(n)) % rounds == turn):
+            held.append(rows)
+            size += len(rows)
+            seen += len(rows)
+            if size >= 4 * batch:
+                learnt(batch)
+        if size:
+            learnt(1)
+        if seen:
+            flat = np.concatenate([net.p[n].ravel() for n in slots]).astype(np.float64)
+            values = np.r_[seen, np.rint(flat * unit).astype(np.int64) * seen]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], ["slot", "v"])
+
+    got = texts.mapInArrow(run, "slot int, v long").groupBy("slot").agg(F.sum("v").alias("v")).toArrow()  # one row per weight
+    sent.unpersist()
+    if not got.num_rows:
+        return
+    values = got.column(1).to_numpy()[np.argsort(got.column(0).to_numpy())]
+    flat, lo = (values[1:] / values[0] / unit).astype(np.float32), 0
+    for n, shape in slots.items():
+        model.net.p[n] = flat[lo : lo + math.prod(shape)].reshape(shape)
+        lo += math.prod(shape)
+
+
+def learn(docs: DataFrame, path: str, hot: int, classes: int, window: int, max_windows: int, rounds: int = 2, rate: float = 0.004, batch: int = 64) -> tuple:
     """Word counts (a stored table), N, V, the hot words, and the fitted subword model. docs: doc_id, text, held."""
     train = docs.where("not held").select("doc_id", "text")
-    n_train = max(1, train.count())
     grain = 1 << 30
-    rate = min(grain, max_windows // 2 * grain // n_train)
     flagged = train.select("text", F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(grain)).alias("draw"))
     size, end = subwords(path).size, subwords(path).end
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, words, subs = subwords(path), Counter(), np.zeros(size, np.int64)
+        names = ["word", "n", "ids", "draw", "windows"]
+
+        def rows(n: int, word=None, count=None, ids=None, draw=None, windows=None) -> pa.RecordBatch:
+            types = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip((word, count, ids, draw, windows), types)], names)
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()), pa.nulls(len(words), pa.list_(pa.int64()))], ["word", "n", "ids"])
+            out = rows(len(words), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()))
             words.clear()
             return out
 
-        for b in batches:
-            samples = []
-            for t, draw in zip(b.column(0), b.column(1)):
-                t, draw = t.as_py(), draw.as_py()
-                words.update(words_of(t))
-                ids = coder.ids(t)
-                np.add.at(subs, ids, 1)
-                subs[end] += 1
-                if draw < rate:  # up to two windows from places that the draw names
-                    seq = np.r_[end, ids, end]
-                    for k in range(2):
-                        at = (draw * (2 * k + 1)) % max(1, len(seq) - window)
-                        part = seq[at : at + window + 1]
-                        samples.append(np.r_[part, np.full(window + 1 - len(part), end)].tolist())
+        for whole in batches:
+            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
+                seqs = []
+                for t in b.column(0):
+                    t = t.as_py()
+                    words.update(words_of(t))
+                    ids = coder.ids(t)
+                    np.add.at(subs, ids, 1)
+                    subs[end] += 1
+                    seqs.append(np.r_[end, ids, end].astype(np.int32))
+                sizes = np.array([len(q) for q in seqs])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(seqs)))
+                yield rows(len(seqs), ids=lists, draw=b.column(1), windows=pa.array(-(-(sizes - 1) // window), pa.int64()))
                 if len(words) > 300_000:
                     yield flush()
-            if samples:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(samples), pa.string()), pa.nulls(len(samples), pa.int64()), pa.array(samples, pa.list_(pa.int64()))], ["word", "n", "ids"])
         yield flush()
         used = np.flatnonzero(subs)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.string()), pa.array(subs[used]), pa.array([[int(u)] for u in used], pa.list_(pa.int64()))], ["word", "n", "ids"])
+        yield rows(len(used), count=pa.array(subs[used]), draw=pa.array(used, pa.int64()))
 
-    seen = stored(flagged.mapInArrow(count, "word string, n long, ids array<long>"), "lm-counts")
+    seen = stored(flagged.mapInArrow(count, "word string, n long, ids array<int>, draw long, windows long"), "lm-counts")
     counts = durable(seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()
     hot_words = dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist()))
 
     freq = np.zeros(size, np.int64)
-    subs = seen.where("word is null and n is not null").groupBy(F.element_at("ids", 1).alias("id")).agg(F.sum("n").alias("n")).toArrow()  # at most one row per id of the vocabulary
+    subs = seen.where("word is null and n is not null").groupBy(F.col("draw").alias("id")).agg(F.sum("n").alias("n")).toArrow()  # at most one row per id of the vocabulary
     freq[subs.column(0).to_numpy()] = subs.column(1).to_numpy()
     cls = _classes(freq, classes)
     mass = np.bincount(cls, weights=freq + 1.0, minlength=classes)
-    rows = seen.where("word is null and n is null").select("ids").toArrow().column(0).to_pylist()  # about max_windows
-    sample = np.array(sorted(rows), np.int64).reshape(-1, window + 1)
-    net = AttentionLm(classes, window).fit(cls[sample[:, :-1]], sample[:, :-1], cls[sample[:, 1:]])
-    model = SubwordModel(net, cls, np.log10((freq + 1.0) / mass[cls]), end, path)
+
+    texts = seen.where("windows is not null").select("ids", "draw")
+    n_windows = seen.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    share = min(grain, max_windows * grain // max(1, n_windows))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _windows(batches, window, lambda d, n: _drawn(d, n, share)):
+            if len(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(rows.tolist(), pa.list_(pa.int64()))], ["ids"])
+
+    first = texts.mapInArrow(draw, "ids array<long>").toArrow().column(0).to_pylist() if share else []  # about max_windows
+    x, i, y, real = _lesson(np.array(sorted(first), np.int64).reshape(-1, window + 1), cls, end)
+    model = SubwordModel(AttentionLm(classes, window).fit(x, i, y, real=real), cls, np.log10((freq + 1.0) / mass[cls]), end, path)
+    for turn in range(rounds):
+        _round(texts, model, window, turn, rounds, rate / (turn + 1), batch)
     return counts, total, distinct, hot_words, model
 
 

@@ -92,3 +92,23 @@ def test_subwords_lose_nothing():
     for t in ("Hello, world's!", "", "a \u3000\x85 é\n\n  b" * 9, "y" * 100_000, "12.5%\t漢字🙂"):
         assert coder.coder.decode(coder.ids(t).tolist()) == t
     assert coder.ids(None).tolist() == []
+
+
+def test_weights_come_from_all_training_texts(spark):
+    """Without a sample to start from, what the weights know comes from the rounds over all windows."""
+    docs = spark.createDataFrame([(d, " ".join(f"w{(d + k) % 9} and" for k in range(60 + d % 50))) for d in range(3000)], "doc_id long, text string").coalesce(1)
+    held = {r.doc_id: r.score for r in attention_lm.score(docs, max_windows=0).collect() if r.held_out}
+    coder = attention_lm.subwords(attention_lm.default_path())
+    ids = {r.doc_id: np.r_[coder.ids(r.text), coder.end] for r in docs.collect()}
+    freq = sum(np.bincount(v, minlength=coder.size) for d, v in ids.items() if d not in held)
+    unigram = np.log10((freq + 1) / (freq.sum() + coder.size))
+    assert sum(held.values()) > sum(unigram[ids[d]].sum() for d in held)
+
+
+def test_windows_hold_each_target_once():
+    for n in (2, 3, 8, 9, 10, 17, 40):
+        rows = attention_lm._cut(np.arange(n), 8)
+        y = rows[:, 1:]
+        assert y[y >= 0].tolist() == list(range(1, n))
+    share = np.mean([attention_lm._drawn(d * 7919, 200, (1 << 30) // 10).mean() for d in range(200)])
+    assert 0.09 < share < 0.11
