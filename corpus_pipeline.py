@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, cotraining, decontaminate, pii, simhash
+from millrace.llm import bpe, cotraining, decontaminate, neardup, pii
 from millrace.llm.shared import stored, table
 
 
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: that of the smallest id. Links are five-word shingle sets of similarity 0.8 or more."""
+    return neardup.keep_one(docs, least=0.8, width=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup by shingle sets", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("PII", personal_data),
     ("BPE encoding and decoding", encoding),
