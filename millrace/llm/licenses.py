@@ -90,12 +90,17 @@ def runs(docs: DataFrame, text_col: str, keep: list[Column], slack: int = 4) ->
     votes = once.select(*key, F.explode_outer("hits").alias("hit")).select(*key, "hit.*")
     voted = votes.join(F.broadcast(table), "gram", "left").withColumn("diagonal", F.col("at") - F.col("t_at"))
     lanes = voted.groupBy(*key, "template", "diagonal").agg(F.count("template").alias("votes"), F.min("at").alias("start"), F.max("at").alias("last"))
-    order = W.partitionBy(*key, "template").orderBy("start", "diagonal")
+    band = W.partitionBy(*key, "template").orderBy("diagonal")
+    order = W.partitionBy(*key, "template", "band").orderBy("start", "diagonal")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
     about = docs.sparkSession.createDataFrame([(n, t.label, t.k, len(t.words) - t.k + 1, t.share, t.base) for n, t in enumerate(known)], "template int, label string, k int, grams int, share double, base boolean")
     lanes = lanes.join(F.broadcast(about), "template", "left")
-    apart = F.col("base") | (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > slack) | (F.col("start") - F.lag("last").over(order) > slack + F.col("k"))
+    # Lanes whose diagonals follow each other within the slack are one band; only those are cut at gaps in the text, so that lanes far off between two true ones don't part them.
+    lanes = lanes.withColumn("far", F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(band) > slack), F.lit(True)).cast("int"))
+    lanes = lanes.withColumn("band", F.sum("far").over(band))
+    apart = F.col("start") - F.max("last").over(before) > slack + F.col("k")
     runs_ = lanes.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
-    merged = runs_.groupBy(*key, "template", "label", "grams", "share", "base", "run").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), (F.max("last") + F.first("k")).alias("stop"))
+    merged = runs_.groupBy(*key, "template", "label", "grams", "share", "base", "band", "run").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), (F.max("last") + F.first("k")).alias("stop"))
     score = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
     merged = merged.withColumn("score", score)
     real = (F.col("score") >= F.col("share")) & F.col("template").isNotNull()
