@@ -19,33 +19,44 @@ def op1() -> str:
     levels, below = [], "leaves"
     for n, width in enumerate((1 << 16, 1 << 19, 1 << 22, None)):
         place = f"(pos // {width}) * {width}" if width else "CAST(0 AS BIGINT)"
-        levels.append(f"l{n} AS (SELECT side, archive, pos, sha256(string_agg(CAST(c AS VARCHAR) || ':' || hash, ',' ORDER BY c)) AS hash FROM (SELECT side, archive, {place} AS pos, pos AS c, hash FROM {below}) GROUP BY side, archive, pos)")
+        levels.append(f"l{n} AS (SELECT side, archive, pos, sha256(string_agg(CAST(c AS VARCHAR) || ':' || hash, ',' ORDER BY c, hash)) AS hash FROM (SELECT side, archive, {place} AS pos, pos AS c, hash FROM {below}) GROUP BY side, archive, pos)")
         below = f"l{n}"
     return f"""
 WITH recs AS (
-  SELECT page_id AS key, rec, CASE WHEN page_id % 101 = 7 THEN 'w' || substr(rec, 2)
-    WHEN page_id % 211 = 11 THEN substr(rec, 1, length(rec) - 1) ELSE rec END AS other
+  SELECT page_id AS key, rec, CASE WHEN page_id % 2003 = 5 THEN NULL WHEN page_id % 101 = 7 THEN 'w' || substr(rec, 2)
+    WHEN page_id % 1009 = 11 THEN substr(rec, 1, length(rec) - 1) ELSE rec END AS other
   FROM (SELECT page_id, {head} AS rec FROM pages)),
-sized AS (SELECT key, CAST(octet_length(encode(rec)) AS BIGINT) AS len, sha256(rec) AS h, sha256(other) AS h2 FROM recs),
+sized AS (
+  SELECT key, len, h, len2, h2, count(*) AS copies, CASE WHEN key IS NULL THEN 'n' || h[1:4] ELSE 'k' || CAST(CAST(floor(key / 512) AS BIGINT) AS VARCHAR) END AS home
+  FROM (SELECT key, CAST(octet_length(encode(rec)) AS BIGINT) AS len, sha256(rec) AS h, CAST(octet_length(encode(other)) AS BIGINT) AS len2, sha256(other) AS h2 FROM recs)
+  GROUP BY key, len, h, len2, h2),
+shared AS (SELECT *, CAST(ceil(count(*) OVER (PARTITION BY home) / 2048) AS BIGINT) AS shards FROM sized),
+placed AS (SELECT *, home || CASE WHEN shards > 1 THEN '.' || CAST(CAST('0x' || h[5:11] AS BIGINT) % shards AS VARCHAR) ELSE '' END AS archive FROM shared),
 laid AS (
-  SELECT key, len, h, h2, CAST(floor(key / 512) AS BIGINT) AS archive,
-    CAST(coalesce(sum(len) OVER (PARTITION BY floor(key / 512) ORDER BY key, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
-  FROM sized),
+  SELECT *, CAST(coalesce(sum(len * copies) OVER o, 0) AS BIGINT) AS off, CAST(coalesce(sum(len2 * copies) OVER o, 0) AS BIGINT) AS off2
+  FROM placed WINDOW o AS (PARTITION BY archive ORDER BY key NULLS FIRST, h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 sides AS (
-  SELECT 'a' AS side, archive, off, len, key, h FROM laid
-  UNION ALL SELECT 'b', archive, off, len, key, h2 FROM laid WHERE NOT coalesce(key % 307 = 5, false)),
-leaves AS (SELECT side, archive, off AS pos, sha256(off || ':' || len || ':1:' || h) AS hash FROM sides),
+  SELECT 'a' AS side, archive, off, len, copies, key, h FROM laid
+  UNION ALL SELECT 'b', archive, off2, len2, copies, key, h2 FROM laid WHERE h2 IS NOT NULL),
+leaves AS (SELECT side, archive, off AS pos, sha256(off || ':' || len || ':' || copies || ':' || h) AS hash FROM sides),
 {", ".join(levels)},
+odd AS (
+  SELECT *, row_number() OVER (PARTITION BY side, archive, key ORDER BY off, h) AS nth FROM sides x
+  WHERE NOT EXISTS (SELECT 1 FROM sides y WHERE y.side <> x.side AND y.archive = x.archive AND y.off = x.off AND y.len = x.len AND y.copies = x.copies AND y.h = x.h)),
 bad AS (
-  SELECT x.archive, x.off, (CASE WHEN y.h IS NULL THEN 'missing' ELSE 'changed' END) || ':' || x.key || ':' || x.off AS name
-  FROM sides x LEFT JOIN sides y ON y.side = 'b' AND y.archive = x.archive AND y.off = x.off
-  WHERE x.side = 'a' AND y.h IS DISTINCT FROM x.h)
-SELECT s.archive, s.n_records, s.n_bytes, a.hash AS root_ours, b.hash AS root_theirs,
-  coalesce(d.n, 0) AS n_damaged, coalesce(d.names, '') AS damaged
-FROM (SELECT archive, count(*) AS n_records, CAST(sum(len) AS BIGINT) AS n_bytes FROM laid GROUP BY archive) s
+  SELECT coalesce(x.archive, y.archive) AS archive, coalesce(x.off, y.off) AS off, coalesce(x.key, y.key) AS key,
+    CASE WHEN y.h IS NULL THEN 'missing' WHEN x.h IS NULL THEN 'extra' WHEN x.len = y.len AND x.copies = y.copies AND x.h = y.h THEN 'moved' ELSE 'changed' END AS kind
+  FROM (FROM odd WHERE side = 'a') x FULL JOIN (FROM odd WHERE side = 'b') y ON y.archive = x.archive AND y.key IS NOT DISTINCT FROM x.key AND y.nth = x.nth),
+named AS (SELECT archive, off, kind, kind || ':' || coalesce(CAST(key AS VARCHAR), '') || ':' || off AS name FROM bad)
+SELECT s.archive, CAST(s.n_records AS BIGINT) AS n_records, s.n_bytes, a.hash AS root_ours, b.hash AS root_theirs,
+  coalesce(d.n, 0) AS n_damaged, coalesce(d.moved, 0) AS n_moved, coalesce(d.names, '') AS damaged
+FROM (SELECT archive, sum(copies) AS n_records, CAST(sum(len * copies) AS BIGINT) AS n_bytes FROM laid GROUP BY archive) s
 JOIN l3 a ON a.side = 'a' AND a.archive = s.archive
 LEFT JOIN l3 b ON b.side = 'b' AND b.archive = s.archive
-LEFT JOIN (SELECT archive, count(*) AS n, string_agg(name, ',' ORDER BY off) AS names FROM bad GROUP BY archive) d ON d.archive = s.archive"""
+LEFT JOIN (
+  SELECT archive, count(*) FILTER (WHERE kind <> 'moved') AS n, count(*) FILTER (WHERE kind = 'moved') AS moved,
+    string_agg(name, ',' ORDER BY off, name) FILTER (WHERE kind <> 'moved') AS names
+  FROM named GROUP BY archive) d ON d.archive = s.archive"""
 
 
 def op5() -> str:
