@@ -1,9 +1,9 @@
-"""Benchmark decontamination: a hash set of test n-grams against the windows of training texts.
+"""Benchmark decontamination: a broadcast hash set of test n-grams against the windows of training texts.
 
-Benchmark texts become word windows. Up to `max_set` distinct windows travel with the tasks
-as a hash set of 64-bit hashes; a document's windows are tested inside its own row, hits are
-verified against the windows' words, and only hits leave the row. A larger benchmark is
-joined by shuffle instead, with the same result. DataFrame functions only.
+Benchmark texts become word windows, with a 64-bit hash each. A document's windows are made
+inside its own row and meet the set in a broadcast hash join; hits are verified against the
+windows' words, and only hits go on. A set beyond a stated number of bytes is cut by hash and
+its parts are broadcast one after the other: one method at every size. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import alnum_words, durable, gram_hash, gram_text, in_set, let, starts, word_hashes
+from millrace.llm.shared import alnum_words, durable, stored, window_hits, word_hashes
+
+#: What tells rows of one id apart.
+_KEY = "text_key"
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = 10) -> DataFrame:
-    """(gram, n_words, hash, items): each distinct window with the sorted ids of the items that have it.
+    """(gram, n, hash, items): each distinct window with the sorted ids of the items that have it.
 
     A window is n consecutive words; an item of fewer, but not none, is one window. Items
     without an id mark words like others but are not listed.
@@ -23,8 +26,8 @@ def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     words = benchmark.select(F.col(id_col).cast("string").alias("item"), alnum_words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     at = F.when(F.size("w") >= n, F.sequence(F.lit(0), F.size("w") - n)).otherwise(F.array(F.lit(0)))
     grams = words.select("item", F.explode(F.transform(at, lambda i: F.slice("w", i + 1, n))).alias("g"))
-    named = grams.select("item", F.array_join("g", " ").alias("gram"), F.size("g").alias("n_words"), F.xxhash64(word_hashes(F.col("g"))).alias("hash"))
-    return named.groupBy("gram", "n_words", "hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = grams.select("item", F.array_join("g", " ").alias("gram"), F.size("g").alias("n"), F.xxhash64(word_hashes(F.col("g"))).alias("hash"))
+    return named.groupBy("gram", "n", "hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def _covered(spans: Column) -> Column:
@@ -38,72 +41,31 @@ def _covered(spans: Column) -> Column:
     return F.aggregate(spans, zero, add, lambda acc: acc["n"])
 
 
-def _hits_in_row(text: Column, grams: list) -> Column:
-    """(n_words, hits) of a text: windows whose hash is in the set, as an array of (start, n, gram)."""
-    sets = {n: in_set([g.hash for g in grams if g.n_words == n]) for n in sorted({g.n_words for g in grams})}
-    none = F.expr("cast(array() as array<struct<start:int,n:int,gram:string>>)")
-
-    def of(n: int, w: Column, h: Column) -> Column:
-        hit = F.filter(starts(w, n), lambda i: sets[n](gram_hash(h, i, n)))
-        return F.transform(hit, lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), gram_text(w, i, n).alias("gram")))
-
-    def found(w: Column) -> Column:
-        hits = let(word_hashes(w), lambda h: F.concat(none, *[of(n, w, h) for n in sets]))
-        return F.struct(F.size(w).cast("long").alias("n_words"), hits.alias("hits"))
-
-    return let(alnum_words(text), found)
-
-
-def _all_in_row(text: Column, lengths: list[int]) -> Column:
-    """Every window of a text: array of (start, n, hash, gram)."""
-
-    def of(n: int, w: Column, h: Column) -> Column:
-        return F.transform(starts(w, n), lambda i: F.struct(i.alias("start"), F.lit(n).alias("n"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
-
-    return let(alnum_words(text), lambda w: let(word_hashes(w), lambda h: F.concat(*[of(n, w, h) for n in lengths])))
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_set: int = 50_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, max_bytes: int = 64 << 20) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated.
 
     n_hit counts words inside any occurrence of a window, items those with occurring windows.
-    Null and empty texts have no words and no hits. Rows without an id are scanned too.
+    Null and empty texts have no words and no hits. Rows without an id are scanned too, repeated rows
+    come back as often as they came, and an empty benchmark marks nothing.
     """
     grams = durable(windows(benchmark, item_col, item_text_col, n))
-    few = grams.limit(max_set + 1).count() <= max_set
-    keep = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key")]
-    text = F.col(text_col)
-    items = grams.select("hash", "gram", "items")
-    if few:  # repeated rows travel as one with a count
-        sets = grams.select("n_words", "hash").collect()
-        rows = docs.select(*keep, _hits_in_row(text, sets).alias("x")).select("doc_id", "text_key", "x.n_words", "x.hits")
-        once = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("copies"))
-        hits = once.select("doc_id", "text_key", "n_words", "copies", F.explode_outer("hits").alias("hit")).select("doc_id", "text_key", "n_words", "copies", "hit.*")
-        checked = hits.join(F.broadcast(items), "gram", "left")
-    else:
-        lengths = sorted(r.n_words for r in grams.select("n_words").distinct().collect())
-        sized = docs.select(*keep, F.size(alnum_words(text)).cast("long").alias("n_words"))
-        counted = sized.groupBy("doc_id", "text_key", "n_words").agg(F.count("*").cast("int").alias("copies")).withColumn("items", F.expr("cast(null as array<string>)"))
-        cand = docs.select(*keep, F.explode(_all_in_row(text, lengths)).alias("x")).select("doc_id", "text_key", "x.*")
-        found = cand.join(items, ["hash", "gram"]).groupBy("doc_id", "text_key", "start", "n").agg(F.first("items").alias("items"))
-        checked = found.unionByName(counted, allowMissingColumns=True)
-    span = F.when(F.col("items").isNotNull(), F.struct("start", "n"))
-    whole = [F.max("n_words").alias("n_words"), F.max("copies").alias("copies")]
-    out = checked.groupBy("doc_id", "text_key").agg(*whole, F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    keys = [F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias(_KEY)]
+    hits = window_hits(docs, keys, F.col(text_col), grams, max_bytes)
+    span = F.when(F.col("start") >= 0, F.struct("start", "n"))
+    whole = [F.max("n_words").alias("n_words"), F.count(F.when(F.col("start") < 0, 1)).cast("int").alias("copies")]
+    out = hits.groupBy("doc_id", _KEY).agg(*whole, F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     out = out.select("doc_id", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy"))
     return out.drop("__copy").withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", n: int = 10, max_set: int = 50_000) -> DataFrame:
-    """docs without the rows that hold a benchmark window; columns as they came, clean rows untouched."""
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", n: int = 10, max_bytes: int = 64 << 20) -> DataFrame:
+    """docs without the rows that hold a benchmark window; columns as they came, clean rows untouched.
+
+    Rows of null or empty texts stay, and repeated rows stay or go together. Which texts go is told by
+    their MD5; the list of these is broadcast up to max_bytes, and joined by shuffle beyond.
+    """
     grams = durable(windows(benchmark.withColumn("__item", F.lit(0)), "__item", item_text_col, n))
-    lengths = sorted(r.n_words for r in grams.select("n_words").distinct().collect())
-    if grams.limit(max_set + 1).count() <= max_set:
-        rows = grams.select("n_words", "hash", "gram").collect()
-        listed = F.lit("\n" + "\n".join(sorted(r.gram for r in rows)) + "\n")  # words hold no line feed
-        return docs.where(~F.exists(_hits_in_row(F.col(text_col), rows)["hits"], lambda x: F.contains(listed, F.concat(F.lit("\n"), x["gram"], F.lit("\n")))))
-    if not lengths:
-        return docs
-    cand = docs.select(F.xxhash64(text_col).alias("__key"), F.explode(_all_in_row(F.col(text_col), lengths)).alias("x")).select("__key", "x.hash", "x.gram")
-    hit = cand.join(grams.select("hash", "gram"), ["hash", "gram"], "left_semi").select("__key").distinct()
-    return docs.withColumn("__key", F.xxhash64(text_col)).join(hit, "__key", "left_anti").select(*docs.columns)
+    key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    hit = stored(window_hits(docs, [key.alias("__gone")], F.col(text_col), grams, max_bytes).where("start >= 0").select("__gone").distinct(), "contaminated")
+    gone = F.broadcast(hit) if hit.count() * 64 <= max_bytes else hit
+    return docs.join(gone, key == F.col("__gone"), "left_anti")

@@ -1,11 +1,16 @@
 """License scan by diagonal voting.
 
-Every rolling word k-gram of a text whose hash occurs in a license template votes for the
-diagonal `position in the text - position in the template`. Votes on one diagonal are words
-that stand in the template's order at one place; diagonals that lie close to each other and
-follow each other in the text are one copy with insertions or omissions, and are merged. A
-merged run counts if its votes reach the template's share. DataFrame functions only; the
-template table is a constant of this module.
+All rolling word k-grams of a text meet the k-grams of license templates in a hash join, and
+each match votes for the diagonal `position in the text - position in the template`. Votes on one
+diagonal are words that stand in the template's order at one place; diagonals that lie close to
+each other and follow each other in the text are one copy with insertions or omissions, and are
+merged. A merged run is then verified: along the text, a vote counts only if it stands further on
+in the template than every vote before it, so that no template position counts twice and
+repeated or shuffled parts of a template don't add up. A run holds if what counts reaches the
+template's share. DataFrame functions only.
+
+Before the join a window inside its row must pass a bitmap of the templates' hashes, which
+misses no window of a template (shared.window_hits).
 
 Title phrases are scanned with k = 2 and must be complete; texts with k = 4.
 """
@@ -13,34 +18,15 @@ Title phrases are scanned with k = 2 and must be complete; texts with k = 4.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import alnum_words, gram_hash, gram_text, in_set, let, starts, word_hashes
-
-#: The phrases that name a license, and their labels.
-PHRASES = {
-    "gnu general public license": "gpl",
-    "apache license": "apache",
-    "cc by": "cc-by",
-    "mit license": "mit",
-}
-
-#: Public license texts, or the notices that stand for them in files.
-TEXTS = {
-    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "apache-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "apache-line": "Licensed under the Apache License, Version 2.0",
-    "gpl-line": "This work is licensed under the GNU General Public License, version 3",
-    "cc-by-line": "Licensed under a Creative Commons Attribution 4.0 International License",
-    "mit-line": "Released under the MIT License",
-}
+from millrace.llm.license_texts import PHRASES, TEXTS
+from millrace.llm.shared import durable, window_hits, word_hashes
 
 
 class Template(NamedTuple):
@@ -52,73 +38,56 @@ class Template(NamedTuple):
     base: bool
 
 
-def templates(share: float = 0.6) -> list[Template]:
-    """The templates, in a fixed order."""
+def templates(phrases: Mapping[str, str] = PHRASES, texts: Mapping[str, str] = TEXTS, share: float = 0.6) -> list[Template]:
+    """The templates, in a fixed order. phrases: phrase -> label; texts: label -> text. Texts without words give none."""
     cut = lambda t: tuple(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t)))
-    return [Template(label, cut(p), 2, 1.0, True) for p, label in PHRASES.items()] + [Template(label, w, min(4, len(w)), share, False) for label, t in TEXTS.items() for w in [cut(t)]]
+    made = [Template(label, w, min(2, len(w)), 1.0, True) for p, label in phrases.items() for w in [cut(p)]]
+    return [t for t in made + [Template(label, w, min(4, len(w)), share, False) for label, t in texts.items() for w in [cut(t)]] if t.words]
 
 
 def _grams(spark: SparkSession, known: list[Template]) -> DataFrame:
-    """(k, gram, template, t_at): a row per k-gram of a template."""
-    rows = [(t.k, " ".join(t.words[i : i + t.k]), n, i) for n, t in enumerate(known) for i in range(len(t.words) - t.k + 1)]
-    return spark.createDataFrame(rows, "k int, gram string, template int, t_at int")
-
-
-def runs(docs: DataFrame, text_col: str, keep: list[Column], slack: int = 4) -> DataFrame:
-    """Each row of docs (the `keep` columns, copies) beside its runs: template, start, stop, votes, grams, score. Rows without any have nulls."""
-    known = templates()
-    table = _grams(docs.sparkSession, known)
-    grams = [r.gram for r in table.select("gram").distinct().collect()]
-    hashes = {k: [h for (h,) in table.where(F.col("k") == k).select(F.xxhash64(word_hashes(F.split("gram", " ")))).distinct().collect()] for k in {t.k for t in known}}
-    assert len(grams) < 2_000, "the template table is sent with the tasks"
-
-    sets = {k: in_set(hs) for k, hs in sorted(hashes.items())}
-
-    def of(k: int, w: Column, h: Column) -> Column:
-        hit = F.filter(starts(w, k), lambda i: sets[k](gram_hash(h, i, k)))
-        return F.transform(hit, lambda i: F.struct(i.alias("at"), gram_text(w, i, k).alias("gram")))
-
-    def hits(w: Column) -> Column:
-        return F.struct(F.size(w).cast("long").alias("n_words"), let(word_hashes(w), lambda h: F.concat(*[of(k, w, h) for k in sets])).alias("hits"))
-
-    rows = docs.select(*keep, let(alnum_words(F.col(text_col)), hits).alias("__x"))
-    names = [c for c in rows.columns if c != "__x"]
-    rows = rows.select(*names, "__x.n_words", "__x.hits")
-    once = rows.groupBy(*rows.columns).agg(F.count("*").cast("int").alias("copies"))
-    key = [*names, "n_words", "copies"]
-
-    votes = once.select(*key, F.explode_outer("hits").alias("hit")).select(*key, "hit.*")
-    voted = votes.join(F.broadcast(table), "gram", "left").withColumn("diagonal", F.col("at") - F.col("t_at"))
-    lanes = voted.groupBy(*key, "template", "diagonal").agg(F.count("template").alias("votes"), F.min("at").alias("start"), F.max("at").alias("last"))
-    band = W.partitionBy(*key, "template").orderBy("diagonal")
-    order = W.partitionBy(*key, "template", "band").orderBy("start", "diagonal")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    about = docs.sparkSession.createDataFrame([(n, t.label, t.k, len(t.words) - t.k + 1, t.share, t.base) for n, t in enumerate(known)], "template int, label string, k int, grams int, share double, base boolean")
-    lanes = lanes.join(F.broadcast(about), "template", "left")
-    # Lanes whose diagonals follow each other within the slack are one band; only those are cut at gaps in the text, so that lanes far off between two true ones don't part them.
-    lanes = lanes.withColumn("far", F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(band) > slack), F.lit(True)).cast("int"))
-    lanes = lanes.withColumn("band", F.sum("far").over(band))
-    apart = F.col("start") - F.max("last").over(before) > slack + F.col("k")
-    runs_ = lanes.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order))
-    merged = runs_.groupBy(*key, "template", "label", "grams", "share", "base", "band", "run").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), (F.max("last") + F.first("k")).alias("stop"))
-    score = F.least(F.lit(1.0), F.col("votes") / F.col("grams"))
-    merged = merged.withColumn("score", score)
-    real = (F.col("score") >= F.col("share")) & F.col("template").isNotNull()
-    return merged.select(*key, *[F.when(real, F.col(c)).alias(c) for c in ("template", "label", "base", "start", "stop", "votes", "score")])
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per k-gram of a template: gram, n, template, t_at, and what there is to know of the template."""
+    rows = [(" ".join(t.words[i : i + t.k]), t.k, n, i, t.label, len(t.words) - t.k + 1, t.share, t.base) for n, t in enumerate(known) for i in range(len(t.words) - t.k + 1)]
+    text = lambda v: "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v).lower()
+    listed = spark.sql("SELECT * FROM VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + " AS t(gram, n, template, t_at, label, grams, share, base)")
+    return durable(listed.withColumn("hash", F.xxhash64(word_hashes(F.split("gram", " ")))))
+
+
+def runs(docs: DataFrame, text_col: str, keys: list[Column], known: list[Template] | None = None, slack: int = 4) -> DataFrame:
+    """The keys of docs' rows beside n_words and, for each run, template, label, base, start, stop and score; and a row of nulls, with own = 1, for each row of docs."""
+    hits = window_hits(docs, keys, F.col(text_col), _grams(docs.sparkSession, known or templates()))
+    key = docs.select(*keys).columns
+    band = W.partitionBy(*key, "template").orderBy("diagonal", "start")
+    hits = hits.withColumn("diagonal", F.col("start") - F.col("t_at"))
+    # Votes whose diagonals follow each other within the slack are one band, a phrase's only if they are equal; a band is cut at gaps in the text.
+    far = F.col("diagonal") - F.lag("diagonal").over(band) > F.when(F.col("base"), 0).otherwise(slack)
+    banded = hits.where("start >= 0").withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("band", F.sum("far").over(band))
+    order = W.partitionBy(*key, "template", "band").orderBy("start", "t_at")
+    apart = F.col("start") - F.max("start").over(order.rowsBetween(W.unboundedPreceding, -1)) > slack + F.col("n")
+    cut = banded.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(order))
+    along = W.partitionBy(*key, "template", "band", "run").orderBy("start", "t_at").rowsBetween(W.unboundedPreceding, -1)
+    counts = F.coalesce(F.col("t_at") > F.max("t_at").over(along), F.lit(True))
+    verified = cut.withColumn("counts", counts).groupBy(*key, "n_words", "template", "label", "grams", "share", "base", "band", "run")
+    made = verified.agg(F.count(F.when(F.col("counts"), 1)).alias("votes"), F.min("start").alias("start"), (F.max("start") + F.first("n")).alias("stop"))
+    made = made.withColumn("score", F.col("votes") / F.col("grams")).where("score >= share")
+    cols = [*key, "n_words", "template", "label", "base", "start", "stop", "score"]
+    return made.select(*cols).unionByName(hits.where("start < 0").select(*key, "n_words", F.lit(1).alias("own")), allowMissingColumns=True)
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: list[Template] | None = None) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts the places where a title phrase stands; first_word and last_word are their smallest
     and largest start in words from 0, null without any. labels are those of phrases and of
     license texts that are there in good part; score is the best run's share of its template, 0 without one.
-    Null and empty texts have no words. Repeated rows come back as often as they came.
+    Null and empty texts have no words. Repeated rows come back as often as they came, rows without an id too.
     """
-    keep = [F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key")]
-    found = runs(docs, text_col, keep)
+    keys = [F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")]
+    found = runs(docs, text_col, keys, known)
     base = F.col("base")
-    out = found.groupBy("doc_id", "text_key", "n_words", "copies").agg(
+    out = found.groupBy("doc_id", "text_key").agg(
+        F.max("n_words").alias("n_words"),
+        F.count("own").cast("int").alias("copies"),
         F.count(F.when(base, 1)).alias("n_base"),
         F.min(F.when(base, F.col("start"))).cast("long").alias("first_word"),
         F.max(F.when(base, F.col("start"))).cast("long").alias("last_word"),

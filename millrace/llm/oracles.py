@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from millrace.llm.licenses import templates
+from millrace.llm.license_texts import PHRASES, TEXTS
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOW = f"translate({{}}, '{_UPPER}', '{_UPPER.lower()}')"
@@ -79,33 +79,37 @@ FROM docs LEFT JOIN covered USING (r) LEFT JOIN named USING (r)"""
 
 
 def op7() -> str:
-    known = templates()
-    about = ", ".join(f"({n}, '{t.label}', {t.k}, {len(t.words) - t.k + 1}, {t.share}, {str(t.base).lower()})" for n, t in enumerate(known))
-    grams = ", ".join(f"({t.k}, '{' '.join(t.words[i : i + t.k])}', {n}, {i})" for n, t in enumerate(known) for i in range(len(t.words) - t.k + 1))
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    told = [*[(p, label, 2, 1.0, "true") for p, label in PHRASES.items()], *[(t, label, 4, 0.6, "false") for label, t in TEXTS.items()]]
+    rows = ", ".join(f"({n}, {quoted(label)}, {quoted(t)}, {k}, {share}, {base})" for n, (t, label, k, share, base) in enumerate(told))
+    cut = rf"regexp_extract_all({_LOW.format('body')}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
     return f"""
 WITH {_DOCS},
-about(t, label, k, grams, share, base) AS (VALUES {about}),
-known(k, gram, t, t_at) AS (VALUES {grams}),
+told(t, label, body, k, share, base) AS (VALUES {rows}),
+about AS (SELECT t, label, k, share, base, {cut} AS tw FROM told),
+known AS (SELECT t, k, i - 1 AS t_at, array_to_string(tw[i:i + k - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(tw) - k + 2)) AS i FROM about)),
 places AS (
-  SELECT r, k, i - 1 AS i, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (
+  SELECT r, k, i - 1 AS p, array_to_string(w[i:i + k - 1], ' ') AS gram FROM (
     SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM about) WHERE len(w) >= k)),
-lanes AS (
-  SELECT r, t, i - t_at AS d, count(*) AS votes, min(i) AS a, max(i) AS z
-  FROM places JOIN known USING (k, gram) GROUP BY r, t, d),
-marked AS (
-  SELECT l.*, b.label, b.k, b.grams, b.share, b.base,
-    CASE WHEN b.base OR lag(d) OVER o IS NULL OR abs(d - lag(d) OVER o) > 4 OR a - lag(z) OVER o > 4 + b.k THEN 1 ELSE 0 END AS apart
-  FROM lanes l JOIN about b USING (t) WINDOW o AS (PARTITION BY r, t ORDER BY a, d)),
-runs AS (SELECT *, sum(apart) OVER (PARTITION BY r, t ORDER BY a, d ROWS UNBOUNDED PRECEDING) AS run FROM marked),
-merged AS (
-  SELECT r, t, label, base, share, min(a) AS a, least(1.0, CAST(sum(votes) AS DOUBLE) / grams) AS score
-  FROM runs GROUP BY r, t, label, base, share, grams, run),
-real AS (SELECT * FROM merged WHERE score >= share)
+votes AS (SELECT r, t, p, t_at, p - t_at AS d FROM places JOIN known USING (k, gram)),
+gaps AS (
+  SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY r, t ORDER BY d, p) <= CASE WHEN base THEN 0 ELSE 4 END THEN 0 ELSE 1 END AS new_band
+  FROM votes JOIN about USING (t)),
+bands AS (SELECT *, sum(new_band) OVER (PARTITION BY r, t ORDER BY d, p ROWS UNBOUNDED PRECEDING) AS band FROM gaps),
+breaks AS (
+  SELECT *, CASE WHEN p - max(p) OVER (PARTITION BY r, t, band ORDER BY p, t_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= 4 + k THEN 0 ELSE 1 END AS new_run FROM bands),
+runs AS (SELECT *, sum(new_run) OVER (PARTITION BY r, t, band ORDER BY p, t_at ROWS UNBOUNDED PRECEDING) AS run FROM breaks),
+seen AS (
+  SELECT *, max(t_at) OVER (PARTITION BY r, t, band, run ORDER BY p, t_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM runs),
+spans AS (
+  SELECT r, label, base, min(p) AS a, CAST(count(*) FILTER (WHERE far IS NULL OR t_at > far) AS DOUBLE) / (any_value(len(tw)) - any_value(k) + 1) AS score, any_value(share) AS share
+  FROM seen GROUP BY r, t, label, base, band, run),
+held AS (SELECT * FROM spans WHERE score >= share)
 SELECT doc_id, len(any_value(w)) AS n_words, count(*) FILTER (WHERE base) AS n_base,
   CAST(min(a) FILTER (WHERE base) AS BIGINT) AS first_word, CAST(max(a) FILTER (WHERE base) AS BIGINT) AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, coalesce(max(score), 0.0) AS score
-FROM docs LEFT JOIN real USING (r) GROUP BY r, doc_id"""
+FROM docs LEFT JOIN held USING (r) GROUP BY r, doc_id"""
 
 
 def op9(rules: Sequence[tuple[str, str, str]]) -> str:

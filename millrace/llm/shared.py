@@ -85,7 +85,54 @@ def starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-def in_set(values: list) -> Callable[[Column], Column]:
-    """Membership in a literal set, which Spark sends with the tasks as a hash set."""
-    listed = [F.lit(v) for v in values]
-    return (lambda c: c.isin(listed)) if listed else (lambda c: F.lit(False))
+#: Bits of the literal that goes before a broadcast join of windows; a fixed size.
+_BITMAP = 1 << 20
+
+
+def window_hits(docs: DataFrame, keys: list[Column], text: Column, table: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Windows of words that stand in a table: the keys, n_words, start, and the columns of table.
+
+    table: hash (gram_hash of the words), n (how many they are), gram (the words, joined by
+    blanks), and more. Every row of docs also gives one row with start -1 and nulls beyond n_words.
+    Windows are made inside their row. Those that miss a bitmap of fixed size go at once; the rest
+    meet the table in a broadcast hash join, and what meets is held against the words themselves.
+    A table over max_bytes is cut by hash, and its parts are sent one after the other. A full bitmap
+    lets more through to the join, and changes nothing else.
+    """
+    size = table.agg(F.sum(F.length("gram") + 64).alias("b")).first().b or 0
+    lengths = sorted(r.n for r in table.select("n").distinct().collect())
+    parts = max(1, -(-size // max_bytes))
+    slots = F.shiftright(F.col("hash").bitwiseAND(F.lit(_BITMAP - 1)), 6)
+    bits = {n: F.expr("cast(array() as array<bigint>)") for n in lengths}
+    for n in lengths:  # at most _BITMAP / 64 cells whatever the table's size
+        cells = table.where(F.col("n") == n).groupBy(slots.cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("v")).collect()
+        full = [0] * (_BITMAP // 64)
+        for c in cells:
+            full[c.cell] = c.v
+        bits[n] = F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
+
+    def of(n: int, w: Column, h: Column) -> Column:
+        def may(i: Column) -> Column:
+            return let(gram_hash(h, i, n), lambda x: F.getbit(F.element_at(bits[n], F.shiftright(x.bitwiseAND(F.lit(_BITMAP - 1)), 6).cast("int") + 1), x.bitwiseAND(F.lit(63)).cast("int")) == 1)
+
+        return F.transform(F.filter(starts(w, n), may), lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
+
+    def found(w: Column) -> Column:
+        none = F.expr("array(named_struct('start', -1, 'hash', cast(null as bigint), 'gram', cast(null as string)))")
+        return F.struct(F.size(w).cast("long").alias("n_words"), let(word_hashes(w), lambda h: F.concat(none, *[of(n, w, h) for n in lengths])).alias("hits"))
+
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = docs.select(*[k.alias(n) for k, n in zip(keys, names)], let(alnum_words(text), found).alias("x"))
+    rows = rows.select(*names, "x.n_words", F.explode("x.hits").alias("hit")).select(*names, "n_words", "hit.start", F.col("hit.hash").alias("__hash"), F.col("hit.gram").alias("__gram"))
+    joined = None
+    for p in range(parts):
+        part = F.broadcast(table if parts == 1 else table.where(F.pmod("hash", F.lit(parts)) == p))
+        met = rows.join(part, (F.col("__hash") == F.col("hash")) & (F.col("__gram") == F.col("gram")), "left")
+        met = met.where(F.col("hash").isNotNull() | ((F.col("start") == -1) if p == 0 else F.lit(False))).drop("__hash", "__gram")
+        met = met if parts == 1 else stored(met, "hits")
+        joined = met if joined is None else joined.unionByName(met)
+    return joined.select(*[F.col(n).alias(k) for n, k in zip(names, _names(docs, keys))], *[c for c in joined.columns if c not in names])
+
+
+def _names(docs: DataFrame, keys: list[Column]) -> list[str]:
+    return docs.select(*keys).columns

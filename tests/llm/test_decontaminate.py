@@ -43,25 +43,25 @@ DOCS = [
 ]
 
 
-@pytest.mark.parametrize("max_set", [50_000, 0])
-def test_against_brute_force(spark, max_set):
+@pytest.mark.parametrize("max_bytes", [64 << 20, 200])
+def test_against_brute_force(spark, max_bytes):
     docs = spark.createDataFrame([(*d, 1, "y") for d in DOCS], "doc_id long, text string, n_words int, items string")
     items = spark.createDataFrame([(*i, 0) for i in ITEMS], "item_id long, text string, gram int")
-    got = decontaminate.scan(docs, items, max_set=max_set).collect()
+    got = decontaminate.scan(docs, items, max_bytes=max_bytes).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got) == plain(DOCS, ITEMS)
-    left = decontaminate.clean(docs, items, max_set=max_set)
+    left = decontaminate.clean(docs, items, max_bytes=max_bytes)
     assert left.columns == docs.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == ["2", "3", "6", "7"]
 
 
-@pytest.mark.parametrize("max_set", [50_000, 0])
-def test_empty_tables(spark, max_set):
+@pytest.mark.parametrize("max_bytes", [64 << 20, 200])
+def test_empty_tables(spark, max_bytes):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert decontaminate.scan(docs.limit(0), items, max_set=max_set).count() == 0
-    assert decontaminate.clean(docs.limit(0), items, max_set=max_set).count() == 0
-    assert decontaminate.clean(docs, items.limit(0), max_set=max_set).count() == len(DOCS)
-    if max_set:
+    assert decontaminate.scan(docs.limit(0), items, max_bytes=max_bytes).count() == 0
+    assert decontaminate.clean(docs.limit(0), items, max_bytes=max_bytes).count() == 0
+    assert decontaminate.clean(docs, items.limit(0), max_bytes=max_bytes).count() == len(DOCS)
+    if max_bytes > 200:
         assert {r.n_hit for r in decontaminate.scan(docs, items.limit(0)).collect()} == {0}
 
 
