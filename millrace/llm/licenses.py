@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.license_texts import PHRASES, TEXTS
-from millrace.llm.shared import durable, window_hits, word_hashes
+from millrace.llm.shared import durable, stored, window_hits, word_hashes
 
 
 class Template(NamedTuple):
@@ -55,7 +55,7 @@ def _grams(spark: SparkSession, known: list[Template]) -> DataFrame:
 
 def runs(docs: DataFrame, text_col: str, keys: list[Column], known: list[Template] | None = None, slack: int = 4) -> DataFrame:
     """The keys of docs' rows beside n_words and, for each run, template, label, base, start, stop and score; and a row of nulls, with own = 1, for each row of docs."""
-    hits = window_hits(docs, keys, F.col(text_col), _grams(docs.sparkSession, known or templates()))
+    hits = stored(window_hits(docs, keys, F.col(text_col), _grams(docs.sparkSession, known or templates())), "license-hits")
     key = docs.select(*keys).columns
     band = W.partitionBy(*key, "template").orderBy("diagonal", "start")
     hits = hits.withColumn("diagonal", F.col("start") - F.col("t_at"))

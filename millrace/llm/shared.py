@@ -85,8 +85,8 @@ def starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-#: Bits of the literal that goes before a broadcast join of windows; a fixed size.
-_BITMAP = 1 << 20
+#: Longs of the bitmap that goes before a broadcast join of windows; a fixed size.
+_CELLS = 1 << 14
 
 
 def window_hits(docs: DataFrame, keys: list[Column], text: Column, table: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
@@ -102,20 +102,19 @@ def window_hits(docs: DataFrame, keys: list[Column], text: Column, table: DataFr
     size = table.agg(F.sum(F.length("gram") + 64).alias("b")).first().b or 0
     lengths = sorted(r.n for r in table.select("n").distinct().collect())
     parts = max(1, -(-size // max_bytes))
-    slots = F.shiftright(F.col("hash").bitwiseAND(F.lit(_BITMAP - 1)), 6)
-    bits = {n: F.expr("cast(array() as array<bigint>)") for n in lengths}
-    for n in lengths:  # at most _BITMAP / 64 cells whatever the table's size
-        cells = table.where(F.col("n") == n).groupBy(slots.cast("int").alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("v")).collect()
-        full = [0] * (_BITMAP // 64)
-        for c in cells:
+    cell = lambda h: F.shiftrightunsigned(h, 64 - _CELLS.bit_length() + 1).cast("int")
+    bits = {}
+    for n in lengths:  # at most _CELLS rows whatever the table's size
+        full = [0] * _CELLS
+        for c in table.where(F.col("n") == n).groupBy(cell(F.col("hash")).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("v")).collect():
             full[c.cell] = c.v
         bits[n] = F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
 
     def of(n: int, w: Column, h: Column) -> Column:
-        def may(i: Column) -> Column:
-            return let(gram_hash(h, i, n), lambda x: F.getbit(F.element_at(bits[n], F.shiftright(x.bitwiseAND(F.lit(_BITMAP - 1)), 6).cast("int") + 1), x.bitwiseAND(F.lit(63)).cast("int")) == 1)
-
-        return F.transform(F.filter(starts(w, n), may), lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
+        hashes = F.transform(starts(w, n), lambda i: gram_hash(h, i, n))
+        may = lambda x, i: F.when(F.getbit(F.element_at(bits[n], cell(x) + 1), x.bitwiseAND(F.lit(63)).cast("int")) == 1, i)
+        passed = F.filter(F.transform(hashes, may), lambda i: i.isNotNull())
+        return F.transform(passed, lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
 
     def found(w: Column) -> Column:
         none = F.expr("array(named_struct('start', -1, 'hash', cast(null as bigint), 'gram', cast(null as string)))")
