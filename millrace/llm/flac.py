@@ -1,13 +1,16 @@
 """FLAC in numpy: frames encoded and decoded side by side.
 
-Every frame of a batch is a lane. Encoding works on whole matrices of lanes; decoding walks
-the samples of a frame, one step for all lanes at once: read a Rice code, add the linear
-prediction from the lane's history. Frame headers carry CRC-8, frames CRC-16, and both are
-checked. Streams are mono with a fixed block size, so a frame's first sample is its number
-times the block size, which is what the seekable block table holds.
+Encoding works on whole matrices of frames. A stream's SEEKTABLE names every `stride`-th frame's
+first sample and place in bytes; decoding starts at all of these at once. What follows a seek point
+is a lane, whose frames are decoded one after the other, so that each frame's end is known from its
+own bits: the samples of a frame are walked, one step for all lanes, which reads a Rice code and
+adds the linear prediction from the lane's history. A stream without a table is one lane. Frame
+headers carry CRC-8, frames CRC-16, and both are checked. Streams are mono with 8 bits and a fixed
+block size, so a frame's first sample is its number times the block size.
 
 A frame is constant, verbatim, a fixed predictor of order 0 to 4, or an LPC subframe; the
-encoder takes whichever is smallest. Rice partitions are of order 0.
+encoder takes whichever is smallest, with one Rice partition. The decoder reads partitions of any
+order, both widths of their parameters, and partitions that aren't Rice coded.
 """
 
 from __future__ import annotations
@@ -22,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import stored
+
 #: Fixed values of the format: predictors of fixed subframes, latest sample first.
 _FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 _ORDER = 8
 _SHIFT = 9
 _LANES = 4096
+#: Frames from one seek point to the next; a table may take 16 MB.
+_STRIDE = 4
+_POINTS = 900_000
 _RATE = 44_100
 
 
@@ -182,8 +190,8 @@ def encode_frames(x: np.ndarray, number: np.ndarray) -> list[bytes]:
     return [body[i, : bytes_[i]].tobytes() + int(crc[i]).to_bytes(2, "big") for i in range(lanes)]
 
 
-def encode_streams(payloads: list[bytes], block: int = 192) -> list[bytes]:
-    """Payloads (whole blocks of bytes, each byte a sample less 128) -> FLAC streams."""
+def encode_streams(payloads: list[bytes], block: int = 192, stride: int = _STRIDE) -> list[bytes]:
+    """Payloads (whole blocks of bytes, each byte a sample less 128) -> FLAC streams with a seek point at every stride-th frame."""
     counts = [len(p) // block for p in payloads]
     frames: list[bytes] = []
     number = np.concatenate([np.arange(c) for c in counts] or [np.empty(0, int)])
@@ -193,15 +201,27 @@ def encode_streams(payloads: list[bytes], block: int = 192) -> list[bytes]:
     out, at = [], 0
     for p, c in zip(payloads, counts):
         own = frames[at : at + c]
-        sizes = [len(f) for f in own] or [0]
+        sizes = np.array([len(f) for f in own], np.int64)
         packed = _RATE << 44 | 0 << 41 | 7 << 36 | len(p)
         signed = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
-        info = struct.pack(">HH", block, block) + min(sizes).to_bytes(3, "big") + max(sizes).to_bytes(3, "big") + packed.to_bytes(8, "big") + hashlib.md5(signed).digest()
-        out.append(b"fLaC" + b"\x80" + len(info).to_bytes(3, "big") + info + b"".join(own))
+        info = struct.pack(">HH", block, block) + int(sizes.min(initial=1 << 24 - 1) if c else 0).to_bytes(3, "big") + int(sizes.max(initial=0)).to_bytes(3, "big") + packed.to_bytes(8, "big") + hashlib.md5(signed).digest()
+        step = max(stride, -(-c // _POINTS))
+        points = np.zeros(-(-c // step), _POINT)
+        points["sample"], points["at"], points["n"] = np.arange(0, c, step) * block, (np.cumsum(sizes) - sizes)[::step], block
+        table = points.tobytes()
+        out.append(b"fLaC" + _metadata(0, info, not table) + (_metadata(3, table, True) if table else b"") + b"".join(own))
         at += c
     return out
 
 
+#: A seek point: first sample of a frame, its place after the first frame's, samples in it.
+_POINT = np.dtype([("sample", ">u8"), ("at", ">u8"), ("n", ">u2")])
+
+
+def _metadata(kind: int, body: bytes, last: bool) -> bytes:
+    return bytes([kind | 0x80 * last]) + len(body).to_bytes(3, "big") + body
+
+
 class FlacError(ValueError):
     """A stream that isn't FLAC of this kind, or whose checksums don't hold."""
 
@@ -250,23 +270,20 @@ def _signed(v: np.ndarray, bits: np.ndarray | int) -> np.ndarray:
     return np.where(v >= half, v - 2 * half, v)
 
 
-def decode_frames(frames: list[bytes], block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mono 8-bit frames of `block` samples -> samples (lanes, block) and frame numbers. Checksums are verified."""
-    size = np.array([len(f) for f in frames])
-    rows = np.zeros((len(frames), int(size.max())), np.uint8)
+def decode_frames(frames: list[bytes], block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes that start with a mono 8-bit frame of `block` samples each -> samples (lanes, block), frame numbers, and the frames' sizes in bytes. Checksums are verified."""
+    room = np.array([len(f) for f in frames])
+    rows = np.zeros((len(frames), max(24, int(room.max()))), np.uint8)
     for i, f in enumerate(frames):
         rows[i, : len(f)] = np.frombuffer(f, np.uint8)
     lane = np.arange(len(frames))
-    crc = rows[lane, size - 2].astype(int) << 8 | rows[lane, size - 1]
-    if (_crc16(rows, size - 2) != crc).any():
-        raise FlacError("a frame's CRC-16 doesn't hold")
     if (rows[:, 0] != 0xFF).any() or (rows[:, 1] != 0xF8).any() or (rows[:, 2] != 0x70).any() or (rows[:, 3] & 0xFE != 0x02).any():
         raise FlacError("not a frame of a mono 8-bit stream with a fixed block size")
     lead = rows[:, 4].astype(int)
     more = np.select([lead < 0x80, lead < 0xE0, lead < 0xF0, lead < 0xF8, lead < 0xFC], [0, 1, 2, 3, 4], 5)
     number = np.where(more == 0, lead, lead & (0x3F >> more))
     for k in range(5):
-        number = np.where(k < more, number << 6 | rows[lane, np.minimum(5 + k, rows.shape[1] - 1)] & 0x3F, number)
+        number = np.where(k < more, number << 6 | rows[lane, 5 + k] & 0x3F, number)
     h = 5 + more
     if ((rows[lane, h].astype(int) << 8 | rows[lane, h + 1]) + 1 != block).any():
         raise FlacError("a frame has another block size")
@@ -274,7 +291,10 @@ def decode_frames(frames: list[bytes], block: int) -> tuple[np.ndarray, np.ndarr
         raise FlacError("a frame header's CRC-8 doesn't hold")
 
     bits = _Bits(rows, (h + 3) * 8)
-    kind = bits.read(8) >> 1 & 63
+    kind = bits.read(8)
+    if (kind & 1).any():
+        raise FlacError("wasted bits in 8-bit samples")
+    kind = kind >> 1 & 63
     constant, verbatim, fixed, lpc = kind == 0, kind == 1, (kind >= 8) & (kind <= 12), kind >= 32
     if not (constant | verbatim | fixed | lpc).all():
         raise FlacError("a reserved kind of subframe")
@@ -294,83 +314,103 @@ def decode_frames(frames: list[bytes], block: int) -> tuple[np.ndarray, np.ndarr
         coef[:, j] = np.where(on, _signed(bits.read(np.where(on, width, 0)), width), 0)
     for c in range(1, min(4, most) + 1):
         coef[fixed & (order == c), :c] = _FIXED[c]
-    method = bits.read(np.where(coded, 6, 0))
-    if (method != 0).any():
-        raise FlacError("Rice partitions of another order")
-    rice = bits.read(np.where(coded, 4, 0))
+    method = np.where(coded, bits.read(np.where(coded, 2, 0)), 0)
+    part = block >> np.where(coded, bits.read(np.where(coded, 4, 0)), 0)  # samples in a partition
+    if (method > 1).any() or (coded & ((part <= order) | (block % np.maximum(part, 1) > 0))).any():
+        raise FlacError("reserved coding, or partitions that don't fit the block")
     shift = np.where(lpc, shift, 0)
     back = coef[:, ::-1]
+    rice, plain = np.zeros(len(frames), np.int64), np.full(len(frames), -1)
+    heads, split, raw_parts = 4 + method, bool((part < block).any()), False
     for i in range(block):
         on = coded & (i >= order)
         raw = ~coded & ((i == 0) | verbatim)
-        q = bits.unary(on)
-        v = bits.read(np.where(on, rice, np.where(raw, 8, 0)))
-        z = q << rice | v
+        if i <= most or split:
+            head = coded & ((i == order) | ((i > order) & (i % part == 0)))
+            if head.any():  # a partition begins
+                rice = np.where(head, bits.read(np.where(head, heads, 0)), rice)
+                escape = head & (rice == (1 << heads) - 1)
+                plain = np.where(head, -1, plain)
+                if escape.any():
+                    plain = np.where(escape, bits.read(np.where(escape, 5, 0)), plain)
+                raw_parts = bool((plain >= 0).any())
+        if raw_parts:
+            as_is = on & (plain >= 0)
+            q = bits.unary(on & ~as_is)
+            v = bits.read(np.where(as_is, plain, np.where(on, rice, np.where(raw, 8, 0))))
+            z = q << rice | v
+            res = np.where(as_is, _signed(v, np.maximum(plain, 1)) * (plain > 0), (z >> 1) ^ -(z & 1))
+        else:
+            q = bits.unary(on)
+            v = bits.read(np.where(on, rice, np.where(raw, 8, 0)))
+            z = q << rice | v
+            res = (z >> 1) ^ -(z & 1)
         pred = np.einsum("ij,ij->i", back, x[:, i : i + most]) >> shift if most else 0
-        got = np.where(on, ((z >> 1) ^ -(z & 1)) + pred, np.where(raw, _signed(v, 8), x[:, most + i]))
+        got = np.where(on, res + pred, np.where(raw, _signed(v, 8), x[:, most + i]))
         x[:, most + i] = np.where(constant & (i > 0), x[:, most], got)
-    if (((bits.at + 7) >> 3) != size - 2).any():
-        raise FlacError("a frame ends elsewhere than its samples")
-    return x[:, most:], number
+    size = (bits.at + 7 >> 3) + 2
+    if (size > room).any():
+        raise FlacError("a frame is cut off")
+    if (_crc16(rows, size - 2) != (rows[lane, size - 2].astype(int) << 8 | rows[lane, size - 1])).any():
+        raise FlacError("a frame's CRC-16 doesn't hold")
+    if (np.abs(x) > 128).any() or (x == 128).any():
+        raise FlacError("a sample beyond 8 bits")
+    return x[:, most:], number, size
 
 
-def frame_cuts(stream: bytes) -> tuple[int, int, list[int]]:
-    """(block size, samples, offsets of the frames and the end). Frames are found by sync, number and header CRC."""
+def _lanes(stream: bytes) -> tuple[int, int, int, list[tuple[int, int, int]]]:
+    """(block size, samples, bytes that a frame may take, lanes as first frame, start, end): what lies between seek points."""
     if stream[:4] != b"fLaC":
         raise FlacError("no fLaC marker")
-    at, info = 4, None
-    while True:
+    at, info, table, last = 4, b"", b"", False
+    while not last:
+        if at + 4 > len(stream):
+            raise FlacError("the metadata is cut off")
         kind, size = stream[at], int.from_bytes(stream[at + 1 : at + 4], "big")
-        if kind & 0x7F == 0:
-            info = stream[at + 4 : at + 4 + size]
-        at += 4 + size
-        if kind & 0x80:
-            break
-    block, total, smallest = int.from_bytes(info[:2], "big"), int.from_bytes(info[10:18], "big") & (1 << 36) - 1, int.from_bytes(info[4:7], "big")
-    cuts, n = [], 0
-    while n * block < total:
-        head = _head(n, block)
-        found = stream.find(head, at)
-        if found < 0 or (not cuts and found != at):
-            raise FlacError(f"frame {n} is missing")
-        cuts.append(found)
-        at, n = found + max(1, smallest), n + 1
-    return block, total, [*cuts, len(stream)]
-
-
-_HEADS: dict[tuple[int, int], bytes] = {}
-
-
-def _head(n: int, block: int) -> bytes:
-    got = _HEADS.get((n, block))
-    if got is None:
-        num, size = _coded_number(np.array([n]))
-        head = b"\xff\xf8\x70\x02" + num[0, : size[0]].tobytes() + (block - 1).to_bytes(2, "big")
-        got = head + bytes([int(_crc8(np.frombuffer(head, np.uint8)[None, :], np.array([len(head)]))[0])])
-        if len(_HEADS) < 65_536:
-            _HEADS[n, block] = got
-    return got
+        body = stream[at + 4 : at + 4 + size]
+        info, table = body if kind & 0x7F == 0 else info, body if kind & 0x7F == 3 else table
+        at, last = at + 4 + size, bool(kind & 0x80)
+    block, total, largest = int.from_bytes(info[:2], "big"), int.from_bytes(info[10:18], "big") & (1 << 36) - 1, int.from_bytes(info[7:10], "big")
+    if len(info) < 34 or not block or total % block:
+        raise FlacError("not a stream of whole blocks")
+    points = np.frombuffer(table[: len(table) // 18 * 18], _POINT)
+    points = points[points["sample"] != (1 << 64) - 1]  # placeholders
+    first, starts = (points["sample"] // block).astype(np.int64).tolist(), (points["at"].astype(np.int64) + at).tolist()
+    if not first or first[0]:
+        first, starts = [0, *first], [at, *starts]
+    if total == 0:
+        return block, 0, largest, []
+    if any(b <= a for a, b in zip(first, first[1:])) or any(b <= a for a, b in zip(starts, starts[1:])) or starts[-1] >= len(stream):
+        raise FlacError("the seek table is out of order")
+    return block, total, largest or len(stream), list(zip(first, starts, [*starts[1:], len(stream)]))
 
 
 def decode_streams(streams: list[bytes]) -> list[bytes]:
-    """FLAC streams -> their payloads; frame and header checksums, numbers and the stream's MD5 are verified."""
-    cut = [frame_cuts(s) for s in streams]
-    out: list[list[np.ndarray]] = [[] for _ in streams]
+    """FLAC streams -> their payloads; frame and header checksums, frame numbers, seek points and the stream's MD5 are verified."""
+    cut = [_lanes(s) for s in streams]
+    out: list[dict[int, np.ndarray]] = [{} for _ in streams]
     for block in sorted({c[0] for c in cut}):
-        lanes = [(i, n, c[2][n], c[2][n + 1]) for i, c in enumerate(cut) if c[0] == block for n in range(len(c[2]) - 1)]
-        for lo in range(0, len(lanes), _LANES):
-            part = lanes[lo : lo + _LANES]
-            x, number = decode_frames([streams[i][a:b] for i, _, a, b in part], block)
-            if (number != [n for _, n, _, _ in part]).any():
-                raise FlacError("frames out of order")
-            bytes_ = (x + 128).astype(np.uint8)
-            for j, (i, *_) in enumerate(part):
-                out[i].append(bytes_[j])
+        open_ = [(i, n, a, z) for i, c in enumerate(cut) if c[0] == block for n, a, z in c[3]]
+        while open_:  # the next frame of every lane
+            going = []
+            for lo in range(0, len(open_), _LANES):
+                part = open_[lo : lo + _LANES]
+                x, number, size = decode_frames([streams[i][a : min(z, a + cut[i][2])] for i, _, a, z in part], block)
+                if (number != [n for _, n, _, _ in part]).any():
+                    raise FlacError("frames out of order")
+                bytes_ = (x + 128).astype(np.uint8)
+                for j, ((i, n, a, z), took) in enumerate(zip(part, size.tolist())):
+                    out[i][n] = bytes_[j]
+                    if a + took > z:
+                        raise FlacError("a seek point lies inside a frame")
+                    if a + took < z:
+                        going.append((i, n + 1, a + took, z))
+            open_ = going
     done = []
-    for s, (_, total, _), own in zip(streams, cut, out):
-        pcm = np.concatenate(own) if own else np.empty(0, np.uint8)
-        if len(pcm) != total or hashlib.md5((pcm ^ 0x80).tobytes()).digest() != s[26:42]:
-            raise FlacError("the samples' MD5 doesn't hold")
+    for s, (block, total, _, _), own in zip(streams, cut, out):
+        pcm = np.concatenate([own[n] for n in sorted(own)]) if own else np.empty(0, np.uint8)
+        if sorted(own) != list(range(total // block)) or hashlib.md5((pcm ^ 0x80).tobytes()).digest() != s[26:42]:
+            raise FlacError("the samples' number or MD5 doesn't hold")
         done.append(pcm.tobytes())
     return done
 
@@ -381,7 +421,7 @@ def payload(text: str | None) -> tuple[int, bytes]:
     return len(raw), raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
 
 
-def _portions(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
+def _portions(sizes: list[int], most: int = 1 << 22) -> Iterator[slice]:
     """Consecutive rows of about `most` bytes together, a row at least."""
     lo, held = 0, 0
     for i, n in enumerate(sizes):
@@ -394,7 +434,7 @@ def _portions(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
 
 
 def encode(rows: DataFrame, id_col: str, payload_col: str, block: int = 192) -> DataFrame:
-    """(id, media): a FLAC stream per row. A payload (binary) is cut off at no byte: one that isn't whole blocks raises. Null counts as empty."""
+    """(id, media): a FLAC stream per row. A payload (binary) is cut off at no byte: one that isn't whole blocks raises. Null counts as empty. Repeated rows give repeated streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -407,6 +447,15 @@ def encode(rows: DataFrame, id_col: str, payload_col: str, block: int = 192) ->
     return rows.select(F.col(id_col).alias("id"), F.col(payload_col).alias("p")).mapInArrow(run, f"id {dict(rows.dtypes)[id_col]}, media binary")
 
 
+def _read(ids: list, media: list[bytes], frames_per_block: int) -> Iterator[tuple]:
+    """(id, block, first sample, samples) of every block of the streams, in order."""
+    for s in _portions([4 * len(m) for m in media]):
+        for i, m, pcm in zip(ids[s], media[s], decode_streams(media[s])):
+            step = int.from_bytes(m[8:10], "big") * frames_per_block
+            for k, at in enumerate(range(0, len(pcm), step)):
+                yield i, k, at, pcm[at : at + step]
+
+
 def pcm_blocks(rows: DataFrame, id_col: str, media_col: str, frames_per_block: int = 64) -> DataFrame:
     """(id, block, first_sample, n_samples, pcm): decoded samples in blocks that a reader can seek.
 
@@ -415,16 +464,20 @@ def pcm_blocks(rows: DataFrame, id_col: str, media_col: str, frames_per_block: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+            cols = list(zip(*out))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array([len(x) for x in cols[3]], pa.int64()), pa.array(cols[3], pa.binary())], ["id", "block", "first_sample", "n_samples", "pcm"])
+
         for b in batches:
-            media = [x.as_py() for x in b.column(1)]
-            for s in _portions([4 * len(m or b"") for m in media]):
-                own = [(i, m) for i, m in zip(b.column(0)[s].to_pylist(), media[s]) if m is not None]
-                out: list[tuple] = []
-                for (i, m), pcm in zip(own, decode_streams([m for _, m in own])):
-                    step = int.from_bytes(m[8:10], "big") * frames_per_block
-                    out += [(i, k, at, len(pcm[at : at + step]), pcm[at : at + step]) for k, at in enumerate(range(0, len(pcm), step))]
-                cols = list(zip(*out)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.types[0]), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]], ["id", "block", "first_sample", "n_samples", "pcm"])
+            known = [(i, m) for i, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if m is not None]
+            out: list[tuple] = []
+            for one in _read([i for i, _ in known], [m for _, m in known], frames_per_block):
+                out.append(one)
+                if len(out) >= 256:
+                    yield made(out, b.schema.types[0])
+                    out = []
+            if out:
+                yield made(out, b.schema.types[0])
 
     kind = dict(rows.dtypes)[id_col]
     return rows.select(F.col(id_col).alias("id"), F.col(media_col).alias("m")).mapInArrow(run, f"id {kind}, block long, first_sample long, n_samples long, pcm binary")
@@ -438,22 +491,28 @@ def feature(pcm: bytes) -> str:
     return f"peak={int(np.abs(x).max(initial=0))};zc={crossings};energy={'/'.join(map(str, energy))}"
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frames_per_block: int = 64) -> DataFrame:
     """Texts stored as FLAC and read back: (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature).
 
-    Null counts as empty; an empty text is 192 blanks. Equal texts give equal values in any batch.
+    The streams are written as a table of media columns; what comes back is read from there, through
+    the blocks of pcm_blocks in order of their first sample. Null counts as empty; an empty text is
+    192 blanks. Equal texts give equal values in any batch. Repeated rows come back as often as they came.
     """
+    raw = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
+    gap = F.when(F.length(raw) == 0, 192).otherwise(F.pmod(-F.length(raw), F.lit(192)))
+    padded = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id"), F.length(raw).cast("long").alias("n_bytes")).alias("id"), F.concat(raw, F.encode(F.repeat(F.lit(" "), gap), "UTF-8")).alias("p"))
+    media = stored(encode(padded, "id", "p").select("id.*", "media"), "media")
+    sha = lambda x: hashlib.sha256(x).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [payload(t.as_py()) for t in b.column(1)]
-            for s in _portions([len(p) for _, p in texts]):
-                media = encode_streams([p for _, p in texts[s]])
-                back = decode_streams(media)
-                sha = lambda x: hashlib.sha256(x).hexdigest()
-                cols = [[n for n, _ in texts[s]], [len(p) for p in back], [sha(p) for p in back], [zlib.crc32(p[-16:]) for p in back], [len(m) for m in media], [sha(m) for m in media], [feature(p) for p in back]]
-                yield pa.RecordBatch.from_arrays([b.column(0)[s], *[pa.array(c) for c in cols]], names)
+            streams = b.column(2).to_pylist()
+            pcm: list[list[bytes]] = [[] for _ in streams]
+            for i, _, _, samples in _read(list(range(len(streams))), streams, frames_per_block):
+                pcm[i].append(samples)
+            back = [b"".join(p) for p in pcm]
+            cols = [[len(p) for p in back], [sha(p) for p in back], [zlib.crc32(p[-16:]) for p in back], [len(m) for m in streams], [sha(m) for m in streams], [feature(p) for p in back]]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c) for c in cols]], names)
 
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -13,7 +13,13 @@ def plain_decode(stream):
     """One sample after the other, from the format's description."""
     assert stream[:4] == b"fLaC"
     block, total = int.from_bytes(stream[8:10], "big"), int.from_bytes(stream[18:26], "big") & (1 << 36) - 1
-    bits, at, out = "".join(f"{b:08b}" for b in stream), 42 * 8, []
+    bits, at, out = "".join(f"{b:08b}" for b in stream), 4, []
+    while True:  # metadata blocks
+        last, size = stream[at] & 0x80, int.from_bytes(stream[at + 1 : at + 4], "big")
+        at += 4 + size
+        if last:
+            break
+    at *= 8
 
     def read(n, signed=False):
         nonlocal at
@@ -117,3 +123,72 @@ def test_blocks_can_be_seeked(spark):
     assert b"".join(r.pcm for r in own) == WAVE
     assert all(WAVE[r.first_sample :][: r.n_samples] == r.pcm for r in own)
     assert [r.id for r in blocks if r.id == 2] == []
+
+
+#: A text whose residuals spell the next frame's header.
+SPELLS = "PQQPPPPONNNOOOOOOOOOPPQPPPPPPPPOOOOPPPPPPQQQQQRRRSSSRQQQQQQQQQQQQQQQQQPQQQQQQQQQPPQPOOOOPPPQQQQPPPQQQQQQRSSSSSSSSSSSSSSSSSUUUZ^baaaaaaaa``abbbbbcccccccccbaaabaabba```````a`````````_______^]]]]"
+
+
+@pytest.mark.parametrize("stride", [1, 3, 4, 1000])
+def test_residuals_that_spell_a_header(stride):
+    data = (SPELLS + " " * 192 + "b" * 192).encode()
+    inner = bytearray(np.random.default_rng(3).integers(0, 256, 192, dtype=np.uint8).tobytes())
+    inner[60:68] = bytes(v ^ 0x80 for v in b"\xff\xf8\x70\x02\x01\x00\xbf")+b"\0"
+    payloads = [data, bytes(inner) + b"c" * 384, data * 5]
+    assert len(data) == 576
+    assert flac.decode_streams(flac.encode_streams(payloads, stride=stride)) == payloads
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([80, 81, 128, 0, 255, 240, 248, 112, 2, 1, 191]), min_size=1, max_size=1500), st.sampled_from([1, 4]))
+def test_low_entropy(values, stride):
+    data = bytes(values)
+    data += bytes(-len(data) % 192)
+    assert flac.decode_streams(flac.encode_streams([data], stride=stride)) == [data]
+
+
+def frame(number, block, bits):
+    """A frame around the bits of a subframe."""
+    head = b"\xff\xf8\x70\x02" + bytes([number]) + (block - 1).to_bytes(2, "big")
+    head += bytes([int(flac._crc8(np.frombuffer(head, np.uint8)[None, :], np.array([len(head)]))[0])])
+    bits += "0" * (-len(bits) % 8)
+    body = head + bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+    return body + int(flac._crc16(np.frombuffer(body, np.uint8)[None, :], np.array([len(body)]))[0]).to_bytes(2, "big")
+
+
+def rice(v, k):
+    z = v << 1 if v >= 0 else -v * 2 - 1
+    return "0" * (z >> k) + "1" + (f"{z & (1 << k) - 1:0{k}b}" if k else "")
+
+
+@pytest.mark.parametrize("wide", [0, 1])
+@pytest.mark.parametrize("order", [0, 1, 2])
+def test_partitions_of_other_orders_without_a_seek_table(wide, order):
+    """Streams made by hand: four partitions, the third as plain numbers, parameters of 4 or 5 bits."""
+    block, rng = 64, np.random.default_rng(order)
+    frames, samples = [], []
+    for n in range(3):
+        x = rng.integers(-20, 20, block).tolist()
+        samples += x
+        res = x[:]
+        for _ in range(order):
+            res = [b - a for a, b in zip([0, *res], res)]
+        bits = f"0{8 + order:06b}0" + "".join(f"{v & 255:08b}" for v in x[:order]) + f"{wide:02b}" + "0010"
+        for p in range(4):
+            own = res[max(order, 16 * p) : 16 * (p + 1)]
+            bits += "1" * (4 + wide) + f"{9:05b}" + "".join(f"{v & 511:09b}" for v in own) if p == 2 else f"{p + 1:0{4 + wide}b}" + "".join(rice(v, p + 1) for v in own)
+        frames.append(frame(n, block, bits))
+    pcm = bytes(v + 128 for v in samples)
+    like = flac.encode_streams([pcm], block)[0]
+    info = bytearray(like[8:42])
+    info[7:10] = max(map(len, frames)).to_bytes(3, "big")
+    assert flac.decode_streams([b"fLaC\x80\x00\x00\x22" + bytes(info) + b"".join(frames)]) == [pcm]
+    assert flac.decode_streams([b"fLaC\x80\x00\x00\x22" + bytes(info[:4]) + bytes(6) + bytes(info[10:]) + b"".join(frames)]) == [pcm]  # sizes unknown
+
+
+def test_seek_points_name_frames():
+    media = flac.encode_streams([WAVE], stride=4)[0]
+    points = np.frombuffer(media[46 : 46 + 5 * 18], flac._POINT)
+    assert points["sample"].tolist() == [768 * i for i in range(5)] and set(points["n"].tolist()) == {192}
+    first = 46 + 5 * 18
+    assert all(media[first + a :][:2] == b"\xff\xf8" for a in points["at"].tolist())
