@@ -91,103 +91,106 @@ def _lpc(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(a * (1 << _SHIFT)), -2048, 2047).astype(np.int32)
 
 
-def _residual(x: np.ndarray, coef: np.ndarray, shift: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """x less its prediction; the first `order` samples of a lane stay as they are."""
+def _lpc_residual(x: np.ndarray, coef: np.ndarray) -> np.ndarray:
+    """x from its sample _ORDER on, less the prediction."""
     n = x.shape[1]
-    pred = np.zeros_like(x)
-    for j in range(coef.shape[1]):
-        pred[:, j + 1 :] += coef[:, j, None] * x[:, : n - j - 1]
-    pred >>= shift[:, None]
-    return np.where(np.arange(n) < order[:, None], x, x - pred)
+    pred = coef[:, :1] * x[:, _ORDER - 1 : n - 1]
+    for j in range(1, _ORDER):
+        pred += coef[:, j : j + 1] * x[:, _ORDER - 1 - j : n - 1 - j]
+    pred >>= _SHIFT
+    return x[:, _ORDER:] - pred
 
 
 def _rice_cost(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best Rice parameter of each lane and the bits it takes, warm-up not counted."""
-    best, at = None, None
+    best, at, q = None, np.zeros(len(z), np.int32), z
     for k in range(9):
-        bits = (z >> k).sum(axis=1) + (1 + k) * z.shape[1]
+        bits = q.sum(axis=1, dtype=np.int64) + (1 + k) * z.shape[1]
         if best is None:
-            best, at = bits, np.zeros(len(z), np.int64)
+            best = bits
         else:
-            at, best = np.where(bits < best, k, at), np.minimum(bits, best)
+            at, best = np.where(bits < best, k, at).astype(np.int32), np.minimum(bits, best)
+        q = q >> 1
     return at, best
 
 
 def encode_frames(x: np.ndarray, number: np.ndarray) -> list[bytes]:
     """Lanes of equal length (8-bit samples as int32) and their frame numbers -> the frames' bytes."""
     lanes, n = x.shape
-    zig = lambda r: (r << 1) ^ (r >> 31)
     lpc = _lpc(x)
+    residuals, r = [], x
+    for c in range(5):  # a fixed predictor of order c leaves the c-th differences
+        residuals.append(r)
+        r = r[:, 1:] - r[:, :-1]
+    residuals.append(_lpc_residual(x, lpc) if n > _ORDER else x[:, :0])
+    zigs = [(r << 1) ^ (r >> 31) for r in residuals]
     choice = []
-    for c in range(6):
-        coef = lpc if c == 5 else np.tile(np.array(_FIXED[c], np.int32), (lanes, 1)).reshape(lanes, -1)
-        order = np.full(lanes, _ORDER if c == 5 else c)
-        z = zig(_residual(x, coef, np.full(lanes, _SHIFT if c == 5 else 0), order))[:, (_ORDER if c == 5 else c) :]
+    for c, z in enumerate(zigs):
         k, bits = _rice_cost(z)
-        choice.append((bits + 10 + order * 8 + (9 + 12 * _ORDER if c == 5 else 0), k))
+        order = _ORDER if c == 5 else c
+        room = 0 if n > order else 1 << 30
+        choice.append((bits + room + 10 + order * 8 + (9 + 12 * _ORDER if c == 5 else 0), k))
     costs = np.stack([c for c, _ in choice], axis=1)
-    pick, rice = costs.argmin(axis=1), np.stack([k for _, k in choice], axis=1)
-    rice = rice[np.arange(lanes), pick]
+    rows = np.arange(lanes)
+    pick = costs.argmin(axis=1)
+    rice = np.stack([k for _, k in choice], axis=1)[rows, pick]
     constant = (x == x[:, :1]).all(axis=1)
     verbatim = ~constant & (costs.min(axis=1) >= 8 * n)
     coded = ~constant & ~verbatim
-    order = np.where(pick == 5, _ORDER, pick)
-    coef = np.zeros((lanes, _ORDER), np.int32)
-    for c in range(5):
-        coef[pick == c, :c] = _FIXED[c]
-    coef[pick == 5] = lpc[pick == 5]
-    res = _residual(x, coef, np.where(pick == 5, _SHIFT, 0), order)
-    z = zig(res)
+    order = np.where(coded, np.where(pick == 5, _ORDER, pick), 0)
+    z = np.zeros((lanes, n), np.int32)
+    for c, zc in enumerate(zigs):
+        own = coded & (pick == c)
+        z[own, n - zc.shape[1] :] = zc[own]
 
     # The header up to its CRC: sync, fixed block size; size in 16 bits; 8-bit mono.
     num, size = _coded_number(number)
     head = np.zeros((lanes, 13), np.uint8)
     head[:, :4] = (0xFF, 0xF8, 0x70, 0x02)
     head[:, 4:10] = num
-    rows = np.arange(lanes)
     head[rows, 4 + size], head[rows, 5 + size] = (n - 1) >> 8, (n - 1) & 0xFF
     head[rows, 6 + size] = _crc8(head, 6 + size)
-    start = (7 + size) * 8
+    start = ((7 + size) * 8).astype(np.int32)
 
+    # Warm-up samples come first, then predictor and Rice parameter, then residuals. Each is a code: its last bits, with zeros before them.
     kind = np.where(constant, 0, np.where(verbatim, 1, np.where(pick == 5, 32 + _ORDER - 1, 8 + pick)))
-    lead = np.where(pick == 5, 9 + 12 * _ORDER, 0)
-    q = np.where(coded[:, None], z >> rice[:, None], 0)
-    inside = np.arange(n) >= order[:, None]
-    length = np.where(coded[:, None], np.where(inside, q + 1 + rice[:, None], 8), np.where(constant[:, None], 8 * (np.arange(n) == 0), 8))
-    # warm-up samples come first, then predictor and Rice parameter, then residuals
-    gap = np.where(coded, lead + 10, 0)
-    at = np.cumsum(length, axis=1) - length + np.where(coded[:, None] & inside, gap[:, None], 0) + (start + 8)[:, None]
+    lead = np.where(coded & (pick == 5), 9 + 12 * _ORDER, 0)
+    gap = np.where(coded, lead + 10, 0).astype(np.int32)
+    inside = coded[:, None] & (np.arange(n) >= order[:, None])
+    q = np.where(inside, z >> rice[:, None], 0)
+    width = np.where(inside, (1 + rice)[:, None], 8).astype(np.int32)
+    value = np.where(inside, 1 << rice[:, None] | z & ((1 << rice) - 1)[:, None], x & 0xFF).astype(np.int32)
+    width[constant, 1:] = value[constant, 1:] = 0
+    length = q + width
+    at = np.cumsum(length, axis=1, dtype=np.int32) - width + (start + 8)[:, None] + inside * gap[:, None]
     end = start + 8 + length.sum(axis=1) + gap
     bytes_ = (end + 7) // 8
-    bits = np.zeros((lanes, int(bytes_.max()) * 8), np.uint8)
+    wide = max(16, int(bytes_.max()) + 3)
+    places, codes = [(rows[:, None] * (wide * 8) + at).ravel()], [(value << (24 - width - (at & 7))).ravel()]
 
-    def put(where: np.ndarray, first: np.ndarray, value: np.ndarray, width: int) -> None:
-        for b in range(width):
-            bits[where, first + b] = value >> (width - 1 - b) & 1
+    def put(where: np.ndarray, first: np.ndarray, value: np.ndarray | int, width: int) -> None:
+        places.append(where * (wide * 8) + first)
+        codes.append(np.broadcast_to(value, first.shape).astype(np.int32) << (24 - width - (first & 7)))
 
-    bits[:, : 13 * 8] = np.unpackbits(head, axis=1)[:, : bits.shape[1]] if bits.shape[1] < 104 else np.unpackbits(head, axis=1)
-    bits[np.arange(bits.shape[1]) >= start[:, None]] = 0
     put(rows, start, kind << 1, 8)
-    raw_r, raw_c = np.nonzero((length > 0) & ~(coded[:, None] & inside))
-    put(raw_r, at[raw_r, raw_c], x[raw_r, raw_c] & 0xFF, 8)
     r = np.flatnonzero(coded & (pick == 5))
-    warm = start + 8 + 8 * order
-    put(r, warm[r], np.full(len(r), 11), 4)  # 12-bit coefficients
-    put(r, warm[r] + 4, np.full(len(r), _SHIFT), 5)
+    warm = start[r] + 8 + 8 * _ORDER
+    put(r, warm, 11, 4)  # 12-bit coefficients
+    put(r, warm + 4, _SHIFT, 5)
     for j in range(_ORDER):
-        put(r, warm[r] + 9 + 12 * j, coef[r, j] & 0xFFF, 12)
+        put(r, warm + 9 + 12 * j, lpc[r, j] & 0xFFF, 12)
     r = np.flatnonzero(coded)
-    put(r, warm[r] + lead[r] + 6, rice[r], 4)  # method 0, partition order 0
-    rr, rc = np.nonzero(coded[:, None] & inside)
-    stop = at[rr, rc] + q[rr, rc]
-    bits[rr, stop] = 1
-    k, v = rice[rr], z[rr, rc]
-    for b in range(8):
-        on = b < k
-        bits[rr[on], stop[on] + 1 + b] = v[on] >> (k[on] - 1 - b) & 1
-    body = np.packbits(bits, axis=1)
+    put(r, start[r] + 8 + 8 * order[r] + lead[r] + 6, rice[r], 4)  # method 0, partition order 0
+    byte, code = np.concatenate(places) >> 3, np.concatenate(codes)
+    body = np.bincount(byte, code >> 16, lanes * wide)  # no two codes share a bit: their sum is their union
+    body += np.bincount(byte + 1, code >> 8 & 0xFF, lanes * wide)[: lanes * wide]
+    body += np.bincount(byte + 2, code & 0xFF, lanes * wide)[: lanes * wide]
+    body = body.astype(np.uint8).reshape(lanes, wide)
+    headed = np.arange(13) < (7 + size)[:, None]
+    body[:, :13] = np.where(headed, head, body[:, :13])
     crc = _crc16(body, bytes_)
-    return [body[i, : bytes_[i]].tobytes() + int(crc[i]).to_bytes(2, "big") for i in range(lanes)]
+    flat = body.tobytes()
+    return [flat[i * wide : i * wide + b] + c.to_bytes(2, "big") for i, (b, c) in enumerate(zip(bytes_.tolist(), crc.tolist()))]
 
 
 def encode_streams(payloads: list[bytes], block: int = 192, stride: int = _STRIDE) -> list[bytes]:
