@@ -90,6 +90,7 @@ class AttentionLm:
         self.window, self.dim = window, dim
         self.p = {"cls": w(classes, dim), "ids": w(self.HASHED, dim), "pos": w(window, dim), "q": w(dim, dim), "k": w(dim, dim), "v": w(dim, dim), "out": w(dim, classes), "bias": np.zeros(classes, np.float32)}
         self.mask = np.triu(np.full((window, window), -1e9, np.float32), 1)
+        self.seen = np.tril(np.ones((window, window), np.float32))
 
     def _forward(self, cls: np.ndarray, ids: np.ndarray) -> tuple:
         p = self.p
@@ -110,26 +111,46 @@ class AttentionLm:
 
     def gradients(self, c: np.ndarray, i: np.ndarray, y: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss over the targets that `real` marks."""
-        p, root = self.p, math.sqrt(self.dim)
-        x, q, k, v, a, h = self._forward(c, i)
-        z = h @ p["out"] + p["bias"]
-        d = np.exp(z - z.max(axis=2, keepdims=True))
-        d /= d.sum(axis=2, keepdims=True)
-        np.put_along_axis(d, y[:, :, None], np.take_along_axis(d, y[:, :, None], axis=2) - 1, axis=2)
-        d *= (real / np.float32(max(1, real.sum())))[:, :, None]
-        flat = lambda u: u.reshape(-1, u.shape[-1])
-        g = {"out": flat(h).T @ flat(d), "bias": flat(d).sum(axis=0)}
-        dh = flat(d) @ p["out"].T
-        dh = dh.reshape(h.shape)
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True)) / np.float32(root)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dx = dh + (flat(dq) @ p["q"].T + flat(dk) @ p["k"].T + flat(dv) @ p["v"].T).reshape(h.shape)
-        g |= {n: flat(x).T @ flat(u) for n, u in (("q", dq), ("k", dk), ("v", dv))}
-        g["pos"] = dx.sum(axis=0)
-        for n, rows in (("cls", c), ("ids", i % self.HASHED)):
-            at = (rows.reshape(-1, 1) * self.dim + np.arange(self.dim)).ravel()
-            g[n] = np.bincount(at, dx.ravel(), p[n].size).reshape(p[n].shape).astype(np.float32)
+        p, w, d, n = self.p, self.window, self.dim, len(c)
+        scale, hashed = np.float32(1 / math.sqrt(d)), i % self.HASHED
+        x = (p["cls"].take(c.ravel(), 0) + p["ids"].take(hashed.ravel(), 0)).reshape(n, w, d)
+        x += p["pos"]
+        x = x.reshape(-1, d)
+        weights = np.hstack([p["q"] * scale, p["k"], p["v"]])
+        qkv = (x @ weights).reshape(n, w, 3 * d)
+        q, k, v = (qkv[:, :, d * j : d * (j + 1)] for j in range(3))
+        a = q @ k.transpose(0, 2, 1)
+        np.clip(a, -60, 60, out=a)  # far beyond what is fitted; the exponentials stay finite
+        np.exp(a, out=a)
+        a *= self.seen
+        a /= a @ np.ones((w, 1), np.float32)
+        found = (a @ v).reshape(-1, d)
+        h = x + found
+        z = h @ p["out"]
+        z += p["bias"]
+        np.clip(z, -60, 60, out=z)
+        np.exp(z, out=z)
+        counted = real.reshape(-1, 1) / np.float32(max(1, real.sum()))
+        z *= counted / (z @ np.ones((z.shape[1], 1), np.float32))
+        z[np.arange(len(z)), y.ravel()] -= counted.ravel()
+        g = {"out": h.T @ z, "bias": np.ones(len(z), np.float32) @ z}
+        dx = z @ p["out"].T
+        dh = dx.reshape(n, w, d)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= ((dx * found) @ np.ones((d, 1), np.float32)).reshape(n, w, 1)
+        ds *= a
+        back = np.empty((n, w, 3 * d), np.float32)
+        np.matmul(ds, k, out=back[:, :, :d])
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[:, :, d : 2 * d])
+        np.matmul(a.transpose(0, 2, 1), dh, out=back[:, :, 2 * d :])
+        back = back.reshape(-1, 3 * d)
+        gw = x.T @ back
+        g |= {"q": gw[:, :d] * scale, "k": gw[:, d : 2 * d], "v": gw[:, 2 * d :]}
+        dx += back @ weights.T
+        g["pos"] = dx.reshape(n, w, d).sum(axis=0)
+        for name, rows in (("cls", c), ("ids", hashed)):
+            at = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
+            g[name] = np.bincount(at, dx.ravel(), p[name].size).reshape(p[name].shape).astype(np.float32)
         return g
 
     def fit(self, cls: np.ndarray, ids: np.ndarray, target: np.ndarray, steps: int = 600, batch: int = 48, rate: float = 0.01, seed: int = 7, real: np.ndarray | None = None) -> AttentionLm:
@@ -151,11 +172,21 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        t, m, v, p = self.t, self.m, self.v, self.p
-        for n in p:
-            m[n] = 0.9 * m[n] + 0.1 * g[n]
-            v[n] = 0.99 * v[n] + 0.01 * g[n] ** 2
-            p[n] -= (rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        root = math.sqrt(1 - 0.99**self.t)
+        rate *= root / (1 - 0.9**self.t)
+        for n, w in self.p.items():
+            m, v, x = self.m[n], self.v[n], g[n]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * x
+            v *= np.float32(0.99)
+            x = x * x
+            x *= np.float32(0.01)
+            v += x
+            np.sqrt(v, out=x)
+            x += np.float32(1e-8 * root)
+            np.divide(m, x, out=x)
+            x *= np.float32(rate)
+            w -= x
 
 
 class SubwordModel(NamedTuple):
@@ -345,46 +376,44 @@ def _round(texts: DataFrame, model: SubwordModel, window: int, turn: int, rounds
         lo += math.prod(shape)
 
 
-def learn(docs: DataFrame, path: str, hot: int, classes: int, window: int, max_windows: int, rounds: int = 2, rate: float = 0.004, batch: int = 64) -> tuple:
-    """Word counts (a stored table), N, V, the hot words, and the fitted subword model. docs: doc_id, text, held."""
-    train = docs.where("not held").select("doc_id", "text")
+def learn(docs: DataFrame, path: str, hot: int, classes: int, window: int, max_windows: int, rounds: int = 2, rate: float = 0.004, batch: int = 128) -> tuple:
+    """Word counts (a stored table), N, V, the hot words, the fitted subword model, and all texts' ids between two ends (doc_id, held, text_key, ids). docs: doc_id, text, held, text_key."""
     grain = 1 << 30
-    flagged = train.select("text", F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(grain)).alias("draw"))
+    flagged = docs.select("text", "doc_id", "held", "text_key", F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(grain)).alias("draw"))
     size, end = subwords(path).size, subwords(path).end
+    names = ["word", "n", "ids", "doc_id", "held", "text_key", "draw", "windows"]
+    kinds = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, words, subs = subwords(path), Counter(), np.zeros(size, np.int64)
-        names = ["word", "n", "ids", "draw", "windows"]
 
-        def rows(n: int, word=None, count=None, ids=None, draw=None, windows=None) -> pa.RecordBatch:
-            types = (pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else c for c, t in zip((word, count, ids, draw, windows), types)], names)
+        def rows(size: int, **cols: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([cols.get(c, pa.nulls(size, t)) for c, t in zip(names, kinds)], names)
 
         def flush() -> pa.RecordBatch:
-            out = rows(len(words), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64()))
+            out = rows(len(words), word=pa.array(list(words), pa.string()), n=pa.array(list(words.values()), pa.int64()))
             words.clear()
             return out
 
         for whole in batches:
             for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
                 seqs = []
-                for t in b.column(0):
-                    t = t.as_py()
-                    words.update(words_of(t))
-                    ids = coder.ids(t)
-                    np.add.at(subs, ids, 1)
-                    subs[end] += 1
-                    seqs.append(np.r_[end, ids, end].astype(np.int32))
+                for t, held in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+                    ids = np.array([end, *coder.coder.encode_ordinary(t or ""), end], np.int32)
+                    if not held:
+                        words.update(words_of(t))
+                        np.add.at(subs, ids[1:], 1)
+                    seqs.append(ids)
                 sizes = np.array([len(q) for q in seqs])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(seqs)))
-                yield rows(len(seqs), ids=lists, draw=b.column(1), windows=pa.array(-(-(sizes - 1) // window), pa.int64()))
+                yield rows(len(seqs), ids=lists, doc_id=b.column(1), held=b.column(2), text_key=b.column(3), draw=b.column(4), windows=pa.array(-(-(sizes - 1) // window), pa.int64()))
                 if len(words) > 300_000:
                     yield flush()
         yield flush()
         used = np.flatnonzero(subs)
-        yield rows(len(used), count=pa.array(subs[used]), draw=pa.array(used, pa.int64()))
+        yield rows(len(used), n=pa.array(subs[used]), draw=pa.array(used, pa.int64()))
 
-    seen = stored(flagged.mapInArrow(count, "word string, n long, ids array<int>, draw long, windows long"), "lm-counts")
+    seen = stored(flagged.mapInArrow(count, "word string, n long, ids array<int>, doc_id long, held boolean, text_key long, draw long, windows long"), "lm-counts")
     counts = durable(seen.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(hot).toArrow()
@@ -396,8 +425,8 @@ def learn(docs: DataFrame, path: str, hot: int, classes: int, window: int, max_w
     cls = _classes(freq, classes)
     mass = np.bincount(cls, weights=freq + 1.0, minlength=classes)
 
-    texts = seen.where("windows is not null").select("ids", "draw")
-    n_windows = seen.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    texts = seen.where("not held").select("ids", "draw")
+    n_windows = seen.where("not held").agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
     share = min(grain, max_windows * grain // max(1, n_windows))
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +439,7 @@ def learn(docs: DataFrame, path: str, hot: int, classes: int, window: int, max_w
     model = SubwordModel(AttentionLm(classes, window).fit(x, i, y, real=real), cls, np.log10((freq + 1.0) / mass[cls]), end, path)
     for turn in range(rounds):
         _round(texts, model, window, turn, rounds, rate / (turn + 1), batch)
-    return counts, total, distinct, hot_words, model
+    return counts, total, distinct, hot_words, model, seen.where("held is not null").select("doc_id", "held", "text_key", "ids")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, hot: int = 200_000, classes: int = 64, window: int = 32, max_windows: int = 6_000) -> DataFrame:
@@ -422,40 +451,45 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """
     path = path or default_path()
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held"), F.xxhash64(text_col).alias("text_key"))
-    counts, total, distinct, hot_words, model = learn(base, path, hot, classes, window, max_windows)
+    counts, total, distinct, hot_words, model, coded = learn(base, path, hot, classes, window, max_windows)
     sent = docs.sparkSession.sparkContext.broadcast((hot_words, model))  # at most `hot` words, and a model of fixed size
 
+    def attended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm = sent.value[1]
+        for b in batches:
+            values, cuts = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+            scores = lm.score([values[x + 1 : y - 1].astype(np.int64) for x, y in zip(cuts[:-1], cuts[1:])])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(scores, pa.float64())], ["doc_id", "held_out", "text_key", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lm = sent.value
-        logs = {w: math.log10(c + 1) for w, c in known.items()}
-        coder = subwords(path)
+        logs = {w: math.log10(c + 1) for w, c in sent.value[0].items()}
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                ids, held, keys = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-                texts = b.column(1).to_pylist()
-                cols: list[list] = [[] for _ in range(9)]
-                for i, h, key, t, s in zip(ids, held, keys, texts, lm.score([coder.ids(t) for t in texts])):
+                cols: list[list] = [[] for _ in range(8)]
+                for i, h, key, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(1).to_pylist()):
                     n, total_log, n_known = 0, 0.0, 0
                     for w, tf in Counter(words_of(t)).items():
                         n += tf
-                        if w in logs:
-                            total_log += tf * logs[w]
+                        got = logs.get(w)
+                        if got is not None:
+                            total_log += tf * got
                             n_known += tf
                         else:  # its count is joined to it
-                            for c, v in zip(cols, (i, h, key, w, tf, None, None, None, None)):
+                            for c, v in zip(cols, (i, h, key, w, tf, None, None, None)):
                                 c.append(v)
-                    for c, v in zip(cols, (i, h, key, None, None, n, n_known, total_log, s)):
+                    for c, v in zip(cols, (i, h, key, None, None, n, n_known, total_log)):
                         c.append(v)
-                types = (pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+                types = (pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    names = ["doc_id", "held_out", "text_key", "word", "tf", "n_tokens", "n_known", "logs", "score"]
-    rows = stored(base.select("doc_id", "text", "held", "text_key").mapInArrow(run, "doc_id long, held_out boolean, text_key long, word string, tf long, n_tokens long, n_known long, logs double, score double"), "lm-rows")
+    names = ["doc_id", "held_out", "text_key", "word", "tf", "n_tokens", "n_known", "logs"]
+    rows = stored(base.select("doc_id", "text", "held", "text_key").mapInArrow(run, "doc_id long, held_out boolean, text_key long, word string, tf long, n_tokens long, n_known long, logs double"), "lm-rows")
+    scored = coded.mapInArrow(attended, "doc_id long, held_out boolean, text_key long, score double")
     joined = rows.where("word is not null").join(counts, "word", "left")
     tail = joined.select("doc_id", "held_out", "text_key", F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("n_known"), (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("logs"))
-    main = rows.where("word is null").select("doc_id", "held_out", "text_key", "n_tokens", "n_known", "logs", "score")
+    main = rows.where("word is null").select("doc_id", "held_out", "text_key", "n_tokens", "n_known", "logs")
     # Rows of one id and text are equal: they travel as one, and their sums are divided by their number.
-    both = main.unionByName(tail, allowMissingColumns=True).groupBy("doc_id", "held_out", "text_key")
+    both = main.unionByName(tail, allowMissingColumns=True).unionByName(scored, allowMissingColumns=True).groupBy("doc_id", "held_out", "text_key")
     summed = both.agg(F.count("n_tokens").cast("int").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("known"), F.sum("logs").alias("logs"), F.max("score").alias("score"))
     floor = math.log10(total + distinct + 1)
     out = summed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))

@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from millrace.llm import attention_lm
 
 
@@ -79,6 +81,42 @@ def test_gradients():
     assert net.log_probs(x, x, y)[:, 1:].mean() > 0.3 * before
 
 
+def test_gradients_against_differences():
+    rng = np.random.default_rng(1)
+    net = attention_lm.AttentionLm(5, 6, dim=4)
+    for n in net.p:
+        net.p[n] = rng.normal(0, 0.5, net.p[n].shape)
+    net.mask, net.seen = net.mask.astype(float), net.seen.astype(float)
+    c, i, y, real = rng.integers(0, 5, (3, 6)), rng.integers(0, 40, (3, 6)), rng.integers(0, 5, (3, 6)), rng.random((3, 6)) < 0.7
+    loss = lambda: -net.log_probs(c, i, y)[real].mean()
+    for n, g in net.gradients(c, i, y, real).items():
+        for at in rng.permutation([k for k in np.ndindex(net.p[n].shape) if n != "ids" or k[0] < 40])[:12]:
+            at, was = tuple(at), net.p[n][tuple(at)]
+            net.p[n][at] = was + 1e-5
+            up = loss()
+            net.p[n][at] = was - 1e-5
+            down = loss()
+            net.p[n][at] = was
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-4
+
+
+def test_score_against_a_plain_walk(spark, sf):
+    """The query's score of every document from the fitted weights, window by window, without batches, tables or the stored ids."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    base = docs.select("doc_id", "text", attention_lm.held_out(F.col("doc_id")).alias("held"), F.xxhash64("text").alias("text_key"))
+    *_, model, _ = attention_lm.learn(base, attention_lm.default_path(), 1000, 64, 32, 6_000)
+    coder, got = attention_lm.subwords(attention_lm.default_path()), {r.doc_id: r.score for r in attention_lm.score(docs).collect()}
+    for r in docs.collect():
+        seq = np.r_[model.end, coder.ids(r.text), model.end]
+        total, n = 0.0, len(seq) - 1
+        for at in range(0, max(1, n - 16), 16):
+            x, y = seq[at : at + 32][: n - at], seq[at + 1 : at + 33]
+            pad = lambda v: np.r_[v, np.zeros(32 - len(v), int)][None, :]
+            lp = model.net.log_probs(model.cls[pad(x)], pad(x), model.cls[pad(y)])[0, : len(y)] / math.log(10) + model.inside[y]
+            total += lp[0 if at == 0 else 16 :].sum()
+        assert abs(got[r.doc_id] - total) < 1e-3 * max(1, abs(total)) ** 0.5
+
+
 def test_causality():
     net = attention_lm.AttentionLm(4, 8)
     x = np.zeros((1, 8), int)
