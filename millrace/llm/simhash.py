@@ -2,10 +2,11 @@
 
 Fingerprints become candidates through blocks of bits: split into radius + 1 blocks, two
 fingerprints within the radius agree in at least one block, so every link lies inside some
-(block, value) bucket. Buckets are compared exhaustively, tile against tile, with numpy
-exclusive-or and bit counts; tile pairs whose population counts differ by more than the
-radius are skipped. Buckets over `tile` rows are cut into tiles that meet pairwise in
-separate groups, so no task holds an unbounded bucket and no pair of a bucket is missed.
+(block, value) bucket. In a crowded bucket the same holds of the other bits, which name smaller
+buckets. Buckets are compared exhaustively, tile against tile, with numpy exclusive-or and bit
+counts. A bucket over `tile` rows is cut into tiles by population count; two tiles meet only if
+their counts differ by no more than the radius, and no row is copied for tile pairs that are
+skipped. So no task holds an unbounded bucket and no pair of a bucket is missed.
 
 Equal fingerprints are one row throughout; copies come back by a join at the end.
 """
@@ -18,7 +19,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
@@ -124,45 +125,78 @@ def _compare(tile: np.ndarray, fp: np.ndarray, radius: int, small: int = 64, sid
     return both[root[linked]], both[linked]
 
 
-def links(distinct_fps: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
-    """(a, b): links that span every group of fingerprints within the radius. distinct_fps: (fp), no repeats, no nulls."""
+def tiles(rows: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(bucket, key, fp, ...) -> the same with `tile` and `bits`, each row once for every tile pair of its bucket that it takes part in, a tile's rows together and in order of population count.
+
+    A bucket of at most `tile` rows is one tile. A larger one is cut by population count, and where one
+    count has too many rows, by the key's hash; tiles whose counts differ by more than the radius don't meet.
+    """
+    counted = rows.withColumn("bits", F.bit_count("fp"))
+    crowded = rows.groupBy("bucket").count().where(F.col("count") > tile).select("bucket")
+    cells = counted.join(crowded, "bucket", "left_semi").groupBy("bucket", "bits").count()
+    cuts = cells.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("bits", F.ceil(F.col("count") / tile).cast("int").alias("n")))).alias("cuts"))  # 65 entries at most
+    met = counted.join(cuts, "bucket", "left")
+    place = lambda b, n: F.struct(b.alias("b"), n.alias("n"))
+    own = place(F.col("bits"), F.pmod(F.xxhash64("key"), F.element_at("cuts", F.col("bits"))).cast("int"))
+    there = F.filter(F.sequence(F.col("bits") - radius, F.col("bits") + radius), lambda b: F.map_contains_key("cuts", b))
+    others = F.flatten(F.transform(there, lambda b: F.transform(F.sequence(F.lit(0), F.element_at("cuts", b) - 1), lambda n: place(b, n))))
+    alone = F.expr("array(cast(null as struct<b:int,n:int>))")
+    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("cuts").isNull(), alone).otherwise(others)))
+    name = F.when(F.col("cuts").isNull(), F.xxhash64("bucket")).otherwise(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.withColumn("tile", name).drop("cuts", "own", "other", "bucket").repartition("tile").sortWithinPartitions("tile", "bits", "key")
+
+
+def _blocks(fp: Column, width: int, blocks: int) -> list[Column]:
+    """The lowest `width` bits of fp cut into blocks."""
+    edges = [width * k // blocks for k in range(blocks + 1)]
+    return [F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(edges, edges[1:])]
+
+
+def buckets(fps: DataFrame, radius: int, tile: int) -> DataFrame:
+    """(bucket, key, fp): every two fingerprints within the radius share a bucket. fps: (fp)."""
     blocks = radius + 1
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    parts = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(edges, edges[1:])])
-    keyed = distinct_fps.select("fp", F.posexplode(parts).alias("block", "value"))
+    value, rest = F.array(*_blocks(F.col("fp"), 64, blocks)), []
+    for lo, hi in zip(edges, edges[1:]):  # the bits beyond a block, brought to the low end
+        turned = F.shiftrightunsigned("fp", hi).bitwiseOR(F.shiftleft("fp", 64 - hi)) if hi < 64 else F.col("fp")
+        rest.append(F.array(*_blocks(turned, 64 - (hi - lo), blocks)))
+    keyed = fps.select("fp", F.posexplode(F.arrays_zip(value.alias("value"), F.array(*rest).alias("rest"))).alias("block", "x")).select("fp", F.xxhash64("block", "x.value").alias("outer"), "x.rest")
     # At most blocks * 2^(64/blocks) rows whatever the input (262,144 for radius 3), of which only the crowded ones are kept.
-    crowded = keyed.groupBy("block", "value").count().where(F.col("count") > tile)
-    crowded = crowded.select("block", "value", F.ceil(F.col("count") / tile).cast("int").alias("cuts"))
-    if radius <= 3:
-        crowded = F.broadcast(crowded)
-    cut = keyed.join(crowded, ["block", "value"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), "cuts").cast("int"))
-    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    name = F.xxhash64("block", "value", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = met.select(name.alias("tile"), "fp", F.bit_count("fp").alias("bits")).repartition("tile").sortWithinPartitions("tile", "bits", "fp")
+    crowded = keyed.groupBy("outer").count().where(F.col("count") > tile).select("outer", F.lit(True).alias("crowded"))
+    met = keyed.join(F.broadcast(crowded) if radius <= 3 else crowded, "outer", "left")
+    inner = F.when(F.col("crowded"), F.transform("rest", lambda v, i: F.xxhash64(F.col("outer"), i, v))).otherwise(F.array("outer"))
+    return met.select(F.explode(inner).alias("bucket"), F.col("fp").alias("key"), "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_t, held_f = np.empty(0, np.int64), np.empty(0, np.uint64)
 
-        def found(t: np.ndarray, f: np.ndarray) -> pa.RecordBatch:
-            i, j = _compare(t, f, radius)
-            return pa.RecordBatch.from_arrays([pa.array(f[i].view(np.int64)), pa.array(f[j].view(np.int64))], ["a", "b"])
+def links(distinct_fps: DataFrame, radius: int = 3, tile: int = 2048) -> DataFrame:
+    """(a, b): links that span every group of fingerprints within the radius. distinct_fps: (fp), no repeats, no nulls."""
+    dealt = tiles(buckets(distinct_fps, radius, tile), radius, tile).select("tile", "fp")
 
-        for b in batches:
-            t = np.r_[held_t, b.column(0).to_numpy()]
-            f = np.r_[held_f, b.column(1).to_numpy().view(np.uint64)]
-            if not len(t):
-                continue
-            open_at = np.searchsorted(t, t[-1])  # the last group may go on in the next batch; at most two tiles of rows
-            held_t, held_f = t[open_at:], f[open_at:]
-            if open_at:
-                yield found(t[:open_at], f[:open_at])
-        if len(held_t):
-            yield found(held_t, held_f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, (fps,) in whole_tiles(batches):
+            f = fps.view(np.uint64)
+            i, j = _compare(t, f, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(f[i].view(np.int64)), pa.array(f[j].view(np.int64))], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Sorted batches of (tile, columns of longs) cut so that no tile is split; at most two tiles of rows are held over."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        cols = [c.to_numpy() for c in b.columns]
+        held = cols if held is None else [np.r_[h, c] for h, c in zip(held, cols)]
+        if not len(held[0]):
+            continue
+        open_at = np.searchsorted(held[0], held[0][-1])  # the last tile may go on in the next batch
+        if open_at:
+            yield held[0][:open_at], [c[:open_at] for c in held[1:]]
+            held = [c[open_at:] for c in held]
+    if held is not None and len(held[0]):
+        yield held[0], held[1:]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3, tile: int = 2048) -> DataFrame:
     """(doc_id, text_key, fp, component_id) of each row of docs.
 
@@ -172,11 +206,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     null. Repeated rows come back as often as they came. Other columns are not looked at.
     """
     rows = stored(fingerprints(docs, id_col, text_col, width), "simhash")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(links(distinct.select("fp"), radius, tile))
-    labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    labelled = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(labelled.select("fp", "root").join(smallest, "root"), "fp").select("doc_id", "text_key", "fp", "component_id")
+    found = labelled.select("fp", "root", "n").join(smallest, "root")
+    # At most 1,000 fingerprints can have a thousandth of the rows each; these are broadcast, and no copies pile up in one task.
+    most = F.lit(max(1, rows.count() // 1000))
+    hot = F.broadcast(found.where(F.col("n") > most).select("fp", F.col("component_id").alias("hot"), F.lit(True).alias("is_hot")))
+    marked = rows.join(hot, "fp", "left")
+    rest = marked.where("is_hot is null").select("doc_id", "text_key", "fp").join(found.where(F.col("n") <= most).select("fp", "component_id"), "fp")
+    return marked.where("is_hot").select("doc_id", "text_key", "fp", F.col("hot").alias("component_id")).unionByName(rest.select("doc_id", "text_key", "fp", "component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, width: int = 3) -> DataFrame:

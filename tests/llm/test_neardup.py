@@ -45,3 +45,24 @@ def test_pairs_at_the_threshold_and_awkward_rows(spark):
     docs = spark.createDataFrame([(*r, 0) for r in data], "doc_id long, text string, n int")
     assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == plain_kept(data)
     assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_crowded_items_by_tiles(spark):
+    """Many sets that share one common passage, in tiles of a few rows each."""
+    import random
+
+    rng = random.Random(5)
+    shared = [f"s{i}" for i in range(30)]
+    data = []
+    for k in range(60):
+        own = [f"o{k}_{i}" for i in range(20)]
+        base = shared + own
+        data.append((3 * k, " ".join(base)))
+        for c in (1, 2):
+            copy = base[:]
+            for _ in range(c):
+                copy[rng.randrange(len(copy) - 1)] = f"x{k}_{c}"
+            data.append((3 * k + c, " ".join(copy)))
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = neardup.groups(docs, tile=8).groupBy("group").agg({"doc_id": "min"}).collect()
+    assert sorted(r[1] for r in got) == plain_kept(data)
