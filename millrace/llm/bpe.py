@@ -1,12 +1,19 @@
-"""BPE encoding and decoding, with tree concatenation for long unsplit text.
-
-Text is normalised and cut into pieces as the tokenizer file says; pieces repeat, so their
-ids are kept in a bounded table. A piece beyond `leaf` symbols (a run that nothing splits) is
-cut into leaves, which the library encodes in parallel; neighbouring results then join in a
-tree. A join re-encodes a window of tokens around the seam and doubles it until its first and
-last token are those that the two sides already had. That is exact: a token sequence is the
-encoding of its text if and only if every two neighbours in it are the encoding of theirs,
-and after agreement every neighbouring pair has been seen inside one encoding.
+"""BPE encoding and decoding by tree concatenation.
+
+A text beyond `leaf` characters is halved, wherever that falls, until its parts are leaves. Leaves
+are encoded on their own; neighbouring results then join in a tree. A join re-encodes a window of
+k runs on each side of the seam (a run is what stands between white space) and doubles k until
+the window begins and ends with runs that the two sides already had. That is exact: no piece
+spans white space, so a run that is whole in a part is coded there as in the whole text.
+
+A piece that nothing splits and that is beyond `leaf` symbols goes the same way one level down:
+its leaves are encoded by the library in parallel, and windows of tokens grow at the joins until
+their first and last tokens are those of the two sides. A token sequence is the encoding of its
+text if and only if every two neighbours in it are the encoding of theirs, and after agreement
+every neighbouring pair has been seen inside one encoding.
+
+Runs repeat, so their ids are kept in a bounded table. Texts are dealt over tasks by Spark; the
+parts of one text stay in its task, as its ids do in its row.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import regex
@@ -54,12 +61,7 @@ class PieceBpe:
         self.last = Tokenizer.from_str(json.dumps(bare))
         self.inner = Tokenizer.from_str(json.dumps(bare | {"model": spec["model"] | {"end_of_word_suffix": None}}))
         self.leaf, self.keep, self.seen, self.older = leaf, keep, {}, {}
-
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of text without special tokens, before bytes are mapped."""
-        if _PLAIN.fullmatch(text):
-            return self.pattern.findall(text.lower())
-        return [p for p, _ in self.cut.pre_tokenize_str(self.tok.normalizer.normalize_str(text))]
+        self.seams = self.windows = 0  # joined so far, and windows that it took
 
     def piece_ids(self, piece: str) -> list[int]:
         mapped = "".join(p for p, _ in self.to_bytes.pre_tokenize_str(piece))
@@ -113,16 +115,59 @@ class PieceBpe:
     def _named(self, ids: list[int]) -> tuple[str, str, int]:
         return " ".join(map(str, ids)), " ".join(map(self.tok.id_to_token, ids)), len(ids)
 
+    def _plain_runs(self, text: str) -> list[tuple]:
+        """(run, its codes) of lower-cased plain text."""
+        return [(run, (self.seen.get(run) or self._kept(run, True),)) for run in text.split()]
+
+    def _other_runs(self, text: str) -> list[tuple]:
+        """(run, codes of its pieces) of normalised text. Pieces that touch are one run."""
+        runs: list[tuple] = []
+        held, codes, end = [], [], -1
+        for piece, (lo, hi) in self.cut.pre_tokenize_str(text):
+            if held and lo != end:
+                runs.append(("".join(held), tuple(codes)))
+                held, codes = [], []
+            held.append(piece)
+            codes.append(self.seen.get(piece) or self._kept(piece, False))
+            end = hi
+        return runs + [("".join(held), tuple(codes))] if held else runs
+
+    def _text_tree(self, text: str, runs: Callable[[str], list[tuple]]) -> list[tuple]:
+        cuts = list(range(0, len(text), self.leaf))
+        nodes = [runs(text[c : c + self.leaf]) for c in cuts]
+        while len(nodes) > 1:
+            joined = [self._seam(text, cuts[i + 1], nodes[i], nodes[i + 1], runs) for i in range(0, len(nodes) - 1, 2)]
+            nodes, cuts = joined + nodes[len(joined) * 2 :], cuts[::2]
+        return nodes[0] if nodes else []
+
+    def _seam(self, text: str, seam: int, left: list[tuple], right: list[tuple], runs: Callable[[str], list[tuple]]) -> list[tuple]:
+        self.seams += 1
+        k = 1
+        while True:
+            l, r = left[-k:], right[:k]
+            lo = hi = seam
+            for run, _ in reversed(l):  # between runs there is white space only
+                lo = text.rindex(run, 0, lo)
+            for run, _ in r:
+                hi = text.index(run, hi) + len(run)
+            window = runs(text[lo:hi])
+            self.windows += 1
+            if (len(l) == len(left) or window[:1] == l[:1]) and (len(r) == len(right) or window[-1:] == r[-1:]):
+                return left[: len(left) - len(l)] + window + right[len(r) :]
+            k *= 2
+
     def coded(self, text: str | None) -> tuple[list[str], list[str], int]:
         """Runs of decimal ids, the same runs decoded, and how many tokens they are."""
         out: list[tuple[str, str, int]] = []
         for part in (self.special.split(text) if self.special and text else [text or ""]):
             if self.special and self.special.fullmatch(part):
                 out.append((str(self.tok.token_to_id(part)), part, 1))
-            elif _PLAIN.fullmatch(part):  # no piece spans white space: runs between it repeat, and with them their ids
-                out += [self.seen.get(run) or self._kept(run, True) for run in part.lower().split()]
+                continue
+            if _PLAIN.fullmatch(part):
+                whole, runs = part.lower(), self._plain_runs
             else:
-                out += [self.seen.get(piece) or self._kept(piece, False) for piece in self.pieces(part)]
+                whole, runs = self.tok.normalizer.normalize_str(part), self._other_runs
+            out += [code for _, codes in self._text_tree(whole, runs) for code in codes]
         out = [x for x in out if x[2]]
         return [x[0] for x in out], [x[1] for x in out], sum(x[2] for x in out)
 

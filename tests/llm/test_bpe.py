@@ -65,3 +65,25 @@ def test_awkward_rows(spark):
     back = bpe.decode(got.select("doc_id", "ids")).collect()
     assert all(r.decoded == LIB.decode(r.ids, skip_special_tokens=False) for r in back)
     assert bpe.digests(docs.limit(0)).count() == 0
+
+
+def test_documents_come_through_the_tree(sf, spark):
+    """Most documents are longer than a leaf; their parts join at seams inside runs too, and the ids stay the library's."""
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    bpe_ = bpe.PieceBpe(PATH)
+    joined = 0
+    for t in texts:
+        before = bpe_.seams
+        assert bpe_.encode(t) == LIB.encode(t or "", add_special_tokens=False).ids
+        joined += bpe_.seams > before
+        assert bpe_.seams - before == max(0, -(-len(t or "") // bpe_.leaf) - 1)
+    assert joined > 0.3 * len(texts)
+    assert bpe_.windows > 1.3 * bpe_.seams  # many seams fall inside a run and need a wider window
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the ", " ", "'s", "'", "re", "\n", "é", "é", "ñ", "!", "12", "\u3000", "日本", "<|endoftext|>", "<|", "|>", "\x1c", "\x85", "İ", "Σ"]), max_size=60), st.integers(1, 9))
+def test_any_seam(parts, leaf):
+    text, own = "".join(parts), bpe.PieceBpe.__new__(bpe.PieceBpe)
+    own.__dict__ = OWN.__dict__ | {"leaf": leaf, "seen": {}, "older": {}}
+    assert own.encode(text) == LIB.encode(text, add_special_tokens=False).ids
