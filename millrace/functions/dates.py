@@ -46,8 +46,9 @@ def in_season(d: Column, start: str = "12-21", end: str = "03-20") -> Column:
 
 
 def short_date(s: Column) -> Column:
-    """M/d/yy text as a date; null where it isn't one."""
-    return F.to_date(F.try_to_timestamp(s, F.lit("M/d/yy")))
+    """M/d/yy text as a date, 69 to 99 as of the last century; null where it isn't one."""
+    d = F.to_date(F.try_to_timestamp(s, F.lit("M/d/yy")))
+    return F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d)
 
 
 def run_floor(t: Column, hours: int = 6, back: int = 0) -> Column:

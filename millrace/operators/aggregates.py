@@ -37,10 +37,10 @@ def status_precedence(status: Column) -> tuple[Column, Column]:
     return role, F.when(has("skipper") | has("confirmed"), "c").when(has("pending"), "p").when(has("cancel"), "x").otherwise("u")
 
 
-def first_rows(rows: DataFrame, key: list[str], order: list, attributes: list[str], listed: str) -> DataFrame:
-    """One row per key: attributes of its first row in order, and all values of `listed` in order. Map-side combinable; no window."""
+def first_rows(rows: DataFrame, key: list[str], order: list, attributes: list[str]) -> DataFrame:
+    """One row per key: attributes of its first row in order. Map-side combinable and of fixed size per key; no window."""
     seq = F.struct(*order)
-    return rows.groupBy(*key).agg(*[F.min_by(F.struct(a), seq).getField(a).alias(a) for a in attributes], F.transform(F.array_sort(F.collect_list(F.struct(*order, listed))), lambda x: x[listed]).alias(listed))
+    return rows.groupBy(*key).agg(*[F.min_by(F.struct(a), seq).getField(a).alias(a) for a in attributes])
 
 
 def on_spine(counts: DataFrame, spine: DataFrame, on: str | list[str], zero: list[str]) -> DataFrame:
@@ -70,8 +70,13 @@ def fractional_allocation(rows: DataFrame, value: Column, targets: str, name: st
 
 
 def group_by_element(rows: DataFrame, listed: Column, member: str, name: str = "element") -> DataFrame:
-    """For each element of a comma-separated or array column, the sorted members that have it."""
-    return rows.select(member, F.explode(F.array_distinct(listed)).alias(name)).where(F.col(name) != "").groupBy(name).agg(F.array_sort(F.collect_list(member)).alias("members"), F.count("*").alias("n"))
+    """(element, member, nth, n): for each element of an array column, its members in order, a row each, and how many there are.
+
+    Elements are counted before the count meets the members, so that a frequent one is combined first.
+    """
+    pairs = rows.select(F.col(member).alias("member"), F.explode(F.array_distinct(listed)).alias(name)).where(F.col(name) != "").distinct()
+    counts = pairs.groupBy(name).agg(F.count("*").alias("n"))
+    return pairs.withColumn("nth", F.row_number().over(W.partitionBy(name).orderBy("member")).cast("long")).join(counts, name)
 
 
 def top_k(rows: DataFrame, metric: str, key: str, k: int = 15) -> DataFrame:
@@ -87,3 +92,41 @@ def page(rows: DataFrame, order: list, number: int, size: int) -> DataFrame:
 
 def page_links(pages: int, current: int, reach: int = 2) -> list[int]:
     return list(range(max(1, current - reach), min(pages, current + reach) + 1))
+
+
+def exact_median(rows: DataFrame, c: str, few: int = 100_000, cells: int = 1024) -> float | None:
+    """The exact median (mean of the middle two) of a whole column, nulls left out; null for none.
+
+    Counts by cells of the value range narrow down where the middle values lie, until few rows are
+    left or all are equal. What comes to the driver is counts, and at most `few` values at the end.
+    """
+    values = rows.select(F.col(c).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    lo, hi, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        return None
+    middle, out = sorted({(n - 1) // 2, n // 2}), []
+    for at in middle:
+        a, b, before, inside = lo, hi, 0, n
+        while inside > few and a < b:
+            cell = F.least(F.floor((F.col("v") - a) / (b - a) * cells), F.lit(cells - 1))
+            per = values.where(F.col("v").between(a, b)).groupBy(cell.alias("cell")).agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count("*").alias("k")).orderBy("cell").collect()
+            for r in per:
+                if before + r.k > at:
+                    a, b, inside = r.x, r.y, r.k
+                    break
+                before += r.k
+        out.append(a if a == b else sorted(r.v for r in values.where(F.col("v").between(a, b)).collect())[at - before])
+    return sum(out) / len(out)
+
+
+def tiles(rows: DataFrame, value: str, key: str, flag: Column) -> DataFrame:
+    """One row of summary figures: n, total, median, the key of the largest value (ties to the least key), share of rows with the flag."""
+    got = rows.agg(F.count("*").alias("n"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total"), F.max_by(key, F.struct(F.col(value), -F.col(key))).alias("best"), F.round(F.avg(flag.cast("int")), 6).alias("share"))
+    return got.withColumn("median", F.lit(exact_median(rows, value)).cast("double"))
+
+
+def shares(rows: DataFrame, c: str) -> DataFrame:
+    """Value counts with each value's share of all rows."""
+    counts = rows.groupBy(c).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("__all"))
+    return counts.join(F.broadcast(total)).select(c, "n", (F.col("n") / F.col("__all")).alias("share"))  # one row sent

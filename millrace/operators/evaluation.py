@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -60,11 +61,20 @@ def youden(swept: DataFrame) -> DataFrame:
     return swept.withColumn("j", j).orderBy(F.desc("j"), F.desc("threshold")).limit(1)
 
 
-def auc(scored: DataFrame, score: str, label: str) -> DataFrame:
-    """roc_auc (ties count half) and average_precision. Distinct scores are counted first, so the one ordered pass is over those."""
-    per = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    w = W.orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    cum = per.withColumn("cp", F.sum("p").over(w)).withColumn("cn", F.sum("n").over(w))
+def auc(scored: DataFrame, score: str, label: str, cells: int = 4096) -> DataFrame:
+    """roc_auc (ties count half) and average_precision.
+
+    Distinct scores are counted first. Cells of the score range are then summed from above, and each
+    cell's scores are cumulated apart and shifted by what lies above them, so no task orders them all.
+    """
+    per = scored.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label)).alias("p"), F.sum(1 - F.col(label)).alias("n"))
+    lo, hi = scored.agg(F.min(score).cast("double"), F.max(score).cast("double")).first()
+    wide = (hi or 0.0) - (lo or 0.0)
+    per = per.withColumn("cell", F.floor((F.col("s") - (lo or 0.0)) / wide * (cells - 1)) if wide else F.lit(0).cast("long"))
+    over = W.orderBy(F.desc("cell")).rowsBetween(W.unboundedPreceding, -1)  # a row per cell
+    above = per.groupBy("cell").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).select("cell", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"a{c}") for c in ("p", "n")])
+    w = W.partitionBy("cell").orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
+    cum = per.join(F.broadcast(above), "cell").withColumn("cp", F.sum("p").over(w) + F.col("ap")).withColumn("cn", F.sum("n").over(w) + F.col("an"))
     pairs = F.sum(F.col("n") * (F.col("cp") - F.col("p") / 2))
     ap = F.sum(F.col("p") * F.col("cp") / (F.col("cp") + F.col("cn")))
     return cum.agg((pairs / (F.sum("p") * F.sum("n"))).alias("roc_auc"), (ap / F.sum("p")).alias("average_precision"))
@@ -131,3 +141,33 @@ def masked_beyond(value: Column, hour: Column, model: Column, most: dict[str, in
     for m, h in most.items():
         limit = F.when(model == m, h).otherwise(limit)
     return F.when(hour <= limit, value)
+
+
+def objectives(swept: DataFrame, recall_floor: float = 0.5, precision_floor: float = 0.1, miss_cost: float = 10.0) -> DataFrame:
+    """(objective, threshold): most precision at a recall floor, most recall at a precision floor, least cost of misses and false alarms. Ties go to the lowest threshold; a floor that none meets is dropped."""
+    pick = lambda *order: F.min(F.struct(*order, F.col("threshold"))).getField("threshold")
+    one = swept.agg(
+        pick((F.col("recall") < recall_floor).alias("a"), (-F.col("precision")).alias("b")).alias("precision"),
+        pick((F.col("precision") < precision_floor).alias("a"), (-F.col("recall")).alias("b")).alias("recall"),
+        pick((F.col("fp") + miss_cost * F.col("fn")).alias("a")).alias("cost"),
+    )
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("objective"), F.col(k).alias("threshold")) for k in ("precision", "recall", "cost")])))
+
+
+def row_fold(key: Column, folds: int = 5) -> Column:
+    """A fold by row, whatever its group."""
+    return F.pmod(F.conv(F.substring(F.md5(key.cast("string")), 1, 6), 16, 10).cast("long"), F.lit(folds)).cast("int")
+
+
+def regression(rows: DataFrame, features: list[str], target: str, group: str, folds: int = 3, trees: int = 8, seed: int = 42) -> DataFrame:
+    """One row (n, mae, r2) of gradient-boosted trees' predictions on folds that never split a group."""
+    dealt = VectorAssembler(inputCols=features, outputCol="__x").transform(rows.withColumn("__fold", fold(F.col(group), folds)))
+    parts = []
+    for k in range(folds):
+        model = GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="__p", maxIter=trees, maxDepth=4, seed=seed).fit(dealt.where(F.col("__fold") != k))
+        parts.append(model.transform(dealt.where(F.col("__fold") == k)).select(F.col(target).cast("double").alias("y"), F.col("__p").alias("p")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    error = F.sum(F.pow(F.col("y") - F.col("p"), 2))
+    return out.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"), (1 - error / (F.count("*") * F.var_pop("y"))).alias("r2"))

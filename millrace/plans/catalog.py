@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, geometry, numeric, text
 from millrace.operators import aggregates, clusters, evaluation, sequences, series, sets, spatial
+from millrace.plans.registry import oracle_sql, queries, query
+from millrace.plans.registry import table as _t
 from millrace.sources import writers
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+__all__ = ["oracle_sql", "queries"]
 
 
 _BOARD = """SELECT o_custkey, count(*) AS registrations, count(*) FILTER (o_orderpriority = '1-URGENT') AS as_lead,
@@ -71,11 +47,12 @@ def leaderboard_totals(spark, sf):
     return aggregates.totals(_board(spark, sf), ["registrations", "sails", "races"])
 
 
-@query("SELECT o_orderkey, o_orderdate, o_orderstatus, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders WHERE o_custkey = 7")
+@query("SELECT o_custkey, o_orderkey, o_orderdate, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS nth FROM orders")
 def person_history(spark, sf):
-    own = _t(spark, sf, "orders").where("o_custkey = 7").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
+    """Every customer's orders, newest first."""
+    rows = _t(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus")
     nth = F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long")
-    return own.withColumn("nth", nth).drop("o_custkey")
+    return rows.withColumn("nth", nth)
 
 
 @query("""SELECT category, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity, max(l_extendedprice) AS top_price
@@ -168,13 +145,13 @@ def first_match_region(spark, sf):
     return _t(spark, sf, "customer").groupBy(spatial.first_box(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), _BOXES).alias("region")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS price FROM orders WHERE o_orderkey % 3 <> 0),
-n AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, round(o_totalprice * 2, 2) AS price FROM orders WHERE o_orderkey % 5 = 0)
+@query("""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice AS price FROM orders WHERE o_orderdate < '1998-06-01'),
+n AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month, round(o_totalprice * 2, 2) AS price FROM orders WHERE o_orderdate >= '1998-01-01')
 SELECT * FROM o WHERE month < '1998-01' AND o_orderkey NOT IN (SELECT o_orderkey FROM n) UNION ALL SELECT * FROM n""")
 def window_replace(spark, sf):
     rows = _t(spark, sf, "orders").select("o_orderkey", dates.month_key(F.col("o_orderdate")).alias("month"), F.col("o_totalprice").alias("price"))
-    new = rows.where("o_orderkey % 5 = 0").withColumn("price", F.round(F.col("price") * 2, 2))
-    return sets.window_replace(rows.where("o_orderkey % 3 <> 0"), new, "o_orderkey", F.col("month"), "1998-01")
+    new = rows.where("month >= '1998-01'").withColumn("price", F.round(F.col("price") * 2, 2))  # scraped anew from that month on
+    return sets.window_replace(rows.where("month < '1998-06'"), new, "o_orderkey", F.col("month"), "1998-01")
 
 
 @query("SELECT user_id, event_type, event_id, ts, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
@@ -182,11 +159,13 @@ def upsert_latest(spark, sf):
     return sets.upsert(_t(spark, sf, "events").select("user_id", "event_type", "event_id", "ts", "value"), ["user_id", "event_type"], ["ts", "event_id"])
 
 
-@query("""SELECT user_id, arg_min(event_type, (ts, event_id)) AS first_type, min(ts) AS first_ts, list(event_type ORDER BY ts, event_id)[1:5] AS kinds FROM events GROUP BY user_id""")
+@query("""SELECT user_id, event_id, event_type, row_number() OVER w AS nth, first_value(event_type) OVER w AS first_type, first_value(ts) OVER w AS first_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def first_row_entities(spark, sf):
+    """Each user's first row as its attributes, beside all its events in order, a row each."""
     rows = _t(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    got = aggregates.first_rows(rows.withColumn("first_type", F.col("event_type")).withColumn("first_ts", F.col("ts")), ["user_id"], ["ts", "event_id"], ["first_type", "first_ts"], "event_type")
-    return got.select("user_id", "first_type", "first_ts", F.slice("event_type", 1, 5).alias("kinds"))
+    first = aggregates.first_rows(rows.withColumn("first_type", F.col("event_type")).withColumn("first_ts", F.col("ts")), ["user_id"], ["ts", "event_id"], ["first_type", "first_ts"])
+    nth = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return rows.withColumn("nth", nth).join(first, "user_id").drop("ts")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
@@ -300,10 +279,9 @@ def point_in_polygon(spark, sf):
     return _t(spark, sf, "customer").where(spatial.in_region(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), [_OUTER], [_INNER])).select("c_custkey")
 
 
-@query("SELECT element, list(p_partkey ORDER BY p_partkey)[1:3] AS head, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_type, ' ')) AS element FROM part) WHERE element <> '' GROUP BY element")
+@query("SELECT element, p_partkey AS member, row_number() OVER (PARTITION BY element ORDER BY p_partkey) AS nth, count(*) OVER (PARTITION BY element) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS element FROM part) WHERE element <> ''")
 def group_by_array(spark, sf):
-    got = aggregates.group_by_element(_t(spark, sf, "part"), F.split("p_type", " "), "p_partkey")
-    return got.select("element", F.slice("members", 1, 3).alias("head"), "n")
+    return aggregates.group_by_element(_t(spark, sf, "part"), F.split("p_name", " "), "p_partkey")
 
 
 @query("SELECT event_type, CAST(day AS DATE) AS day, n, total FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) JOIN (SELECT event_type, count(*) AS total FROM events GROUP BY ALL) USING (event_type)")
@@ -489,3 +467,6 @@ def grouped_oof(spark, sf):
     docs = _t(spark, sf, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("n_chars"), (F.length(F.regexp_replace("text", "[A-Za-z ]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("odd"))
     rows = docs.join(_t(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("quality")), "doc_id")
     return evaluation.out_of_fold(rows, ["n_chars", "odd"], "quality", "source", trees=8).select("doc_id", "fold", "score")
+
+
+from millrace.plans import coverage  # noqa: E402, F401 - registers its queries

@@ -208,3 +208,35 @@ def test_stream_upkeep_equals_batch(spark, tmp_path):
     last = max(int(p.name[2:]) for p in table.iterdir() if p.name.startswith("v="))
     got = sorted(map(tuple, spark.read.parquet(f"{table}/v={last}").select("id", "n", "s").collect()))
     assert got == sorted(map(tuple, sets.upsert(frames[0].union(frames[1]), ["id"], ["n"]).collect()))
+
+
+def test_exact_median_by_cells(spark):
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    for values in ([5.0], [1.0, 2.0], [rng.gauss(0, 1) for _ in range(501)], [3.0] * 40 + [7.0] * 40, [10.0 ** rng.randrange(9) for _ in range(400)]):
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert aggregates.exact_median(rows, "v", few=10, cells=4) == statistics.median(values)
+    assert aggregates.exact_median(rows.limit(0), "v") is None
+
+
+def test_regression_learns_a_step(spark):
+    rows = spark.createDataFrame([(i, float(i % 20), 100.0 if i % 20 > 9 else 0.0) for i in range(600)], "g long, x double, y double")
+    got = evaluation.regression(rows, ["x"], "y", "g", trees=3).first()
+    assert got.n == 600 and got.r2 > 0.95 and got.mae < 10
+
+
+def test_auc_of_continuous_scores(spark):
+    import random
+
+    rng = random.Random(2)
+    data = [(rng.random() ** 3, int(rng.random() < 0.3)) for _ in range(400)] + [(0.5, 1), (0.5, 0)]
+    pairs = [(a > b) + (a == b) / 2 for a, x in data if x for b, y in data if not y]
+    got = evaluation.auc(spark.createDataFrame(data, "s double, y int"), "s", "y", cells=7).first()
+    assert abs(got.roc_auc - sum(pairs) / len(pairs)) < 1e-9
+
+
+def test_two_digit_years(spark):
+    rows = spark.createDataFrame([("1/2/98",), ("12/31/05",), ("x",), (None,)], "s string")
+    assert [str(r.d) for r in rows.select(dates.short_date(F.col("s")).alias("d")).collect()] == ["1998-01-02", "2005-12-31", "None", "None"]
