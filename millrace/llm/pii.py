@@ -18,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import let, stored
+from millrace.llm.shared import let, running, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -38,10 +38,22 @@ WIDE = {
 #: Cheap tests that a text must pass before a pattern is tried.
 NEED = {"email": "[@\\[(]", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 
-#: Gazetteers.
-TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "ch", "at", "be", "nl", "eu", "us", "ca", "mx", "ar", "cn", "jp", "in", "br", "ru", "pl", "se")
-ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)"
-CALLING = r"^\+(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+#: Gazetteers. Two-letter top-level domains are countries' by rule; of the others these are the common generic ones.
+TLDS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "arpa", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "xxx",
+    "app", "blog", "cloud", "club", "company", "consulting", "design", "dev", "digital", "email", "engineering", "events", "finance", "fund", "global", "group", "health", "help", "host", "law", "legal", "life",
+    "live", "ltd", "media", "money", "network", "news", "online", "page", "photography", "press", "services", "shop", "site", "software", "solutions", "space", "store", "studio", "support", "systems", "team", "tech",
+    "technology", "today", "top", "website", "work", "world", "xyz", "zone",
+)
+#: issuers' first digits, as ranges of the first six, with the lengths of their numbers.
+ISSUERS = (
+    (400000, 499999, (13, 16, 19)), (510000, 559999, (16,)), (222100, 272099, (16,)), (340000, 349999, (15,)), (370000, 379999, (15,)), (300000, 305999, (14, 16, 17, 18, 19)), (360000, 369999, (14, 15, 16, 17, 18, 19)),
+    (380000, 399999, (16, 17, 18, 19)), (601100, 601199, (16, 17, 18, 19)), (644000, 659999, (16, 17, 18, 19)), (352800, 358999, (16, 17, 18, 19)), (620000, 629999, (16, 17, 18, 19)), (500000, 509999, (13, 14, 15, 16, 17, 18, 19)), (560000, 589999, (13, 14, 15, 16, 17, 18, 19)), (630000, 639999, (16, 18, 19)), (670000, 679999, (13, 14, 15, 16, 17, 18, 19)),
+)
+#: Assigned country calling codes by their digits; three-digit ones as ranges of tens.
+CALLING = r"^\+ ?\(?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[1-368]|2[2346][0-9]|25[0-8]|29[0179]|35[0-9]|37[0-8]|38[0-35-79]|42[013]|50[0-9]|59[0-9]|67[0-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[0-38]|88[0-368]|96[0-8]|97[0-79]|99[2-68])"
+#: Networks whose addresses are nobody's: this host, loopback, link-local, multicast and reserved.
+RESERVED = r"^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5])\.|^169\.254\."
 CUES = {
     "email": r"(?i)(?:e-?mail|mail|contact|write|reach|correo|courriel|@)[^\n]{0,12}$",
     "ip": r"(?i)(?:\bip\b|host|server|address|from|client|login|adresse)[^\n]{0,12}$",
@@ -81,11 +93,15 @@ def _rule(kind: str, m: Column) -> Column:
 
 def _gazetteer(kind: str, m: Column) -> Column:
     if kind == "email":
-        return _vote(F.lower(F.substring_index(m, ".", -1)).isin(*TLDS))
+        last = F.lower(F.substring_index(m, ".", -1))
+        return _vote(last.isin(*TLDS) | last.rlike("^[a-z]{2}$"))
     if kind == "ip":
-        return _vote(~m.rlike(r"^(?:0|127|255)\."))
+        return _vote(~m.rlike(RESERVED))
     if kind == "card":
-        return _vote(_digits(m).rlike(ISSUERS) & F.length(_digits(m)).between(13, 19))
+        first, n, test = F.substring(_digits(m), 1, 6).cast("int"), F.length(_digits(m)), F.lit(False)
+        for lo, hi, sizes in ISSUERS:
+            test = test | (first.between(lo, hi) & n.isin(*sizes))
+        return _vote(test)
     return _vote(m.rlike(CALLING), ~m.startswith("+"))
 
 
@@ -94,10 +110,9 @@ def _matches(text: Column, kind: str, pattern: str, strict: bool) -> Column:
     none = F.expr(f"cast(array() as array<{SPAN}>)")
 
     def placed(found: Column, gaps: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts"))
-        ends = F.transform(found, lambda m, i: F.struct(F.length(F.element_at(gaps, i + 1)).alias("gap"), F.length(m).alias("size")))
-        walked = F.aggregate(ends, start, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.array_append(acc["starts"], acc["at"] + x["gap"]).alias("starts")))
-        return let(walked["starts"], lambda starts: F.filter(F.transform(found, lambda m, i: span(m, F.element_at(starts, i + 1), F.element_at(gaps, i + 1), F.element_at(gaps, i + 2))), lambda s: s.isNotNull()))
+        sizes = F.transform(found, lambda m, i: F.length(F.element_at(gaps, i + 1)) + F.length(m))
+        ends = running(sizes, F.lit(0), lambda a, n: a + n)
+        return let(ends, lambda e: F.filter(F.transform(found, lambda m, i: span(m, F.element_at(e, i + 1) - F.length(m), F.element_at(gaps, i + 1), F.element_at(gaps, i + 2))), lambda s: s.isNotNull()))
 
     def span(m: Column, at: Column, gap: Column, rest: Column) -> Column:
         end = at + F.length(m)
@@ -120,6 +135,19 @@ def _matches(text: Column, kind: str, pattern: str, strict: bool) -> Column:
     return F.when(text.rlike(NEED[kind]), hit).otherwise(none)
 
 
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that overlap none of the others: of those that start before a span's end, none may end after its start."""
+    ends = F.transform(spans, lambda s, i: F.struct(s["end"].alias("at"), F.lit(0).alias("k"), F.lit(-1).alias("end"), i.alias("i")))
+    order = F.array_sort(F.concat(ends, F.transform(others, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("k"), s["end"].alias("end"), F.lit(-1).alias("i")))))
+
+    def free(xs: Column) -> Column:
+        reach = running(F.transform(xs, lambda x: x["end"]), F.lit(-1), lambda a, e: F.greatest(a, e))
+        kept = lambda x, r: F.when((x["k"] == 0) & (r <= F.get(spans, x["i"])["start"]), F.get(spans, x["i"]))
+        return let(reach, lambda rs: F.filter(F.transform(xs, lambda x, i: kept(x, F.element_at(rs, i + 1))), lambda s: s.isNotNull()))
+
+    return let(order, free)
+
+
 def candidates(text: Column) -> Column:
     """All candidates of a text as an array of spans with votes. Null counts as empty."""
 
@@ -128,8 +156,7 @@ def candidates(text: Column) -> Column:
 
         def and_wide(own: Column) -> Column:
             wide = F.concat(*[_matches(t, k, p, False) for k, p in WIDE.items()])
-            free = F.filter(wide, lambda w: ~F.exists(own, lambda s: s["base"] & (s["start"] < w["end"]) & (w["start"] < s["end"])))
-            return F.concat(own, free)
+            return let(wide, lambda ws: F.when(F.size(ws) > 0, F.concat(own, _apart(ws, F.filter(own, lambda s: s["base"])))).otherwise(own))
 
         return let(strict, and_wide)
 
@@ -246,14 +273,21 @@ def mask(docs: DataFrame, text_col: str = "text", model: Model | None = None) ->
         model = fit(stored(docs.select(candidates(F.col(text_col)).alias("spans")).where(F.size("spans") > 0), "pii-fit"))
 
     def masked(text: Column, spans: Column) -> Column:
+        size = 4096
         order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), s["end"].alias("e"), s["kind"].alias("kind"))))
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts"))
 
-        def step(acc: Column, s: Column) -> Column:
-            new = F.concat(F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-            return F.when(s["a"] >= acc["at"], F.struct(s["e"].alias("at"), F.array_append(acc["parts"], new).alias("parts"))).otherwise(F.struct(F.greatest(acc["at"], s["e"]).alias("at"), acc["parts"].alias("parts")))
+        def made(xs: Column, chunks: Column, ends: Column) -> Column:
+            def piece(a: Column, e: Column) -> Column:  # by chunks, so that no piece is sought from the text's start
+                lo, hi = F.floor(a / size).cast("int"), F.floor(e / size).cast("int")
+                return F.substring(F.array_join(F.slice(chunks, lo + 1, hi - lo + 1), ""), a % size + 1, e - a)
+
+            before = lambda i: F.when(i == 0, 0).otherwise(F.element_at(ends, F.greatest(i, F.lit(1))))
+            parts = F.transform(xs, lambda s, i: F.when(s["a"] >= before(i), F.concat(piece(before(i), s["a"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+            return F.concat(F.array_join(parts, ""), piece(F.element_at(ends, -1), F.length(text)))
 
-        return let(F.aggregate(order, start, step), lambda x: F.concat(F.array_join(x["parts"], ""), F.substring(text, x["at"] + 1, F.length(text))))
+        cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+        ends = lambda xs: running(F.transform(xs, lambda s: s["e"]), F.lit(0), lambda a, e: F.greatest(a, e))
+        return let(order, lambda xs: let(cut, lambda chunks: let(ends(xs), lambda es: made(xs, chunks, es))))
 
     found = let(_accepted(candidates(F.col(text_col)), model), lambda s: F.when(F.size(s) > 0, masked(F.col(text_col), s)).otherwise(F.col(text_col)))
     return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), found))

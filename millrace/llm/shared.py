@@ -43,7 +43,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,6 +67,23 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def running(values: Column, zero: Column, merge: Callable[[Column, Column], Column], chunk: int = 256) -> Column:
+    """For each value, all values up to it merged, from zero on.
+
+    Chunk by chunk: appending to one array would copy it for every value.
+    """
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / chunk), F.lit(0)).cast("int")), lambda c: F.slice(values, c * chunk + 1, chunk))
+
+    def along(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.array(start), lambda acc, x: F.array_append(acc, merge(F.element_at(acc, -1), x)))
+
+    def made(cut: Column) -> Column:
+        totals = F.transform(cut, lambda xs: F.aggregate(xs, zero, merge))
+        return let(along(totals, zero), lambda before: F.flatten(F.transform(cut, lambda xs, i: F.slice(along(xs, F.element_at(before, i + 1)), 2, chunk))))
+
+    return let(parts, made)
+
+
 def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 

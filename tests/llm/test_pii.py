@@ -86,3 +86,16 @@ def test_em_finds_the_bad_labeler():
     post, acc = pii._em(rows)
     assert [p > 0.9 for p in post] == [True, True, False, False]
     assert acc["shape"] < 0.6 < 0.9 < acc["rule"]
+
+
+def test_many_matches_in_one_text(spark):
+    """Positions and masks of a text with tens of thousands of matches, over several chunks of the running sums."""
+    n = 20_000
+    text = "é" + "".join(f"a{i}@ex.org or b [at] ex.org, " for i in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = pii.scan(docs).first()
+    assert got.n_email == n
+    spans = [s.split(":") for s in got.spans.split(",")]
+    assert sum("@" in text[int(a) : int(b)] for _, a, b in spans) == n
+    masked = pii.mask(docs).first().text
+    assert "@" not in masked and masked.count("[EMAIL]") == len(spans) and masked.startswith("é[EMAIL] or ")
