@@ -8,9 +8,11 @@ count (in a table of fixed size, by hash) is small, so that common lines name fe
 
 Neighbours by size in a bucket are confirmed first, which joins most copies. Where a bucket's sets
 still lie in several components, their fingerprints are compared exactly, tile against tile
-(simhash.tiles), and pairs of different components within the radius go on. Every link is
-confirmed on whole sets. A pair of similarity 0.8 differs in 9.7 bits on average with a deviation
-of 2.9, so that fewer than one in 10^7 lies beyond the radius of 26.
+(simhash.tiles), and pairs of different components within the radius go on. Pairs
+that fingerprints of 256 bits put out of reach are dropped, and every link is confirmed on whole
+sets, which are made again from their texts rather than stored. A pair of similarity 0.8 differs
+in 9.7 of 64 bits on average with a deviation of 2.9, so that fewer than one in 10^7 lies beyond
+the radius of 26, six deviations off; 74 of 256 bits is as far.
 """
 
 from __future__ import annotations
@@ -43,18 +45,28 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(np.array(hashes, np.uint64).view(np.int64))
 
 
-def set_fingerprint(items: np.ndarray) -> int:
-    """64-bit SimHash of a set of hashes: a bit is 1 if over half of them have it."""
-    ones = np.zeros(64, np.int64)
-    for lo in range(0, len(items), 1 << 14):
-        ones += np.unpackbits(items[lo : lo + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(items), bitorder="little").view(np.int64)[0])
+_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
+_COLUMNS = (np.arange(8) * 256).astype(np.int64)
 
 
-def reach(least: float) -> int:
+def set_fingerprint(items: np.ndarray, words: int = 4) -> list[int]:
+    """SimHash of a set of hashes in 64-bit words, each from the hashes mixed anew: a bit is 1 if over half of them have it."""
+    out, h = [], items.view(np.uint64).copy()
+    for _ in range(words):
+        ones = np.zeros(64)
+        for lo in range(0, len(h), 1 << 16):
+            seen = np.bincount((h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8) + _COLUMNS).ravel(), minlength=2048)
+            ones += (seen.reshape(8, 256) @ _BITS).ravel()
+        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]))
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    return out
+
+
+def reach(least: float, bits: int = 64) -> int:
     """The radius within which sets of this similarity lie, six deviations beyond the mean number of differing bits."""
     p = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
-    return min(64, math.floor(64 * p + 6 * math.sqrt(64 * p * (1 - p))))
+    return min(bits, math.floor(bits * p + 6 * math.sqrt(bits * p * (1 - p))))
 
 
 def _need(n: int, least: float) -> int:
@@ -62,7 +74,7 @@ def _need(n: int, least: float) -> int:
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, text_key, set_key, fp, items) of each row."""
+    """(doc_id, text_key, set_key, items) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -70,11 +82,10 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 sets = [shingles(t.as_py(), width) for t in b.column(1)]
                 keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
                 cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                fps = pa.array([set_fingerprint(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys), fps, pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets)))], ["doc_id", "text_key", "set_key", "fp", "items"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets)))], ["doc_id", "text_key", "set_key", "items"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, set_key long, fp long, items array<long>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, set_key long, items array<long>")
 
 
 def _counts(rows: DataFrame) -> np.ndarray:
@@ -93,29 +104,30 @@ def _counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(rows: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """(item, set_key, n, fp): the elements through which a set meets those like it. Copies within a task come once."""
-    sent = rows.sparkSession.sparkContext.broadcast(counts)
+def _prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+    """(doc_id, text_key, set_key, n, fps, first): n elements, their fingerprint, and the elements through which a set meets those like it. Of copies within a task one has them."""
+    sent = sets.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, fps, lists = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
-            values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-            out: list[tuple] = []
-            for key, fp, lo, hi in zip(keys, fps, cuts[:-1], cuts[1:]):
+            values, cuts = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
+            n, fps, first = [], [], []
+            for key, lo, hi in zip(b.column(2).to_pylist(), cuts[:-1], cuts[1:]):
+                x = values[lo:hi]
+                n.append(len(x))
                 if key in seen or lo == hi:
+                    fps.append(None)
+                    first.append(None)
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(key)
-                x, n = values[lo:hi], int(hi - lo)
-                first = x[np.lexsort((x, sent.value[x & (_SLOTS - 1)]))[: n - _need(n, least) + 1]]
-                out.append((first, np.full(len(first), key), np.full(len(first), n), np.full(len(first), fp)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["item", "set_key", "n", "fp"])
+                fps.append(set_fingerprint(x))
+                first.append(x[np.lexsort((x, sent.value[x & (_SLOTS - 1)]))[: len(x) - _need(len(x), least) + 1]])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "n", "fps", "first"])
 
-    return rows.select("set_key", "fp", "items").mapInArrow(run, "item long, set_key long, n long, fp long")
+    return sets.mapInArrow(run, "doc_id long, text_key long, set_key long, n long, fps array<long>, first array<long>")
 
 
 def _fits(a: Column, b: Column, least: float) -> Column:
@@ -123,13 +135,18 @@ def _fits(a: Column, b: Column, least: float) -> Column:
     return F.least(a, b) >= F.greatest(a, b) * least - 1e-9
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+def _confirmed(pairs: DataFrame, fps: DataFrame, sets: DataFrame, least: float, max_bytes: int = 64 << 20) -> DataFrame:
     """The pairs (a, b) of set keys whose sets have at least this similarity."""
-    keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b")).distinct()
-    sets = rows.join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.first("items").alias("items"))
-    both = pairs.join(sets.select(F.col("set_key").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("set_key").alias("b"), F.col("items").alias("y")), "b")
-    common = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
-    return durable(common.where(F.col("k") >= (F.col("n") - F.col("k")) * least - 1e-9).select("a", "b"))
+    side = lambda c: fps.select(F.col("set_key").alias(c), F.col("fps").alias(f"f{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = durable(both.where(apart <= reach(least, 256)).select("a", "b"))
+    keys = stored(near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct(), "near-keys")
+    keys = F.broadcast(keys) if keys.count() * 32 <= max_bytes else keys
+    whole = sets.select("set_key", "items").join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.first("items").alias("items"))
+    met = near.join(whole.select(F.col("set_key").alias("a"), F.col("items").alias("x")), "a").join(whole.select(F.col("set_key").alias("b"), F.col("items").alias("y")), "b")
+    common = met.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
+    return stored(common.where(F.col("k") >= (F.col("n") - F.col("k")) * least - 1e-9).select("a", "b"), "near-links")
 
 
 def _across(left: DataFrame, least: float, radius: int, tile: int, side: int = 512) -> DataFrame:
@@ -159,20 +176,22 @@ def _across(left: DataFrame, least: float, radius: int, tile: int, side: int = 5
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, tile: int = 2048) -> DataFrame:
     """(doc_id, text_key, group) of each row of docs: rows of one group are joined by links of at least this similarity. Texts without words are one group."""
-    rows = stored(_sets(docs, id_col, text_col, width), "near-sets")
-    dealt = _prefixes(rows, _counts(rows), least).repartition("item").dropDuplicates(["item", "set_key"])
+    sets = _sets(docs, id_col, text_col, width)
+    rows = stored(_prefixes(sets, _counts(sets), least), "near-rows")
+    fps = rows.where("fps is not null").groupBy("set_key").agg(F.first("fps").alias("fps"))
+    dealt = rows.select(F.explode("first").alias("item"), "set_key", "n").repartition("item").dropDuplicates(["item", "set_key"])
     own, order = W.partitionBy("item"), W.partitionBy("item").orderBy("n", "set_key")
     met = dealt.withColumns({"m": F.count("*").over(own), "before": F.lag("set_key").over(order), "n_before": F.lag("n").over(order)})
     met = stored(met.where("m > 1").drop("m"), "near-met")
     near = met.where(_fits(F.col("n"), F.col("n_before"), least)).select(F.least("before", "set_key").alias("a"), F.greatest("before", "set_key").alias("b"))
     tried = durable(near.distinct())
-    links = _confirmed(tried, rows, least)
+    links = _confirmed(tried, fps, sets, least)
     root = components(links).withColumnRenamed("node", "set_key")
-    part = met.select("item", "set_key", "n", "fp").join(root, "set_key", "left").withColumn("part", F.coalesce("root", "set_key")).drop("root")
+    part = met.select("item", "set_key", "n").join(root, "set_key", "left").withColumn("part", F.coalesce("root", "set_key")).drop("root")
     mixed = part.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
-    left = stored(part.join(mixed, "item", "left_semi"), "near-mixed")
-    across = _across(left, least, reach(least), tile)
-    more = _confirmed(durable(across.join(tried, ["a", "b"], "left_anti")), rows, least)
+    left = part.join(mixed, "item", "left_semi").join(fps.select("set_key", F.col("fps")[0].alias("fp")), "set_key")
+    across = _across(stored(left, "near-mixed"), least, reach(least), tile)
+    more = _confirmed(across.join(tried, ["a", "b"], "left_anti"), fps, sets, least)
     root = components(links.union(more)).withColumnRenamed("node", "set_key")
     return rows.select("doc_id", "text_key", "set_key").join(root, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("group"))
 
