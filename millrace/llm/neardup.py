@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -35,32 +34,69 @@ from millrace.llm.simhash import tiles, whole_tiles
 _SLOTS = 1 << 16
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted hashes of a text's different word shingles. Words as in simhash; a text of fewer than `width` words is one shingle."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    line = b" ".join(words)
-    ends = list(accumulate(len(w) + 1 for w in words))
-    h = xxhash.xxh64_intdigest
-    hashes = [h(line[s : e - 1]) for s, e in zip([0, *ends], ends[width - 1 :])] if len(words) > width else [h(line)] * bool(words)
-    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
-_COLUMNS = (np.arange(8) * 256).astype(np.int64)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64. Those of up to a million bytes stay with the worker process."""
+    if _POWERS and len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    size = max(n, 1 << 14)
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if size <= 1 << 20:
+        _POWERS[:] = made
+    return made[0], made[1]
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """Sorted hashes of a text's different word shingles. Words as in simhash; a text of fewer than `width` words is one shingle.
+
+    Hashes are polynomials over the bytes between two places, out of one running sum, and mixed.
+    """
+    raw = np.frombuffer(text.encode("utf-8", "replace").lower() if text else b"", np.uint8)
+    blank = _BLANK[raw]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # one blank after each word
+    line, blank = raw[keep], blank[keep]
+    if len(line) and blank[-1]:
+        line, blank = line[:-1], blank[:-1]
+    if not len(line):
+        return np.empty(0, np.int64)
+    gaps = np.flatnonzero(blank)
+    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(line)]
+    more = min(width, len(starts)) - 1
+    starts, ends = starts[: len(starts) - more], ends[more:]
+    up, down = _powers(len(line))
+    values = _BYTES[line]
+    values[blank] = _BYTES[32]
+    values *= up[: len(line)]
+    sums = np.r_[np.uint64(0), np.cumsum(values)]
+    out = _mixed((sums[ends] - sums[starts]) * down[starts])
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]].view(np.int64)
 
 
 def set_fingerprint(items: np.ndarray, words: int = 4) -> list[int]:
     """SimHash of a set of hashes in 64-bit words, each from the hashes mixed anew: a bit is 1 if over half of them have it."""
-    out, h = [], items.view(np.uint64).copy()
-    for _ in range(words):
-        ones = np.zeros(64)
-        for lo in range(0, len(h), 1 << 16):
-            seen = np.bincount((h[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8) + _COLUMNS).ravel(), minlength=2048)
-            ones += (seen.reshape(8, 256) @ _BITS).ravel()
-        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.int64)[0]))
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-    return out
+    ones = np.zeros(64 * words, np.int64)
+    for lo in range(0, len(items), 1 << 12):
+        h = [items[lo : lo + (1 << 12)].view(np.uint64)]
+        for _ in range(words - 1):
+            h.append(_mixed(h[-1]))
+        ones += np.unpackbits(np.stack(h, axis=1).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(items), bitorder="little").view(np.int64).tolist()
 
 
 def reach(least: float, bits: int = 64) -> int:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
+from millrace.llm.components import components, roots
 from millrace.llm.shared import stored
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -66,20 +66,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The least index reachable from each of n indices over the links (i, j)."""
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def _compare(tile: np.ndarray, fp: np.ndarray, radius: int, small: int = 64, side: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Links among the rows of each tile group, as a spanning forest. Rows come sorted by tile and population count."""
     n = len(fp)
@@ -110,7 +96,7 @@ def _compare(tile: np.ndarray, fp: np.ndarray, radius: int, small: int = 64, sid
                 i, j = i[off], j[off]
                 if len(i):  # a dense tile pair is many links; keep what spans it
                     both = np.unique(np.r_[i + xs.start, j + ys.start])
-                    root = _roots(len(both), np.searchsorted(both, i + xs.start), np.searchsorted(both, j + ys.start))
+                    root = roots(len(both), np.searchsorted(both, i + xs.start), np.searchsorted(both, j + ys.start))
                     linked = np.flatnonzero(root != np.arange(len(both)))
                     left.append(both[root[linked]])
                     right.append(both[linked])
@@ -120,7 +106,7 @@ def _compare(tile: np.ndarray, fp: np.ndarray, radius: int, small: int = 64, sid
     if not len(i):
         return i, j
     both = np.unique(np.r_[i, j])
-    root = _roots(len(both), np.searchsorted(both, i), np.searchsorted(both, j))
+    root = roots(len(both), np.searchsorted(both, i), np.searchsorted(both, j))
     linked = np.flatnonzero(root != np.arange(len(both)))
     return both[root[linked]], both[linked]
 
@@ -207,8 +193,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(fingerprints(docs, id_col, text_col, width), "simhash")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    roots = components(links(distinct.select("fp"), radius, tile))
-    labelled = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    joined = components(links(distinct.select("fp"), radius, tile))
+    labelled = stored(distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "simhash-roots")
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     found = labelled.select("fp", "root", "n").join(smallest, "root")
     # At most 1,000 fingerprints can have a thousandth of the rows each; these are broadcast, and no copies pile up in one task.

@@ -66,3 +66,17 @@ def test_crowded_items_by_tiles(spark):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     got = neardup.groups(docs, tile=8).groupBy("group").agg({"doc_id": "min"}).collect()
     assert sorted(r[1] for r in got) == plain_kept(data)
+
+
+def test_shingles_against_plain_words():
+    import random
+
+    rng, seen = random.Random(3), {}
+    for width in (1, 3, 5):
+        for _ in range(500):
+            t = "".join(rng.choice(["a", "B", "é", " ", "\t", "\n\n", "\x1c", "b c", "zz"]) for _ in range(rng.randrange(40)))
+            w = t.encode().lower().split()
+            plain = {b" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+            alone = {seen.setdefault(s, neardup.shingles(s.decode(), width)[0]) for s in plain}
+            assert sorted(alone) == sorted(neardup.shingles(t, width))
+    assert len(set(seen.values())) == len(seen)
