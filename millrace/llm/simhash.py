@@ -22,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components, roots
+from millrace.llm.components import components
+from millrace.llm.components import roots as _roots
 from millrace.llm.shared import stored
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -96,7 +97,7 @@ def _compare(tile: np.ndarray, fp: np.ndarray, radius: int, small: int = 64, sid
                 i, j = i[off], j[off]
                 if len(i):  # a dense tile pair is many links; keep what spans it
                     both = np.unique(np.r_[i + xs.start, j + ys.start])
-                    root = roots(len(both), np.searchsorted(both, i + xs.start), np.searchsorted(both, j + ys.start))
+                    root = _roots(len(both), np.searchsorted(both, i + xs.start), np.searchsorted(both, j + ys.start))
                     linked = np.flatnonzero(root != np.arange(len(both)))
                     left.append(both[root[linked]])
                     right.append(both[linked])
@@ -106,7 +107,7 @@ def _compare(tile: np.ndarray, fp: np.ndarray, radius: int, small: int = 64, sid
     if not len(i):
         return i, j
     both = np.unique(np.r_[i, j])
-    root = roots(len(both), np.searchsorted(both, i), np.searchsorted(both, j))
+    root = _roots(len(both), np.searchsorted(both, i), np.searchsorted(both, j))
     linked = np.flatnonzero(root != np.arange(len(both)))
     return both[root[linked]], both[linked]
 
