@@ -122,3 +122,23 @@ best AS (
   SELECT r, max_by(h || p, len(string_split(h, '.')) * 1000000 + length(p)) AS rule, max_by(verdict, len(string_split(h, '.')) * 1000000 + length(p)) AS verdict
   FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY r)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)"""
+
+
+def op13() -> str:
+    blank, other = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    draws = ", ".join(f"CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    piece = lambda a, b: f"array_to_string(t[{a}:{b}], '')"
+    return rf"""
+WITH cut AS (
+  SELECT doc_id, body, h, regexp_extract_all(body, '{blank}*{other}+|{blank}+') AS t
+  FROM (SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents)),
+drawn AS (SELECT doc_id, body, t, CAST(len(t) AS BIGINT) AS n, {draws} FROM cut),
+dealt AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+pieces AS (SELECT doc_id, body, n, form, {piece(1, "a")} AS p, {piece("a + 1", "b")} AS m, {piece("b + 1", "n")} AS s FROM dealt)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM pieces"""
