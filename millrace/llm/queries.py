@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import attention_lm, bpe, cotraining, decontaminate, fim, flac, licenses, merkle_audit, oracles, pii, simhash, url_filter
+from millrace.llm import attention_lm, bpe, cotraining, decontaminate, fim, flac, licenses, merkle_audit, oracles, pii, simhash, url_filter, whitening
 from millrace.llm.shared import table
 
 #: The rules of query 9.
@@ -64,6 +64,10 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotraining.score(docs, model).select("doc_id", "p_text", "p_page", "score", "keep")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_attention_lm": op8_attention_lm,
         "op9_url_filter": op9_url_filter,
         "op10_cotraining": op10_cotraining,
+        "op11_whitening": op11_whitening,
         "op13_fim": op13_fim,
     }
 
