@@ -124,6 +124,24 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN best USING (r)"""
 
 
+def op12() -> str:
+    word = r"[^\x20\x09-\x0D]+"
+    return rf"""
+WITH RECURSIVE cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '{word}') AS w FROM documents),
+sets AS (
+  SELECT r, doc_id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN [array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))] WHEN len(w) = 1 THEN w ELSE [] END)) AS s FROM cut),
+kinds AS (SELECT s, row_number() OVER () AS c, min(doc_id) AS least, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT c, n, unnest(s) AS item FROM kinds),
+links AS (
+  SELECT x.c AS a, y.c AS b FROM items x JOIN items y ON x.item = y.item AND x.c <> y.c AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.c, y.c, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT c AS a, c AS b FROM kinds UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS c, min(least) AS component_id FROM reach JOIN kinds ON kinds.c = reach.b GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM (SELECT sets.doc_id, sets.s, CASE WHEN len(sets.s) = 0 THEN sets.doc_id ELSE named.component_id END AS component_id
+  FROM sets LEFT JOIN kinds ON kinds.s = sets.s LEFT JOIN named ON named.c = kinds.c)"""
+
+
 def op13() -> str:
     blank, other = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
     draws = ", ".join(f"CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))

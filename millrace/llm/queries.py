@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import attention_lm, bpe, cotraining, decontaminate, fim, flac, licenses, merkle_audit, oracles, pii, simhash, url_filter, whitening
+from millrace.llm import attention_lm, bayes_minhash, bpe, cotraining, decontaminate, fim, flac, licenses, merkle_audit, oracles, pii, simhash, url_filter, whitening
 from millrace.llm.shared import table
 
 #: The rules of query 9.
@@ -68,6 +68,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.report(table(spark, sf_dir, "embeddings"))
 
 
+def op12_bayes_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bayes_minhash.groups(table(spark, sf_dir, "documents"), percent=80, width=2)
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_url_filter": op9_url_filter,
         "op10_cotraining": op10_cotraining,
         "op11_whitening": op11_whitening,
+        "op12_bayes_minhash": op12_bayes_minhash,
         "op13_fim": op13_fim,
     }
 
@@ -95,5 +101,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_decontaminate": oracles.op5(),
         "op7_licenses": oracles.op7(),
         "op9_url_filter": oracles.op9(OP9_RULES),
+        "op12_bayes_minhash": oracles.op12(),
         "op13_fim": oracles.op13(),
     }
