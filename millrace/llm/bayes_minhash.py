@@ -12,6 +12,8 @@ left at the end is confirmed on whole sets, made again from their texts.
 A crowded bucket never becomes all its pairs: first each member meets the least and the greatest node of
 its bucket, which joins most copies. Only buckets that still hold several components go on, cut into
 tiles of bounded size, and there only members of different components are compared, inside the task.
+Of these pairs each tile first sends a spanning forest, most matches first; only what that doesn't join
+is sent pair by pair, from one bucket each.
 Joins on a key that many rows share deal this key's rows to several tasks (spread_join).
 """
 
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.components import components
+from millrace.llm.components import components, roots
 from millrace.llm.neardup import _mixed, shingles
 from millrace.llm.shared import durable, stored
 
@@ -64,14 +66,14 @@ def least_matches(least: float, miss: float) -> list[tuple[int, int]]:
     return [(k, next(m for m in range(k + 1) if m == k or chance(m, k) >= miss / len(LOOKS))) for k in LOOKS]
 
 
-def alive(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the pairs (i, j) of rows of a signature matrix those that no look drops."""
+def alive(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows of a signature matrix those that no look drops, with their matches."""
     m, lo = np.zeros(len(i), np.int64), 0
     for hi, need in needed:
         m = m + (sigs[i, lo:hi] == sigs[j, lo:hi]).sum(axis=1)
         on = m >= need
         i, j, m, lo = i[on], j[on], m[on], hi
-    return i, j
+    return i, j, m
 
 
 def hot_keys(left: DataFrame, key: str, limit: int = 1_000) -> DataFrame:
@@ -159,7 +161,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, miss: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _batches(batches, 4096):
             sigs = np.frombuffer(b"".join([*b.column(2).to_pylist(), *b.column(3).to_pylist()]), np.uint8).reshape(-1, HASHES)
-            on, _ = alive(sigs, np.arange(b.num_rows), np.arange(b.num_rows, 2 * b.num_rows), needed)
+            on, _, _ = alive(sigs, np.arange(b.num_rows), np.arange(b.num_rows, 2 * b.num_rows), needed)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on)), b.column(1).take(pa.array(on))], ["a", "b"])
 
     both = _with_both(pairs, nodes.select("node", "n", "sig"))
@@ -224,8 +226,8 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
         yield rest
 
 
-def _compare(side: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray, sigs: np.ndarray, percent: int, needed: list[tuple[int, int]], block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Likely pairs of different parts in a tile: of its two sides, or within its only one."""
+def _compare(side: np.ndarray, n: np.ndarray, part: np.ndarray, sigs: np.ndarray, percent: int, needed: list[tuple[int, int]], block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, matches) of likely pairs of different parts in a tile: of its two sides, or within its only one."""
     cut = int(np.searchsorted(side, 1))
     inside = cut in (0, len(side))
     for x in range(0, len(side) if inside else cut, block):
@@ -240,29 +242,59 @@ def _compare(side: np.ndarray, node: np.ndarray, n: np.ndarray, part: np.ndarray
             if inside:
                 met &= xs[:, None] < ys[None, :]
             i, j = np.nonzero(met)
-            i, j = alive(sigs, i + x, j + y, needed)
+            i, j, m = alive(sigs, i + x, j + y, needed)
             if len(i):
-                yield np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-
-
-def _across(left: DataFrame, nodes: DataFrame, percent: int, miss: float, tile: int) -> DataFrame:
-    """(a, b): likely pairs of one bucket and of different parts. left: (bucket, node, part, m), m being the bucket's size."""
+                yield i, j, m
+
+
+def _forest(part: np.ndarray, i: np.ndarray, j: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Places of the edges (i, j) of a spanning forest of the parts, edges of most matches first: each part's best edge, then that of what it joins, and so on."""
+    label = np.unique(part, return_inverse=True)[1]
+    order = np.argsort(-m, kind="stable")
+    taken = []
+    while len(order):
+        a, b = label[i[order]], label[j[order]]
+        order, a, b = order[a != b], a[a != b], b[a != b]
+        if not len(order):
+            break
+        first = np.unique(np.r_[np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]])
+        taken.append(order[first])
+        label = roots(label.max() + 1, a[first], b[first])[label]
+    return np.concatenate(taken) if taken else np.empty(0, np.int64)
+
+
+def _across(left: DataFrame, nodes: DataFrame, percent: int, miss: float, tile: int, forest: bool) -> DataFrame:
+    """(a, b): likely pairs of one bucket and of different parts. left: (bucket, node, part, m), m being the bucket's size.
+
+    forest: of each tile only pairs that, if all are links, join what all of its likely pairs would. Otherwise
+    all likely pairs, each from the first bucket alone that it has in common.
+    """
     needed = least_matches(percent / 100, miss)
-    groups = F.ceil(F.col("m") / tile)
-    dealt = left.withColumn("i", F.pmod(F.xxhash64("node"), groups)).withColumn("o", F.explode(F.sequence(F.lit(0), groups - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "o"), F.greatest("i", "o")).alias("tile"), (F.col("i") > F.col("o")).cast("int").alias("side"), "node", "part")
-    dealt = dealt.join(nodes.select("node", "n", "sig"), "node").select("tile", "side", "node", "n", "part", "sig")
+    pieces = F.ceil(F.col("m") / tile)
+    dealt = left.withColumn("i", F.pmod(F.xxhash64("node"), pieces)).withColumn("o", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "o"), F.greatest("i", "o")).alias("tile"), (F.col("i") > F.col("o")).cast("int").alias("side"), "bucket", "node", "part")
+    bands = F.lit(None).cast("array<bigint>") if forest else F.col("bands")
+    dealt = dealt.join(nodes.select("node", "n", bands.alias("bands"), "sig"), "node").select("tile", "side", "bucket", "node", "n", "part", "bands", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, *cols in _whole_tiles(batches):
-            for a, b in _compare(*cols, percent, needed):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for _, side, bucket, node, n, part, bands, sigs in _whole_tiles(batches):
+            found = list(_compare(side, n, part, sigs, percent, needed)) if forest else _compare(side, n, part, sigs, percent, needed)
+            if forest and found:
+                i, j, m = map(np.concatenate, zip(*found))
+                on = _forest(part, i, j, m)
+                found = [(i[on], j[on], m[on])]
+            for i, j, _ in found:
+                if not forest:
+                    at = np.stack(bands[i]), np.stack(bands[j])
+                    on = at[0][np.arange(len(i)), (at[0] == at[1]).argmax(axis=1)] == bucket[i]
+                    i, j = i[on], j[on]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     sorted_ = dealt.repartition("tile").sortWithinPartitions("tile", "side", "part")
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, miss: float = 1e-6, tile: int = 2048) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, miss: float = 1e-6, tile: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs.
 
     Rows whose sets of `width`-word shingles have a similarity of `percent` or more are linked, each
@@ -282,18 +314,23 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     known = stored(wanted(likely), "bayes-wanted")
     sets = _sets(docs, text_col, rows, known, width)
     links = _confirmed(likely, sets, percent)
-    part = met.where("m > 3").select("bucket", "node", "m").join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    part = stored(part, "bayes-parts")
-    open_ = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-    left = spread_join(part, open_, "bucket", hot_keys(part, "bucket"), F.xxhash64("node"))
-    more = stored(_across(left, nodes, percent, miss, tile).join(tried, ["a", "b"], "left_anti"), "bayes-more")
-    if not more.isEmpty():
+    crowded = hot_keys(met.where("m > 3"), "bucket")
+    for forest in (True, False):
+        part = met.where("m > 3").select("bucket", "node", "m").join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        part = stored(part, "bayes-parts")
+        open_ = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+        left = spread_join(part, open_, "bucket", crowded, F.xxhash64("node"))
+        more = stored(_across(left, nodes, percent, miss, tile, forest).join(tried, ["a", "b"], "left_anti"), "bayes-more")
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
         new = stored(wanted(more).join(known, "node", "left_anti"), "bayes-wanted")
-        sets = sets.unionByName(_sets(docs, text_col, rows, new, width)) if not new.isEmpty() else sets
+        if not new.isEmpty():
+            sets, known = sets.unionByName(_sets(docs, text_col, rows, new, width)), known.unionByName(new)
         links = links.unionByName(_confirmed(more, sets, percent))
     named = nodes.select("node", "key", "doc_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "bayes-named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    known = spread_join(named.select("key", "root"), least, "root", hot_keys(named, "root"), F.xxhash64("key")).select("key", "component_id")
-    out = spread_join(rows.select("doc_id", "n", "key"), known, "key", hot_keys(rows.select("key"), "key"), F.monotonically_increasing_id(), "left")
+    ids = spread_join(named.select("key", "root"), least, "root", hot_keys(named, "root"), F.xxhash64("key")).select("key", "component_id")
+    out = spread_join(rows.select("doc_id", "n", "key"), ids, "key", hot_keys(rows.select("key"), "key"), F.monotonically_increasing_id(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

@@ -107,7 +107,8 @@ def test_templated_texts_send_few_pairs(spark):
     nodes = stored(bm._nodes(stored(bm._signed(docs, "doc_id", "text", 2), "t")), "t")
     met = bm._met(nodes)
     left = met.select("bucket", "node", F.col("node").alias("part"), "m")
-    sent = bm._across(left, nodes, 80, 1e-6, 2048).count()
+    sent = bm._across(left, nodes, 80, 1e-6, 1024, False).count()
+    assert bm._across(left, nodes, 80, 1e-6, 1024, True).count() <= sent
     assert sent <= 0.02 * 300 * 299 / 2
 
 
@@ -163,3 +164,32 @@ def test_tiles_come_whole(size):
     assert [int(t[0]) for t, *_ in got] == sorted(set(tile.tolist()))
     assert np.concatenate([n for _, n, _ in got]).tolist() == list(range(2000))
     assert b"".join(s.tobytes() for *_, s in got) == b"".join(sig)
+
+
+def test_forest_joins_what_all_pairs_join():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        part = rng.integers(0, 12, 40)
+        i, j = rng.integers(0, 40, (2, 60))
+        m = rng.integers(0, 100, 60)
+        on = bm._forest(part, i, j, m)
+        assert len(on) < len(set(part.tolist())) * 2
+        join = lambda at: bm.roots(12, part[i[at]], part[j[at]]).tolist()
+        assert join(on) == join(np.arange(60))
+
+
+def test_all_likely_pairs_come_from_one_bucket_each(spark):
+    docs = spark.createDataFrame(list(enumerate(near_copies(random.Random(9), 40))), "doc_id long, text string")
+    nodes = stored(bm._nodes(stored(bm._signed(docs, "doc_id", "text", 2), "t")), "t")
+    met = bm._met(nodes)
+    left = met.select("bucket", "node", F.col("node").alias("part"), "m")
+    sent = {tuple(r) for r in bm._across(left, nodes, 80, 1e-6, 8, False).collect()}
+    by = {r.node: r for r in nodes.collect()}
+    needed = bm.least_matches(0.8, 1e-6)
+    for a in by:
+        for b in by:
+            if a < b:
+                sigs = np.stack([np.frombuffer(by[x].sig, np.uint8) for x in (a, b)])
+                likely = len(bm.alive(sigs, np.array([0]), np.array([1]), needed)[0]) and min(by[a].n, by[b].n) >= 0.8 * max(by[a].n, by[b].n)
+                met_ = set(by[a].bands) & set(by[b].bands)
+                assert ((a, b) in sent) == bool(likely and met_)
