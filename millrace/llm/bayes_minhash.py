@@ -263,6 +263,19 @@ def _forest(part: np.ndarray, i: np.ndarray, j: np.ndarray, m: np.ndarray) -> np
     return np.concatenate(taken) if taken else np.empty(0, np.int64)
 
 
+def _spanning(part: np.ndarray, found: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """One forest of all edges found; whenever `most` are held, they are cut down to theirs."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for edges in found:
+        held.append(edges)
+        if sum(len(e[0]) for e in held) >= most:
+            held = list(_spanning(part, iter(held), 1 << 62))
+    if held:
+        i, j, m = map(np.concatenate, zip(*held))
+        on = _forest(part, i, j, m)
+        yield i[on], j[on], m[on]
+
+
 def _across(left: DataFrame, nodes: DataFrame, percent: int, miss: float, tile: int, forest: bool) -> DataFrame:
     """(a, b): likely pairs of one bucket and of different parts. left: (bucket, node, part, m), m being the bucket's size.
 
@@ -278,12 +291,8 @@ def _across(left: DataFrame, nodes: DataFrame, percent: int, miss: float, tile:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, side, bucket, node, n, part, bands, sigs in _whole_tiles(batches):
-            found = list(_compare(side, n, part, sigs, percent, needed)) if forest else _compare(side, n, part, sigs, percent, needed)
-            if forest and found:
-                i, j, m = map(np.concatenate, zip(*found))
-                on = _forest(part, i, j, m)
-                found = [(i[on], j[on], m[on])]
-            for i, j, _ in found:
+            found = _compare(side, n, part, sigs, percent, needed)
+            for i, j, _ in _spanning(part, found) if forest else found:
                 if not forest:
                     at = np.stack(bands[i]), np.stack(bands[j])
                     on = at[0][np.arange(len(i)), (at[0] == at[1]).argmax(axis=1)] == bucket[i]
@@ -294,7 +303,7 @@ def _across(left: DataFrame, nodes: DataFrame, percent: int, miss: float, tile:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, miss: float = 1e-6, tile: int = 1024) -> DataFrame:
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, miss: float = 1e-6, tile: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs.
 
     Rows whose sets of `width`-word shingles have a similarity of `percent` or more are linked, each

@@ -176,6 +176,8 @@ def test_forest_joins_what_all_pairs_join():
         assert len(on) < len(set(part.tolist())) * 2
         join = lambda at: bm.roots(12, part[i[at]], part[j[at]]).tolist()
         assert join(on) == join(np.arange(60))
+        cut = list(bm._spanning(part, ((i[k : k + 7], j[k : k + 7], m[k : k + 7]) for k in range(0, 60, 7)), 20))
+        assert bm.roots(12, part[cut[0][0]], part[cut[0][1]]).tolist() == join(on)
 
 
 def test_all_likely_pairs_come_from_one_bucket_each(spark):
