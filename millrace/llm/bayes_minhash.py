@@ -12,8 +12,8 @@ left at the end is confirmed on whole sets, made again from their texts.
 A crowded bucket never becomes all its pairs: first each member meets the least and the greatest node of
 its bucket, which joins most copies. Only buckets that still hold several components go on, cut into
 tiles of bounded size, and there only members of different components are compared, inside the task.
-Of these pairs each tile first sends a spanning forest, most matches first; only what that doesn't join
-is sent pair by pair, from one bucket each.
+A pair counts in one bucket only, the first that it has in common. Of its likely pairs each tile first
+sends a spanning forest, most matches first; only what that doesn't join is sent pair by pair.
 Joins on a key that many rows share deal this key's rows to several tasks (spread_join).
 """
 
@@ -214,7 +214,7 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]]
+        cols = [c.flatten().to_numpy().reshape(b.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns[:-1]]
         cols.append(np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint8).reshape(-1, HASHES))
         if rest is not None:
             cols = [np.concatenate(pair) for pair in zip(rest, cols)]
@@ -276,27 +276,27 @@ def _spanning(part: np.ndarray, found: Iterator[tuple[np.ndarray, ...]], most: i
         yield i[on], j[on], m[on]
 
 
+def _first_met(bands: np.ndarray, bucket: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether this is the first bucket that rows i and j have in common."""
+    return bands[i, (bands[i] == bands[j]).argmax(axis=1)] == bucket
+
+
 def _across(left: DataFrame, nodes: DataFrame, percent: int, miss: float, tile: int, forest: bool) -> DataFrame:
     """(a, b): likely pairs of one bucket and of different parts. left: (bucket, node, part, m), m being the bucket's size.
 
-    forest: of each tile only pairs that, if all are links, join what all of its likely pairs would. Otherwise
-    all likely pairs, each from the first bucket alone that it has in common.
+    A pair counts in the first bucket that it has in common, and nowhere else. forest: of each tile only pairs
+    that, if all are links, join what all of its likely pairs would; otherwise all.
     """
     needed = least_matches(percent / 100, miss)
     pieces = F.ceil(F.col("m") / tile)
     dealt = left.withColumn("i", F.pmod(F.xxhash64("node"), pieces)).withColumn("o", F.explode(F.sequence(F.lit(0), pieces - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("i", "o"), F.greatest("i", "o")).alias("tile"), (F.col("i") > F.col("o")).cast("int").alias("side"), "bucket", "node", "part")
-    bands = F.lit(None).cast("array<bigint>") if forest else F.col("bands")
-    dealt = dealt.join(nodes.select("node", "n", bands.alias("bands"), "sig"), "node").select("tile", "side", "bucket", "node", "n", "part", "bands", "sig")
+    dealt = dealt.join(nodes.select("node", "n", "bands", "sig"), "node").select("tile", "side", "bucket", "node", "n", "part", "bands", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, side, bucket, node, n, part, bands, sigs in _whole_tiles(batches):
-            found = _compare(side, n, part, sigs, percent, needed)
+            found = ((i[on], j[on], m[on]) for i, j, m in _compare(side, n, part, sigs, percent, needed) for on in [_first_met(bands, bucket[0], i, j)])
             for i, j, _ in _spanning(part, found) if forest else found:
-                if not forest:
-                    at = np.stack(bands[i]), np.stack(bands[j])
-                    on = at[0][np.arange(len(i)), (at[0] == at[1]).argmax(axis=1)] == bucket[i]
-                    i, j = i[on], j[on]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     sorted_ = dealt.repartition("tile").sortWithinPartitions("tile", "side", "part")

@@ -159,10 +159,12 @@ def test_tiles_come_whole(size):
     rng = np.random.default_rng(size)
     tile = np.sort(rng.integers(0, 9, 2000))
     sig = [bytes(rng.integers(0, 256, bm.HASHES, np.uint8)) for _ in tile]
-    whole = pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.arange(2000)), pa.array(sig)], ["tile", "node", "sig"])
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(0, 4001, 2), pa.int32()), pa.array(np.arange(4000)))
+    whole = pa.RecordBatch.from_arrays([pa.array(tile), pa.array(np.arange(2000)), pairs, pa.array(sig)], ["tile", "node", "bands", "sig"])
     got = list(bm._whole_tiles(whole.slice(i, size) for i in range(0, 2000, size)))
     assert [int(t[0]) for t, *_ in got] == sorted(set(tile.tolist()))
-    assert np.concatenate([n for _, n, _ in got]).tolist() == list(range(2000))
+    assert np.concatenate([b for *_, b, _ in got]).tolist() == np.arange(4000).reshape(-1, 2).tolist()
+    assert np.concatenate([n for _, n, *_ in got]).tolist() == list(range(2000))
     assert b"".join(s.tobytes() for *_, s in got) == b"".join(sig)
 
 
