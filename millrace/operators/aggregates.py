@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.durable import durable, salted_join
+
 
 def count_if(test: Column) -> Column:
     return F.count(F.when(test, 1))
@@ -94,29 +96,52 @@ def page_links(pages: int, current: int, reach: int = 2) -> list[int]:
     return list(range(max(1, current - reach), min(pages, current + reach) + 1))
 
 
-def exact_median(rows: DataFrame, c: str, few: int = 100_000, cells: int = 1024) -> float | None:
-    """The exact median (mean of the middle two) of a whole column, nulls left out; null for none.
+def group_medians(rows: DataFrame, keys: list[str], c: str, few: int = 10_000, cuts: int = 64, small: int = 100_000) -> DataFrame:
+    """(keys, median): the exact median of each group (mean of the middle two), nulls and NaN left out; groups without values have no row.
 
-    Counts by cells of the value range narrow down where the middle values lie, until few rows are
-    left or all are equal. What comes to the driver is counts, and at most `few` values at the end.
+    Quantile sketches of what is left of a group give values to cut it at; rows are then counted below,
+    at and between these, and only where the middle lies is looked at again. Groups with a null key have no row. Cuts follow the order of values, not
+    their distance, so infinities and heaps of equal values do no harm. A group is gathered only once
+    `few` of its rows are left; tables of up to `small` groups are broadcast, others joined with hot groups split.
     """
-    values = rows.select(F.col(c).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    lo, hi, n = values.agg(F.min("v"), F.max("v"), F.count("*")).first()
-    if not n:
-        return None
-    middle, out = sorted({(n - 1) // 2, n // 2}), []
-    for at in middle:
-        a, b, before, inside = lo, hi, 0, n
-        while inside > few and a < b:
-            cell = F.least(F.floor((F.col("v") - a) / (b - a) * cells), F.lit(cells - 1))
-            per = values.where(F.col("v").between(a, b)).groupBy(cell.alias("cell")).agg(F.min("v").alias("x"), F.max("v").alias("y"), F.count("*").alias("k")).orderBy("cell").collect()
-            for r in per:
-                if before + r.k > at:
-                    a, b, inside = r.x, r.y, r.k
-                    break
-                before += r.k
-        out.append(a if a == b else sorted(r.v for r in values.where(F.col("v").between(a, b)).collect())[at - before])
-    return sum(out) / len(out)
+    values = rows.select(*keys, F.col(c).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    none = F.lit(None).cast("double")
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("inside")).where("inside > 0")
+    middle = F.array_distinct(F.array(F.floor((F.col("inside") - 1) / 2), F.floor(F.col("inside") / 2)))
+    todo = durable(sizes.select(*keys, F.explode(middle).alias("at"), none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("before"), "inside"))
+
+    def within(targets: DataFrame) -> DataFrame:
+        if not keys or targets.count() <= small:
+            met = values.join(F.broadcast(targets), keys) if keys else values.crossJoin(F.broadcast(targets))  # two rows at most
+        else:
+            met = salted_join(values, targets, keys)
+        return met.where("(lo is null or v > lo) and (hi is null or v < hi)")
+
+    found = None
+    while True:
+        last = within(todo.where(F.col("inside") <= few)).groupBy(*keys, "at").agg(F.array_sort(F.collect_list("v")).alias("vs"), F.first("before").alias("before"))
+        part = last.select(*keys, F.element_at("vs", (F.col("at") - F.col("before") + 1).cast("int")).alias("v"))
+        found = part if found is None else found.unionByName(part)
+        wide = todo.where(F.col("inside") > few)
+        if wide.isEmpty():
+            break
+        marks = [i / cuts for i in range(1, cuts)]
+        pivots = within(wide).groupBy(*keys, "at").agg(F.array_distinct(F.percentile_approx("v", marks, 20 * cuts)).alias("p"))
+        cut = durable(wide.join(pivots, [*keys, "at"]))
+        cell = 2 * F.size(F.filter("p", lambda x: x < F.col("v"))) + F.array_contains("p", F.col("v")).cast("int")
+        per = within(cut).groupBy(*keys, "at", cell.alias("cell")).agg(F.count("*").alias("k"))
+        upto = F.sum("k").over(W.partitionBy(*keys, "at").orderBy("cell").rowsBetween(W.unboundedPreceding, 0))  # 2 * cuts rows at most
+        placed = per.withColumn("upto", upto).join(cut, [*keys, "at"]).withColumn("below", F.col("before") + F.col("upto") - F.col("k"))
+        hit = durable(placed.where("below <= at and at < below + k"))
+        found = found.unionByName(hit.where("cell % 2 = 1").select(*keys, F.get("p", F.expr("cell div 2").cast("int")).alias("v")))
+        edge = lambda i, old: F.coalesce(F.get("p", i.cast("int")), F.col(old))
+        todo = durable(hit.where("cell % 2 = 0").select(*keys, "at", F.when(F.col("cell") > 0, edge(F.expr("cell div 2 - 1"), "lo")).otherwise(F.col("lo")).alias("lo"), edge(F.expr("cell div 2"), "hi").alias("hi"), F.col("below").alias("before"), F.col("k").alias("inside")))
+    return found.groupBy(*keys).agg(F.avg("v").alias("median"))
+
+
+def exact_median(rows: DataFrame, c: str, few: int = 10_000, cuts: int = 64) -> float | None:
+    """group_medians of a whole column; null for none."""
+    return group_medians(rows, [], c, few, cuts).first().median
 
 
 def tiles(rows: DataFrame, value: str, key: str, flag: Column) -> DataFrame:

@@ -2,17 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _durable(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="millrace-"))
-    return df.checkpoint()
+from millrace.operators.durable import durable
 
 
 def medoid_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -22,7 +15,7 @@ def medoid_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> Da
     only fall, so the one-by-one order would take the same ones; the result is the same.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    free, links, done = _durable(nodes.select("id").distinct()), _durable(both), None
+    free, links, done = durable(nodes.select("id").distinct()), durable(both), None
     for _ in range(rounds):
         rank = free.join(links.groupBy(F.col("a").alias("id")).count(), "id", "left").select("id", F.struct(F.coalesce("count", F.lit(0)).alias("n"), (-F.col("id")).alias("i")).alias("r"))
         one = links.join(rank, links.b == rank.id).groupBy(F.col("a").alias("id")).agg(F.max("r").alias("m"))
@@ -30,13 +23,13 @@ def medoid_clusters(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> Da
         two = links.join(near.select(F.col("id").alias("b"), "m"), "b").groupBy(F.col("a").alias("id")).agg(F.max("m").alias("m2"))
         seeds = near.join(two, "id", "left").where(F.col("r") == F.greatest("m", F.coalesce("m2", "m"))).select(F.col("id").alias("seed"))
         taken = seeds.select(F.col("seed").alias("id"), "seed").unionByName(links.join(seeds, links.a == seeds.seed).select(F.col("b").alias("id"), "seed"))
-        taken = _durable(taken)
+        taken = durable(taken)
         done = taken if done is None else done.unionByName(taken)
-        free = _durable(free.join(taken.select("id"), "id", "left_anti"))
+        free = durable(free.join(taken.select("id"), "id", "left_anti"))
         if free.isEmpty():
             return done
         gone = taken.select(F.col("id").alias("x"))
-        links = _durable(links.join(gone, links.a == gone.x, "left_anti").join(gone, links.b == gone.x, "left_anti"))
+        links = durable(links.join(gone, links.a == gone.x, "left_anti").join(gone, links.b == gone.x, "left_anti"))
     raise RuntimeError(f"clusters did not settle in {rounds} rounds")
 
 

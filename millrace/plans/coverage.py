@@ -158,10 +158,10 @@ _LOOPS = f"count(*) AS n, min(value) AS shortest, max(value) AS longest, median(
 
 def _loops(rows):
     v = F.col("value")
-    return rows.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.min(v).alias("shortest"), F.max(v).alias("longest"), F.median(v).alias("median"), _sum("value").alias("total"),
+    return aggregates.group_medians(rows, ["event_type"], "value").join(rows.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.min(v).alias("shortest"), F.max(v).alias("longest"), _sum("value").alias("total"),
         F.to_date(F.min("ts")).alias("first"), F.to_date(F.max("ts")).alias("last"), aggregates.count_if(v >= 50).alias("clockwise"), aggregates.count_if(v < 50).alias("counter"), F.min(F.when(v > 0, v)).alias("best"),
-    )
+    ), "event_type", "right")
 
 
 @query(f"SELECT event_type, {_LOOPS} FROM events GROUP BY 1")

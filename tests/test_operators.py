@@ -210,14 +210,19 @@ def test_stream_upkeep_equals_batch(spark, tmp_path):
     assert got == sorted(map(tuple, sets.upsert(frames[0].union(frames[1]), ["id"], ["n"]).collect()))
 
 
-def test_exact_median_by_cells(spark):
-    import random
+def test_exact_medians(spark):
     import statistics
 
-    rng = random.Random(1)
-    for values in ([5.0], [1.0, 2.0], [rng.gauss(0, 1) for _ in range(501)], [3.0] * 40 + [7.0] * 40, [10.0 ** rng.randrange(9) for _ in range(400)]):
-        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
-        assert aggregates.exact_median(rows, "v", few=10, cells=4) == statistics.median(values)
+    rng, inf = random.Random(1), float("inf")
+    sets = ([5.0], [1.0, 2.0], [rng.gauss(0, 1) for _ in range(501)], [3.0] * 40 + [7.0] * 40, [10.0 ** rng.randrange(9) for _ in range(400)], [inf] * 30 + [1.0, 2.0] * 9, [-inf] * 30 + [float(i) for i in range(31)], [inf] * 25 + [-inf] * 25 + [0.5], [1e-300 * i for i in range(77)] + [inf], list(map(float, range(20))), [])
+    data = [(i, v) for i, vs in enumerate(sets) for v in vs] + [(0, None), (2, float("nan")), (99, None)]
+    rng.shuffle(data)
+    rows = spark.createDataFrame(data, "g int, v double")
+    want = {i: statistics.median(vs) for i, vs in enumerate(sets) if vs}
+    for few, cuts, small in ((10, 4, 10**6), (10, 4, 0), (10_000, 64, 10**6)):
+        assert {r.g: r.median for r in aggregates.group_medians(rows, ["g"], "v", few, cuts, small).collect()} == want
+    for i in (2, 5, 7):
+        assert aggregates.exact_median(rows.where(F.col("g") == i), "v", few=10, cuts=4) == want[i]
     assert aggregates.exact_median(rows.limit(0), "v") is None
 
 
