@@ -16,7 +16,8 @@ from millrace.streaming import incremental
 def cursor_pull(spark, sf):
     """Each user's last event, kept by three pulls: half of the time, all of it from the cursor on, and once more with nothing new."""
     events = _t(spark, sf, "events").select("user_id", "event_id", "ts")
-    half = events.agg(F.timestamp_micros(((F.unix_micros(F.min("ts")) + F.unix_micros(F.max("ts"))) / 2).cast("long")).cast("string")).first()[0]
+    ends = [F.unix_micros(f("ts").cast("timestamp")) for f in (F.min, F.max)]
+    half = events.agg(F.timestamp_micros(((ends[0] + ends[1]) / 2).cast("long")).cast("string")).first()[0]
     table = f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
     for upto in (half, None, None):
 
