@@ -13,7 +13,8 @@ A crowded bucket never becomes all its pairs: first each member meets the least
 its bucket, which joins most copies. Only buckets that still hold several components go on, cut into
 tiles of bounded size, and there only members of different components are compared, inside the task.
 A pair counts in one bucket only, the first that it has in common. Of its likely pairs each tile first
-sends a spanning forest, most matches first; only what that doesn't join is sent pair by pair.
+sends a spanning forest, most matches first. What that doesn't join is confirmed inside its tile, to which
+the sets of nodes in likely pairs are sent, so that no table ever holds all likely pairs.
 Joins on a key that many rows share deal this key's rows to several tasks (spread_join).
 """
 
@@ -38,6 +39,8 @@ LOOKS = (32, 64, 128, 256, 512, 1024)
 _RNG = np.random.default_rng(11)
 _A = _RNG.integers(0, 1 << 32, HASHES, np.uint32)[:, None] | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, HASHES, np.uint32)[:, None]
+#: Shingles in a piece of a bucket, at most about so many.
+_LOAD = 1 << 21
 _WEIGHTS = _RNG.integers(0, 1 << 64, BAND + 1, np.uint64) | np.uint64(1)
 
 
@@ -132,12 +135,12 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _met(nodes: DataFrame, limit: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
-    """(bucket, node, m, lo, hi) of nodes that aren't alone in a bucket: its size, its least and greatest node."""
-    dealt = nodes.select("node", F.explode("bands").alias("bucket"))
-    per = dealt.groupBy("bucket").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("m > 1")
-    per = stored(per, "bayes-buckets")
+    """(bucket, node, m, load, lo, hi) of nodes that aren't alone in a bucket: its nodes and shingles, its least and greatest node."""
+    dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    per = dealt.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("load"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("m > 1")
+    per, dealt = stored(per, "bayes-buckets"), dealt.drop("n")
     held = per.count()
-    if held * 40 <= max_bytes:
+    if held * 48 <= max_bytes:
         return stored(dealt.join(F.broadcast(per), "bucket"), "bayes-met")
     limit = max(limit, held // 500_000)  # so that crowded buckets are few; the others have no more rows than this
     crowded, others = F.broadcast(per.where(F.col("m") > limit)), per.where(F.col("m") <= limit)
@@ -208,14 +211,23 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(common.where(100 * F.col("k") >= percent * (F.col("n") - F.col("k"))).select("a", "b"), "bayes-links")
 
 
+def _array(c: pa.Array, name: str) -> np.ndarray:
+    if name == "sig":
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES)
+    if name == "items":
+        out = np.empty(len(c), object)
+        out[:] = np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])
+        return out
+    return c.flatten().to_numpy().reshape(len(c), -1) if name == "bands" else c.to_numpy()
+
+
 def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of one tile after the other; rows come sorted by tile, the first column."""
     rest: list[np.ndarray] | None = None
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [c.flatten().to_numpy().reshape(b.num_rows, -1) if pa.types.is_list(c.type) else c.to_numpy() for c in b.columns[:-1]]
-        cols.append(np.frombuffer(b"".join(b.column(b.num_columns - 1).to_pylist()), np.uint8).reshape(-1, HASHES))
+        cols = [_array(c, name) for c, name in zip(b.columns, b.schema.names)]
         if rest is not None:
             cols = [np.concatenate(pair) for pair in zip(rest, cols)]
         cuts = np.flatnonzero(np.diff(cols[0])) + 1
@@ -281,26 +293,68 @@ def _first_met(bands: np.ndarray, bucket: int, i: np.ndarray, j: np.ndarray) ->
     return bands[i, (bands[i] == bands[j]).argmax(axis=1)] == bucket
 
 
-def _across(left: DataFrame, nodes: DataFrame, percent: int, miss: float, tile: int, forest: bool) -> DataFrame:
-    """(a, b): likely pairs of one bucket and of different parts. left: (bucket, node, part, m), m being the bucket's size.
-
-    A pair counts in the first bucket that it has in common, and nowhere else. forest: of each tile only pairs
-    that, if all are links, join what all of its likely pairs would; otherwise all.
-    """
-    needed = least_matches(percent / 100, miss)
-    pieces = F.ceil(F.col("m") / tile)
+def _tiled(left: DataFrame, tile: int) -> DataFrame:
+    """(tile, side, bucket, node, part) of left (bucket, node, part, m, load): a bucket's rows cut into pieces of bounded size, each row once for every pair of pieces that its own is in."""
+    pieces = F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("load") / _LOAD))
     dealt = left.withColumn("i", F.pmod(F.xxhash64("node"), pieces)).withColumn("o", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "o"), F.greatest("i", "o")).alias("tile"), (F.col("i") > F.col("o")).cast("int").alias("side"), "bucket", "node", "part")
-    dealt = dealt.join(nodes.select("node", "n", "bands", "sig"), "node").select("tile", "side", "bucket", "node", "n", "part", "bands", "sig")
+    return dealt.select(F.xxhash64("bucket", F.least("i", "o"), F.greatest("i", "o")).alias("tile"), (F.col("i") > F.col("o")).cast("int").alias("side"), "bucket", "node", "part")
+
+
+def _in_tiles(dealt: DataFrame, more: DataFrame) -> DataFrame:
+    """Tiles with the columns of more, by node, rows of a tile together: sides one after the other, parts in order."""
+    cols = [c for c in more.columns if c != "node"]
+    return dealt.join(more, "node").select("tile", "side", "bucket", "node", "part", *cols).repartition("tile").sortWithinPartitions("tile", "side", "part")
+
+
+def _likely_forest(dealt: DataFrame, nodes: DataFrame, percent: int, needed: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): of each tile likely pairs that, if all are links, join what all of its likely pairs would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, side, bucket, node, n, part, bands, sigs in _whole_tiles(batches):
+        for _, side, bucket, node, part, n, bands, sigs in _whole_tiles(batches):
             found = ((i[on], j[on], m[on]) for i, j, m in _compare(side, n, part, sigs, percent, needed) for on in [_first_met(bands, bucket[0], i, j)])
-            for i, j, _ in _spanning(part, found) if forest else found:
+            for i, j, _ in _spanning(part, found):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
-    sorted_ = dealt.repartition("tile").sortWithinPartitions("tile", "side", "part")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+    return _in_tiles(dealt, nodes.select("node", "n", "bands", "sig")).mapInArrow(run, "a long, b long").distinct()
+
+
+def _suspects(dealt: DataFrame, nodes: DataFrame, percent: int, needed: list[tuple[int, int]]) -> DataFrame:
+    """The rows of tiles that are in any likely pair there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, side, bucket, node, part, n, bands, sigs in _whole_tiles(batches):
+            seen = np.zeros(len(node), bool)
+            for i, j, _ in _compare(side, n, part, sigs, percent, needed):
+                on = _first_met(bands, bucket[0], i, j)
+                seen[i[on]] = seen[j[on]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (tile, side, bucket, node, part)], ["tile", "side", "bucket", "node", "part"])
+
+    rows = _in_tiles(dealt, nodes.select("node", "n", "bands", "sig"))
+    return rows.mapInArrow(run, "tile long, side int, bucket long, node long, part long")
+
+
+def _links_in_tiles(suspects: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, needed: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): links that join all that each tile's links join. Likely pairs are confirmed on whole sets inside the task, so none but links come out."""
+
+    def linked(x: np.ndarray, y: np.ndarray) -> bool:
+        k = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * k >= percent * (len(x) + len(y) - k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, side, bucket, node, part, n, bands, items, sigs in _whole_tiles(batches):
+            label, a, b = np.unique(part, return_inverse=True)[1], [], []
+            for i, j, m in _compare(side, n, part, sigs, percent, needed):
+                on = _first_met(bands, bucket[0], i, j)
+                order = np.argsort(-m[on], kind="stable")
+                for x, y in zip(i[on][order].tolist(), j[on][order].tolist()):
+                    if label[x] != label[y] and linked(items[x], items[y]):
+                        label[label == label[y]] = label[x]
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    more = nodes.select("node", "n", "bands", "sig").join(sets, "node").select("node", "n", "bands", "items", "sig")
+    return _in_tiles(suspects, more).mapInArrow(run, "a long, b long").distinct()
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, miss: float = 1e-6, tile: int = 4096) -> DataFrame:
@@ -323,20 +377,24 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
     known = stored(wanted(likely), "bayes-wanted")
     sets = _sets(docs, text_col, rows, known, width)
     links = _confirmed(likely, sets, percent)
-    crowded = hot_keys(met.where("m > 3"), "bucket")
-    for forest in (True, False):
-        part = met.where("m > 3").select("bucket", "node", "m").join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    needed, crowded = least_matches(percent / 100, miss), hot_keys(met.where("m > 3"), "bucket")
+
+    def open_tiles() -> DataFrame:
+        """Buckets that hold several components, in tiles. A bucket of up to three nodes has met all its pairs."""
+        part = met.where("m > 3").select("bucket", "node", "m", "load").join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
         part = stored(part, "bayes-parts")
-        open_ = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
-        left = spread_join(part, open_, "bucket", crowded, F.xxhash64("node"))
-        more = stored(_across(left, nodes, percent, miss, tile, forest).join(tried, ["a", "b"], "left_anti"), "bayes-more")
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        new = stored(wanted(more).join(known, "node", "left_anti"), "bayes-wanted")
+        several = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket")
+        return _tiled(spread_join(part, several, "bucket", crowded, F.xxhash64("node")), tile)
+
+    more = stored(_likely_forest(open_tiles(), nodes, percent, needed).join(tried, ["a", "b"], "left_anti"), "bayes-more")
+    for pairs in (True, False):
+        rest = None if pairs else stored(_suspects(open_tiles(), nodes, percent, needed), "bayes-suspects")
+        needs = wanted(more) if pairs else nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "key", "text_key")
+        new = stored(needs.join(known, "node", "left_anti"), "bayes-wanted")
         if not new.isEmpty():
             sets, known = sets.unionByName(_sets(docs, text_col, rows, new, width)), known.unionByName(new)
-        links = links.unionByName(_confirmed(more, sets, percent))
+        found = _confirmed(more, sets, percent) if pairs else stored(_links_in_tiles(rest, nodes, sets, percent, needed), "bayes-links")
+        links = links.unionByName(found)
     named = nodes.select("node", "key", "doc_id").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "bayes-named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -99,17 +99,20 @@ def test_tables_too_large_to_broadcast(spark, monkeypatch):
 
 
 def test_templated_texts_send_few_pairs(spark):
-    """Texts that share a template below the threshold: hardly a pair leaves its tile to be confirmed."""
+    """Texts that share a template below the threshold: what leaves tiles grows with their rows, not with their pairs."""
     shared = [f"s{i}" for i in range(200)]
     texts = [" ".join(shared + [f"o{k}_{i}" for i in range(44)]) for k in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len({r.component_id for r in bm.groups(docs, width=2).collect()}) == 300
+    nodes, dealt = tiles_of(docs)
+    needed = bm.least_matches(0.8, 1e-6)
+    assert bm._likely_forest(dealt, nodes, 80, needed).count() <= bm._suspects(dealt, nodes, 80, needed).count() <= dealt.count()
+
+
+def tiles_of(docs, tile=1024):
     nodes = stored(bm._nodes(stored(bm._signed(docs, "doc_id", "text", 2), "t")), "t")
-    met = bm._met(nodes)
-    left = met.select("bucket", "node", F.col("node").alias("part"), "m")
-    sent = bm._across(left, nodes, 80, 1e-6, 1024, False).count()
-    assert bm._across(left, nodes, 80, 1e-6, 1024, True).count() <= sent
-    assert sent <= 0.02 * 300 * 299 / 2
+    left = bm._met(nodes).select("bucket", "node", F.col("node").alias("part"), "m", "load")
+    return nodes, bm._tiled(left, tile)
 
 
 def test_looks_and_estimates():
@@ -182,18 +185,22 @@ def test_forest_joins_what_all_pairs_join():
         assert bm.roots(12, part[cut[0][0]], part[cut[0][1]]).tolist() == join(on)
 
 
-def test_all_likely_pairs_come_from_one_bucket_each(spark):
-    docs = spark.createDataFrame(list(enumerate(near_copies(random.Random(9), 40))), "doc_id long, text string")
-    nodes = stored(bm._nodes(stored(bm._signed(docs, "doc_id", "text", 2), "t")), "t")
-    met = bm._met(nodes)
-    left = met.select("bucket", "node", F.col("node").alias("part"), "m")
-    sent = {tuple(r) for r in bm._across(left, nodes, 80, 1e-6, 8, False).collect()}
-    by = {r.node: r for r in nodes.collect()}
+def test_links_in_tiles_join_what_brute_force_joins(spark):
+    """Without star and forest before: tiles alone find all components."""
+    texts = near_copies(random.Random(9), 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes, dealt = tiles_of(docs, 8)
     needed = bm.least_matches(0.8, 1e-6)
-    for a in by:
-        for b in by:
-            if a < b:
-                sigs = np.stack([np.frombuffer(by[x].sig, np.uint8) for x in (a, b)])
-                likely = len(bm.alive(sigs, np.array([0]), np.array([1]), needed)[0]) and min(by[a].n, by[b].n) >= 0.8 * max(by[a].n, by[b].n)
-                met_ = set(by[a].bands) & set(by[b].bands)
-                assert ((a, b) in sent) == bool(likely and met_)
+    suspects = stored(bm._suspects(dealt, nodes, 80, needed), "t")
+    assert suspects.count() == suspects.distinct().count() <= dealt.count()
+    sets = bm._sets(docs, "text", stored(bm._signed(docs, "doc_id", "text", 2), "t"), nodes.select("node", "key", "text_key"), 2)
+    root = {r.node: r.root for r in bm.components(bm._links_in_tiles(suspects, nodes, sets, 80, needed)).collect()}
+    ours = {}
+    for r in nodes.collect():
+        ours.setdefault(root.get(r.node, r.node), set()).add(r.doc_id)
+    want = {}
+    for d, _, c in plain(list(enumerate(texts))):
+        want.setdefault(c, set()).add(d)
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    firsts = set(first.values())
+    assert sorted(map(sorted, ours.values())) == sorted(sorted(v & firsts) for v in want.values())
