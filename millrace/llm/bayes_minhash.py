@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components, roots
-from millrace.llm.neardup import _mixed, shingles
 from millrace.llm.shared import durable, stored
+from millrace.llm.shingles import mixed, shingles
 
 HASHES, BAND, BANDS = 1024, 4, 40
 #: Numbers of matches are looked at after so many comparisons.
@@ -56,7 +56,7 @@ def signature(items: np.ndarray) -> np.ndarray:
 def buckets(sig: np.ndarray) -> np.ndarray:
     """The buckets of a signature, one per band."""
     rows = sig[: BAND * BANDS].astype(np.uint64).reshape(BANDS, BAND)
-    return _mixed(rows @ _WEIGHTS[:BAND] + np.arange(BANDS, dtype=np.uint64) * _WEIGHTS[BAND]).view(np.int64)
+    return mixed(rows @ _WEIGHTS[:BAND] + np.arange(BANDS, dtype=np.uint64) * _WEIGHTS[BAND]).view(np.int64)
 
 
 def least_matches(least: float, miss: float) -> list[tuple[int, int]]:
@@ -212,8 +212,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _array(c: pa.Array, name: str) -> np.ndarray:
-    if name == "sig":
-        return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, HASHES)
+    if pa.types.is_binary(c.type):  # of one length
+        return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
     if name == "items":
         out = np.empty(len(c), object)
         out[:] = np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])

@@ -4,232 +4,258 @@ For similar rather than all but equal texts the radius is wide (26 of 64 bits fo
 0.8), and blocks of bits would be too short to name buckets. Here a set's rarest shingles name
 them: two sets of similarity t or more share an element among the first n - ceil(t n) + 1 of each,
 in any one order of all elements, so no such pair is missed. The order puts elements first whose
-count (in a table of fixed size, by hash) is small, so that common lines name few candidates.
-
-Neighbours by size in a bucket are confirmed first, which joins most copies. Where a bucket's sets
-still lie in several components, their fingerprints are compared exactly, tile against tile
-(simhash.tiles), and pairs of different components within the radius go on. Pairs
-that fingerprints of 256 bits put out of reach are dropped, and every link is confirmed on whole
-sets, which are made again from their texts rather than stored. A pair of similarity 0.8 differs
+count (in a table by hash, which grows with the number of rows up to a bound) is small, so that
+common lines name few candidates.
+
+Each different set is one node. A bucket's nodes first meet its least and greatest one. Buckets that
+still hold several components are compared exactly in tiles of bounded size: fingerprints by exclusive-or
+and bit counts, blocks whose population counts differ beyond the radius being skipped, then marks,
+of 2,048 bits each. A mark has the parity of how many elements fall on each bit, so that two marks never
+differ in more bits than their sets differ in elements: what they put out of reach is no link, and
+nothing is left to chance. Texts that merely share a template end here and leave no pair.
+
+Of its likely pairs a tile sends a spanning forest only. What that doesn't join is confirmed
+inside the tile, to which the sets of nodes in likely pairs are sent. All links are confirmed on whole
+sets, made again from one text of each node that needs it. A pair of similarity 0.8 differs
 in 9.7 of 64 bits on average with a deviation of 2.9, so that fewer than one in 10^7 lies beyond
-the radius of 26, six deviations off; 74 of 256 bits is as far.
+the radius of 26, six deviations off.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.llm import bayes_minhash as bayes
 from millrace.llm.components import components
-from millrace.llm.shared import durable, stored
-from millrace.llm.simhash import tiles, whole_tiles
-
-_SLOTS = 1 << 16
-
-
-_BASE = 0x9E3779B97F4A7C15
-_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BYTES = np.random.default_rng(5).integers(0, 1 << 64, 256, np.uint64)
-_POWERS: list[np.ndarray] = []
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64. Those of up to a million bytes stay with the worker process."""
-    if _POWERS and len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    size = max(n, 1 << 14)
-    made = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        x = np.full(size, base, np.uint64)
-        x[0] = 1
-        made.append(np.multiply.accumulate(x))
-    if size <= 1 << 20:
-        _POWERS[:] = made
-    return made[0], made[1]
+from millrace.llm.shared import stored
+from millrace.llm.shingles import mixed, shingles
 
+#: Bits of a mark.
+MARK = 2048
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted hashes of a text's different word shingles. Words as in simhash; a text of fewer than `width` words is one shingle.
 
-    Hashes are polynomials over the bytes between two places, out of one running sum, and mixed.
-    """
-    raw = np.frombuffer(text.encode("utf-8", "replace").lower() if text else b"", np.uint8)
-    blank = _BLANK[raw]
-    keep = ~blank
-    keep[1:] |= ~blank[:-1]  # one blank after each word
-    line, blank = raw[keep], blank[keep]
-    if len(line) and blank[-1]:
-        line, blank = line[:-1], blank[:-1]
-    if not len(line):
-        return np.empty(0, np.int64)
-    gaps = np.flatnonzero(blank)
-    starts, ends = np.r_[0, gaps + 1], np.r_[gaps, len(line)]
-    more = min(width, len(starts)) - 1
-    starts, ends = starts[: len(starts) - more], ends[more:]
-    up, down = _powers(len(line))
-    values = _BYTES[line]
-    values[blank] = _BYTES[32]
-    values *= up[: len(line)]
-    sums = np.r_[np.uint64(0), np.cumsum(values)]
-    out = _mixed((sums[ends] - sums[starts]) * down[starts])
-    out.sort()
-    return out[np.r_[True, out[1:] != out[:-1]]].view(np.int64)
-
-
-def set_fingerprint(items: np.ndarray, words: int = 4) -> list[int]:
+def set_fingerprint(items: np.ndarray, words: int = 1) -> list[int]:
     """SimHash of a set of hashes in 64-bit words, each from the hashes mixed anew: a bit is 1 if over half of them have it."""
     ones = np.zeros(64 * words, np.int64)
     for lo in range(0, len(items), 1 << 12):
         h = [items[lo : lo + (1 << 12)].view(np.uint64)]
         for _ in range(words - 1):
-            h.append(_mixed(h[-1]))
+            h.append(mixed(h[-1]))
         ones += np.unpackbits(np.stack(h, axis=1).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(ones * 2 > len(items), bitorder="little").view(np.int64).tolist()
 
 
+def mark(items: np.ndarray) -> np.ndarray:
+    """A bit is 1 if an odd number of elements falls on it; an element differing flips one bit at most."""
+    at = (items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % MARK
+    return np.packbits(np.bincount(at, minlength=MARK) & 1, bitorder="little")
+
+
 def reach(least: float, bits: int = 64) -> int:
     """The radius within which sets of this similarity lie, six deviations beyond the mean number of differing bits."""
     p = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
     return min(bits, math.floor(bits * p + 6 * math.sqrt(bits * p * (1 - p))))
 
 
-def _need(n: int, least: float) -> int:
-    return math.ceil(n * least - 1e-9)
-
-
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc_id, text_key, set_key, items) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
-                sets = [shingles(t.as_py(), width) for t in b.column(1)]
-                keys = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-                cuts = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(sets)))], ["doc_id", "text_key", "set_key", "items"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, set_key long, items array<long>")
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
 
 
-def _counts(rows: DataFrame) -> np.ndarray:
-    """How often elements of each slot occur: a table of fixed size."""
+def _counts(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """How often elements of each slot occur. The table has a slot for every few rows, 65,536 at least and four million at most."""
+    slots = 1 << min(22, max(16, math.ceil(math.log2(docs.count() / 4 + 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(_SLOTS, np.int64)
+        seen = np.zeros(slots, np.int64)
         for b in batches:
-            seen += np.bincount(b.column(0).flatten().to_numpy() & (_SLOTS - 1), minlength=_SLOTS)
+            for t in b.column(0):
+                np.add.at(seen, shingles(t.as_py(), width) & (slots - 1), 1)
         used = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(seen[used])], ["slot", "n"])
 
-    got = rows.select("items").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(_SLOTS, np.int64)
+    got = docs.select(text_col).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(slots, np.int64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy()
     return out
 
 
-def _prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
-    """(doc_id, text_key, set_key, n, fps, first): n elements, their fingerprint, and the elements through which a set meets those like it. Of copies within a task one has them."""
-    sent = sets.sparkSession.sparkContext.broadcast(counts)
+def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
+    """(doc_id, text_key, key, n, fp, mark, first) of each row: its set's size, fingerprint, mark and the elements through which it meets sets like it.
+
+    Of equal sets in a task one has the last three; an empty set has no key.
+    """
+    sent, slots = docs.sparkSession.sparkContext.broadcast(counts), len(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            values, cuts = b.column(3).values.to_numpy(), b.column(3).offsets.to_numpy()
-            n, fps, first = [], [], []
-            for key, lo, hi in zip(b.column(2).to_pylist(), cuts[:-1], cuts[1:]):
-                x = values[lo:hi]
+        seen: set[bytes] = set()
+        for b in bayes._batches(batches):
+            keys, n, fps, marks, first = [], [], [], [], []
+            for t in b.column(1):
+                x = shingles(t.as_py(), width)
+                key = xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None
+                keys.append(key)
                 n.append(len(x))
-                if key in seen or lo == hi:
+                if key is None or key in seen:
                     fps.append(None)
+                    marks.append(None)
                     first.append(None)
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(key)
-                fps.append(set_fingerprint(x))
-                first.append(x[np.lexsort((x, sent.value[x & (_SLOTS - 1)]))[: len(x) - _need(len(x), least) + 1]])
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "n", "fps", "first"])
+                fps.append(set_fingerprint(x)[0])
+                marks.append(mark(x).tobytes())
+                need = -(-len(x) * percent // 100)
+                first.append(x[np.lexsort((x, sent.value[x & (slots - 1)]))[: len(x) - need + 1]])
+            cols = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(marks, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "key", "n", "fp", "mark", "first"])
+
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, key binary, n long, fp long, mark binary, first array<long>")
 
-    return sets.mapInArrow(run, "doc_id long, text_key long, set_key long, n long, fps array<long>, first array<long>")
 
+def _nodes(rows: DataFrame) -> DataFrame:
+    """(node, key, n, text_key, fp, mark, bands): one row per different set."""
+    first = rows.where("mark is not null").groupBy("key").agg(F.min_by(F.struct("n", "text_key", "fp", "mark", F.col("first").alias("bands")), "text_key").alias("x"))
+    return first.select(F.monotonically_increasing_id().alias("node"), "key", "x.*")
 
-def _fits(a: Column, b: Column, least: float) -> Column:
-    """Sets of these sizes can be so similar."""
-    return F.least(a, b) >= F.greatest(a, b) * least - 1e-9
 
+def _within(n: Column, apart: Column, percent: int) -> Column:
+    """Sets of n elements together that differ in `apart` of them are so similar."""
+    return (100 + percent) * apart <= (100 - percent) * n
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, radius: int) -> DataFrame:
+    """The stored pairs (a, b) that neither sizes nor fingerprints nor marks rule out, stored."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in bayes._batches(batches, 4096):
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, -1) for k in (3, 4))
+            on = np.flatnonzero((100 + percent) * np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (100 - percent) * b.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(on)), b.column(1).take(pa.array(on))], ["a", "b"])
+
+    both = bayes._with_both(pairs, nodes.select("node", "n", "fp", "mark"))
+    both = both.where(_within(F.col("n_a") + F.col("n_b"), F.abs(F.col("n_a") - F.col("n_b")), percent) & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius))
+    return stored(both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "mark_a", "mark_b").mapInArrow(run, "a long, b long"), "near-likely")
+
+
+def compared(side: np.ndarray, n: np.ndarray, part: np.ndarray, fp: np.ndarray, marks: np.ndarray, percent: int, radius: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, weight) of likely pairs of different parts in a tile: of its two sides, or within its only one. Pairs that differ least weigh most."""
+    fp, marks = fp.view(np.uint64), np.ascontiguousarray(marks).view(np.uint64)
+    bits = np.bitwise_count(fp).astype(np.int64)
+    order = np.lexsort((bits, side))
+    cut = int(np.searchsorted(side[order], 1))
+    inside = cut in (0, len(side))
+    end = len(side) if inside else cut
+    for x in range(0, end, block):
+        xs = order[x : min(x + block, end)]
+        for y in range(x if inside else cut, len(side), block):
+            ys = order[y : y + block]
+            if max(bits[ys[0]] - bits[xs[-1]], bits[xs[0]] - bits[ys[-1]]) > radius:
+                continue
+            met = (part[xs, None] != part[None, ys]) & (np.bitwise_count(fp[xs, None] ^ fp[None, ys]) <= radius)
+            met &= (100 + percent) * np.abs(n[xs, None] - n[None, ys]) <= (100 - percent) * (n[xs, None] + n[None, ys])
+            if inside and x == y:
+                met &= np.arange(len(xs))[:, None] < np.arange(len(ys))[None, :]
+            a, b = np.nonzero(met)
+            for lo in range(0, len(a), 1 << 15):
+                i, j = xs[a[lo : lo + (1 << 15)]], ys[b[lo : lo + (1 << 15)]]
+                apart = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
+                on = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+                if on.any():
+                    yield i[on], j[on], -apart[on]
+
+
+def _forests(dealt: DataFrame, nodes: DataFrame, near: Callable) -> DataFrame:
+    """(a, b): of each tile likely pairs that, if all are links, join what all of its likely pairs would."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, side, _, node, part, n, fp, marks in bayes._whole_tiles(batches):
+            for i, j, _ in bayes._spanning(part, near(side, n, part, fp, marks)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+
+    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark")).mapInArrow(run, "a long, b long").distinct()
+
+
+def _suspects(dealt: DataFrame, nodes: DataFrame, near: Callable) -> DataFrame:
+    """The rows of tiles that are in any likely pair there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile, side, bucket, node, part, n, fp, marks in bayes._whole_tiles(batches):
+            seen = np.zeros(len(node), bool)
+            for i, j, _ in near(side, n, part, fp, marks):
+                seen[i] = seen[j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (tile, side, bucket, node, part)], ["tile", "side", "bucket", "node", "part"])
 
-def _confirmed(pairs: DataFrame, fps: DataFrame, sets: DataFrame, least: float, max_bytes: int = 64 << 20) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets have at least this similarity."""
-    side = lambda c: fps.select(F.col("set_key").alias(c), F.col("fps").alias(f"f{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = durable(both.where(apart <= reach(least, 256)).select("a", "b"))
-    keys = stored(near.select(F.col("a").alias("set_key")).union(near.select("b")).distinct(), "near-keys")
-    keys = F.broadcast(keys) if keys.count() * 32 <= max_bytes else keys
-    whole = sets.select("set_key", "items").join(keys, "set_key", "left_semi").groupBy("set_key").agg(F.first("items").alias("items"))
-    met = near.join(whole.select(F.col("set_key").alias("a"), F.col("items").alias("x")), "a").join(whole.select(F.col("set_key").alias("b"), F.col("items").alias("y")), "b")
-    common = met.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("k"))
-    return stored(common.where(F.col("k") >= (F.col("n") - F.col("k")) * least - 1e-9).select("a", "b"), "near-links")
+    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark")).mapInArrow(run, "tile long, side int, bucket long, node long, part long")
 
 
-def _across(left: DataFrame, least: float, radius: int, tile: int, side: int = 512) -> DataFrame:
-    """(a, b): pairs of sets of one item and of different components whose fingerprints lie within the radius. left: (item, set_key, n, fp, part)."""
-    dealt = tiles(left.select(F.col("item").alias("bucket"), F.col("set_key").alias("key"), "fp", "n", "part"), radius, tile).select("tile", "fp", "bits", "key", "n", "part")
+def _links_in_tiles(suspects: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, near: Callable) -> DataFrame:
+    """(a, b): links that join all that each tile's links join, confirmed on whole sets inside the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, (fps, bits, keys, n, part) in whole_tiles(batches):
-            f = fps.view(np.uint64)
-            cuts = np.flatnonzero(np.r_[True, t[1:] != t[:-1], True])
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                for x in range(lo, hi, side):
-                    xs = slice(x, min(hi, x + side))
-                    for y in range(x, hi, side):
-                        ys = slice(y, min(hi, y + side))
-                        if bits[ys.start] - bits[xs.stop - 1] > radius:  # sorted: all later ones differ by more
-                            break
-                        met = (np.bitwise_count(f[xs, None] ^ f[None, ys]) <= radius) & (part[xs, None] != part[None, ys])
-                        met &= np.minimum(n[xs, None], n[None, ys]) >= np.maximum(n[xs, None], n[None, ys]) * least - 1e-9
-                        i, j = np.nonzero(met)
-                        if len(i):
-                            a, b = keys[i + x], keys[j + y]
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, tile: int = 2048) -> DataFrame:
-    """(doc_id, text_key, group) of each row of docs: rows of one group are joined by links of at least this similarity. Texts without words are one group."""
-    sets = _sets(docs, id_col, text_col, width)
-    rows = stored(_prefixes(sets, _counts(sets), least), "near-rows")
-    fps = rows.where("fps is not null").groupBy("set_key").agg(F.first("fps").alias("fps"))
-    dealt = rows.select(F.explode("first").alias("item"), "set_key", "n").repartition("item").dropDuplicates(["item", "set_key"])
-    own, order = W.partitionBy("item"), W.partitionBy("item").orderBy("n", "set_key")
-    met = dealt.withColumns({"m": F.count("*").over(own), "before": F.lag("set_key").over(order), "n_before": F.lag("n").over(order)})
-    met = stored(met.where("m > 1").drop("m"), "near-met")
-    near = met.where(_fits(F.col("n"), F.col("n_before"), least)).select(F.least("before", "set_key").alias("a"), F.greatest("before", "set_key").alias("b"))
-    tried = durable(near.distinct())
-    links = _confirmed(tried, fps, sets, least)
-    root = components(links).withColumnRenamed("node", "set_key")
-    part = met.select("item", "set_key", "n").join(root, "set_key", "left").withColumn("part", F.coalesce("root", "set_key")).drop("root")
-    mixed = part.groupBy("item").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("item")
-    left = part.join(mixed, "item", "left_semi").join(fps.select("set_key", F.col("fps")[0].alias("fp")), "set_key")
-    across = _across(stored(left, "near-mixed"), least, reach(least), tile)
-    more = _confirmed(across.join(tried, ["a", "b"], "left_anti"), fps, sets, least)
-    root = components(links.union(more)).withColumnRenamed("node", "set_key")
-    return rows.select("doc_id", "text_key", "set_key").join(root, "set_key", "left").select("doc_id", "text_key", F.coalesce("root", "set_key").alias("group"))
+        for _, side, _, node, part, n, fp, items, marks in bayes._whole_tiles(batches):
+            label, a, b = np.unique(part, return_inverse=True)[1], [], []
+            for i, j, w in near(side, n, part, fp, marks):
+                for k in np.argsort(-w, kind="stable").tolist():
+                    x, y = i[k], j[k]
+                    if label[x] == label[y]:
+                        continue
+                    common = len(np.intersect1d(items[x], items[y], assume_unique=True))
+                    if 100 * common >= percent * (n[x] + n[y] - common):
+                        label[label == label[y]] = label[x]
+                        a.append(min(node[x], node[y]))
+                        b.append(max(node[x], node[y]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    more = nodes.select("node", "n", "fp", "mark").join(sets, "node").select("node", "n", "fp", "items", "mark")
+    return bayes._in_tiles(suspects, more).mapInArrow(run, "a long, b long").distinct()
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5, tile: int = 4096) -> DataFrame:
+    """(doc_id, text_key, group) of each row of docs: rows of one group are joined by links of at least this similarity, in whole percents. Texts without words are one group."""
+    percent = round(100 * least)
+    radius = reach(percent / 100)
+    near = lambda side, n, part, fp, marks: compared(side, n, part, fp, marks, percent, radius)
+    rows = stored(_rows(docs, _counts(docs, text_col, width), id_col, text_col, percent, width), "near-rows")
+    nodes = stored(_nodes(rows), "near-nodes")
+    met = bayes._met(nodes)
+    to = lambda c: met.select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
+    tried = stored(to("lo").union(to("hi")).where("a <> b").distinct(), "near-tried")
+    likely = _likely(tried, nodes, percent, radius)
+    wanted = lambda pairs: nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node", "left_semi").select("node", "key", "text_key")
+    known = stored(wanted(likely), "near-wanted")
+    sets = bayes._sets(docs, text_col, rows, known, width)
+    links = bayes._confirmed(likely, sets, percent)
+    crowded = bayes.hot_keys(met.where("m > 3"), "bucket")
+
+    def open_tiles() -> DataFrame:
+        """Buckets that hold several components, one of those with the same nodes, in tiles. A bucket of up to three nodes has met all its pairs."""
+        part = met.where("m > 3").select("bucket", "node", "m", "load").join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+        part = stored(part, "near-parts")
+        several = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+        several = several.where("p <> q").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+        return bayes._tiled(bayes.spread_join(part, several, "bucket", crowded, F.xxhash64("node")), tile)
+
+    more = stored(_forests(open_tiles(), nodes, near).join(tried, ["a", "b"], "left_anti"), "near-more")
+    for pairs in (True, False):
+        rest = None if pairs else stored(_suspects(open_tiles(), nodes, near), "near-suspects")
+        needs = wanted(more) if pairs else nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "key", "text_key")
+        new = stored(needs.join(known, "node", "left_anti"), "near-wanted")
+        if not new.isEmpty():
+            sets, known = sets.unionByName(bayes._sets(docs, text_col, rows, new, width)), known.unionByName(new)
+        found = bayes._confirmed(more, sets, percent) if pairs else stored(_links_in_tiles(rest, nodes, sets, percent, near), "near-links")
+        links = links.unionByName(found)
+    named = nodes.select("key", "node").join(components(links), "node", "left").select("key", F.coalesce("root", "node").alias("group"))
+    filled = rows.where("key is not null").select("doc_id", "text_key", "key")
+    out = bayes.spread_join(filled, named, "key", bayes.hot_keys(filled, "key"), F.monotonically_increasing_id())
+    return out.select("doc_id", "text_key", "group").unionByName(rows.where("key is null").select("doc_id", "text_key", F.lit(-1).cast("long").alias("group")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, width: int = 5) -> DataFrame:

@@ -1,3 +1,5 @@
+import numpy as np
+
 import corpus_pipeline
 from millrace.llm import neardup
 
@@ -68,6 +70,61 @@ def test_crowded_items_by_tiles(spark):
     assert sorted(r[1] for r in got) == plain_kept(data)
 
 
+def templated(n, own, seed=7):
+    """Texts of 200 common words and as many own ones as named, spread among them."""
+    import random
+
+    rng = random.Random(seed)
+    out = []
+    for k in range(n):
+        words = [f"t{i}" for i in range(200)] + [f"o{k}_{i}" for i in range(own)]
+        out.append((k, " ".join(words)))
+    rng.shuffle(out)
+    return out
+
+
+def test_texts_that_share_a_template_leave_no_pairs(spark, monkeypatch):
+    """Similarity 0.69: all pairs lie within the radius, none is a link; what goes on grows with the texts, not with their pairs."""
+    sent = []
+    for name in ("_forests", "_suspects", "_links_in_tiles"):
+        whole = getattr(neardup, name)
+        monkeypatch.setattr(neardup, name, lambda *a, whole=whole: sent.append(whole(*a)) or sent[-1])
+    data = templated(300, 44)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert neardup.keep_one(docs).count() == len(data) == len(plain_kept(data))
+    assert [df.count() for df in sent] == [0, 0, 0]
+
+
+def test_templated_texts_with_copies(spark):
+    """Links across a crowd that shares a template, over several tiles."""
+    data = templated(120, 30, 3)
+    data += [(1000 + d, t.replace("t150 ", f"n{d} ")) for d, t in data[:40]]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = neardup.groups(docs, tile=16).groupBy("group").agg({"doc_id": "min"}).collect()
+    assert sorted(r[1] for r in got) == plain_kept(data)
+
+
+def test_marks_never_rule_out_a_link():
+    """Marks differ in no more bits than sets in elements, and `compared` finds every pair at the threshold."""
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 40, 300, 5000):
+        x = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        for share in (0.0, 0.1, 0.5, 1.0):
+            y = np.unique(np.r_[x[rng.random(len(x)) >= share], rng.integers(-(1 << 63), 1 << 63, int(n * share))])
+            assert np.bitwise_count(neardup.mark(x) ^ neardup.mark(y)).sum() <= len(np.setxor1d(x, y))
+    base = rng.integers(-(1 << 63), 1 << 63, 400)
+    sets = [np.unique(np.r_[base[: 400 - k], rng.integers(-(1 << 63), 1 << 63, k)]) for k in (0, 10, 44, 45, 80, 200) for _ in range(5)]
+    n, part = np.array([*map(len, sets)]), np.arange(len(sets))
+    fp = np.array([neardup.set_fingerprint(s)[0] for s in sets])
+    marks = np.stack([neardup.mark(s) for s in sets])
+    like = lambda i, j: 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+    for side in (np.zeros(len(sets), int), part % 2):
+        met = {(min(i, j), max(i, j)) for a, b, _ in neardup.compared(side, n, part, fp, marks, 80, neardup.reach(0.8), block=4) for i, j in zip(a.tolist(), b.tolist())}
+        links = {(i, j) for i in part.tolist() for j in range(i + 1, len(sets)) if like(i, j) and (side[i] != side[j] or not side.any())}
+        assert links <= met
+        assert all(100 * len(np.intersect1d(sets[i], sets[j])) > 75 * len(np.union1d(sets[i], sets[j])) for i, j in met)
+
+
 def test_shingles_against_plain_words():
     import random
 
