@@ -57,3 +57,24 @@ def skills(text: Column) -> Column:
 def cv_json(**sections: Column) -> Column:
     """A CV document: its sections by name, dates as ISO text, fields without a value as null."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in sections.items()]), {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"})
+
+
+def profiles(links: dict[str, tuple[Column, str, bool]]) -> Column:
+    """Array of (network, username, url) of the networks that have a non-empty value, in the order given.
+
+    Each network has its value, a start of its address and whether the value is a name there: if so it
+    is shown and put behind the start; otherwise it is the address itself.
+    """
+
+    def one(network: str, value: Column, start: str, is_name: bool) -> Column:
+        filled = F.when(value != "", value)
+        shown = (filled, F.concat(F.lit(start), filled)) if is_name else (F.lit(""), filled)
+        return F.when(filled.isNotNull(), F.struct(F.lit(network).alias("network"), shown[0].alias("username"), shown[1].alias("url")))
+
+    return F.array_compact(F.array(*[one(n, *rest) for n, rest in links.items()]))
+
+
+def summary(employer: Column, bio: Column) -> Column:
+    """Where somebody works, then what they say of themselves; either may be missing."""
+    parts = (F.when(employer != "", F.concat(F.lit("Currently employed at "), employer)), F.when(bio != "", bio))
+    return F.concat_ws(". ", *parts)

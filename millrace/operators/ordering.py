@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.durable import durable
+
 
 class Metric(NamedTuple):
     """A metric that a user can choose: its label, its value, and how it is shown."""
@@ -46,7 +48,30 @@ def strongest(weights: DataFrame, name: str, weight: str, n: int = 15) -> DataFr
     return weights.orderBy(F.desc(F.abs(F.col(weight))), name).limit(n)
 
 
+def placed(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """rows with their place from 1 in this order, which should end in a key. Ranges of rows are numbered apart and shifted by what lies before them."""
+    cut = durable(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = cut.groupBy("__range").agg(F.count("*").alias("n"))  # a row per partition
+    before = sizes.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return cut.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", "__range")
+
+
+def by_size(groups: DataFrame, size: str, seed: str) -> DataFrame:
+    """Groups with their place: large ones first, those of one size by seed."""
+    return placed(groups, F.desc(size), F.asc(seed))
+
+
+def by_coverage(rows: DataFrame, percent: str, length: str, name: str) -> DataFrame:
+    """Rows with their place: most covered first, then the longer, then by name."""
+    return placed(rows, F.desc(percent), F.desc(length), F.asc(name))
+
+
+def by_key(entries: Column) -> Column:
+    """The entries of a map as an array of (key, value), sorted by key; a null map has none."""
+    return F.coalesce(F.array_sort(F.map_entries(entries)), F.expr("array()"))
+
+
 def tags(rows: DataFrame, c: Column) -> DataFrame:
-    """Distinct tags of an array column with their place, case ignored, equal ones by spelling. A vocabulary, bounded by nature."""
-    distinct = rows.select(F.explode(c).alias("tag")).where("tag <> ''").distinct()
-    return distinct.withColumn("place", F.row_number().over(W.orderBy(F.lower("tag"), "tag")).cast("long"))
+    """Distinct tags of an array column with their place, case ignored, equal ones by spelling."""
+    return placed(rows.select(F.explode(c).alias("tag")).where("tag <> ''").distinct(), F.lower("tag"), F.col("tag"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,3 +54,8 @@ def with_suffix(rows: DataFrame, suffix: str, always: tuple[str, ...] = ()) -> D
 def inverted(mapping: DataFrame, name: str, members: str) -> DataFrame:
     """(name, array of members) -> (member, name)."""
     return mapping.select(F.explode(members).alias("member"), name)
+
+
+def mapped(arrays: DataFrame, change: Callable[[Column], Column] | None, y: str = "y") -> DataFrame:
+    """Series with `change` applied to each value, as they are without one. Missing series stay missing, missing values are handed on."""
+    return arrays if change is None else arrays.withColumn(y, F.transform(y, change))

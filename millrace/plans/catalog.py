@@ -471,4 +471,4 @@ def grouped_oof(spark, sf):
     return evaluation.out_of_fold(rows, ["n_chars", "odd"], "quality", "source", trees=8).select("doc_id", "fold", "score")
 
 
-from millrace.plans import coverage, documents, models, places, upkeep  # noqa: E402, F401 - register their queries
+from millrace.plans import coverage, documents, lookups, models, places, upkeep  # noqa: E402, F401 - register their queries

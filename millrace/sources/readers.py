@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EVENT_ROWS = "event_id string, start string, duration string, trip_name string, race string, first_name string, last_name string, status string"
@@ -107,3 +108,16 @@ def secret(name: str, file: str | None = None, must: bool = False) -> str | None
     if must:
         raise RuntimeError(f"{name} isn't set")
     return None
+
+
+def settings(spark: SparkSession, path: str) -> DataFrame:
+    """A settings file of `name : value` lines and one level of indented ones below a name -> (name, value) rows, inner names as outer.inner.
+
+    Comments and list items are skipped, quotes around a value dropped; a name given twice has its last value.
+    """
+    lines = F.filter(F.split(F.col("value"), r"\r?\n"), lambda x: x.rlike(r"^\s*[A-Za-z_][\w-]*\s*:"))
+    parts = F.transform(lines, lambda x: F.struct(x.rlike(r"^\s").alias("inner"), F.regexp_extract(x, r"^\s*([\w-]+)", 1).alias("name"), F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(x, r"^[^:]*:", ""), r"(^|\s)#.*$", "")), r"^['\"]|['\"]$", "").alias("value")))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(parts).alias("at", "x"))
+    outer = F.last(F.when(~F.col("x.inner"), F.col("x.name")), ignorenulls=True).over(W.orderBy("at"))  # one file's lines
+    full = rows.select("at", F.when(F.col("x.inner"), F.concat_ws(".", outer, "x.name")).otherwise(F.col("x.name")).alias("name"), F.col("x.value").alias("value"))
+    return full.where("value <> ''").groupBy("name").agg(F.max_by("value", "at").alias("value"))

@@ -47,3 +47,15 @@ def page(title: Column, date: Column, fields: dict[str, Column], body: Column) -
     lines = [F.concat(F.lit('title: "'), escape_quotes(title), F.lit('"')), F.concat(F.lit("date: "), date)]
     lines += [F.when(F.length(F.coalesce(c, F.lit(""))) > 3, F.concat(F.lit(f"{k}: '"), escape_quotes(c), F.lit("'"))) for k, c in fields.items()]
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n"), F.coalesce(body, F.lit("")))
+
+
+def bibtex_record(kind: Column, key: Column, fields: dict[str, Column]) -> Column:
+    """A BibTeX record; fields without a value are left out."""
+    lines = [F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"  {k} = {{"), c, F.lit("}"))) for k, c in fields.items()]
+    return F.concat(F.lit("@"), kind, F.lit("{"), F.concat_ws(",\n", key, *lines), F.lit("\n}"))
+
+
+def write_records(df: DataFrame, record: str, path: str, key: str) -> None:
+    """Text records one after the other, a blank line between, in order of the key over the whole output."""
+    sorted_rows = df.repartitionByRange(key).sortWithinPartitions(key)
+    sorted_rows.select(record).write.mode("overwrite").option("lineSep", "\n\n").text(path)
