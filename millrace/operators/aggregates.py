@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators.durable import durable, salted_join
+from millrace.operators.ordering import placed_within
 
 
 def count_if(test: Column) -> Column:
@@ -72,13 +73,9 @@ def fractional_allocation(rows: DataFrame, value: Column, targets: str, name: st
 
 
 def group_by_element(rows: DataFrame, listed: Column, member: str, name: str = "element") -> DataFrame:
-    """(element, member, nth, n): for each element of an array column, its members in order, a row each, and how many there are.
-
-    Elements are counted before the count meets the members, so that a frequent one is combined first.
-    """
+    """(element, member, nth, n): for each element of an array column, its members in order, a row each, and how many there are. An element that most rows have is numbered in several tasks."""
     pairs = rows.select(F.col(member).alias("member"), F.explode(F.array_distinct(listed)).alias(name)).where(F.col(name) != "").distinct()
-    counts = pairs.groupBy(name).agg(F.count("*").alias("n"))
-    return pairs.withColumn("nth", F.row_number().over(W.partitionBy(name).orderBy("member")).cast("long")).join(counts, name)
+    return placed_within(pairs, name, "member")
 
 
 def top_k(rows: DataFrame, metric: str, key: str, k: int = 15) -> DataFrame:

@@ -57,6 +57,22 @@ def placed(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFr
     return cut.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", "__range")
 
 
+def placed_within(rows: DataFrame, group: str, *order: str, name: str = "nth", size: str = "n") -> DataFrame:
+    """rows with their place from 1 in their own group, in order of columns that end in a key, and the group's size. A null group is one of them.
+
+    Rows are cut into ranges of (group, order), so that a frequent group lies in several; each task numbers its
+    part of a group, and parts are shifted by the parts before them.
+    """
+    part = ["__range", "__group"]
+    cut = durable(rows.repartitionByRange(group, *order).withColumns({"__range": F.spark_partition_id(), "__group": F.struct(group)}))
+    parts = cut.groupBy(*part).agg(F.count("*").alias("k"))  # a row per group and range: its parts are no more than there are partitions
+    of_group = W.partitionBy("__group")
+    upto = F.sum("k").over(of_group.orderBy("__range").rowsBetween(W.unboundedPreceding, 0))
+    shifts = parts.select(*part, (upto - F.col("k")).alias("__before"), F.sum("k").over(of_group).alias(size))
+    own = F.row_number().over(W.partitionBy(*part).orderBy(*order))
+    return cut.withColumn("__own", own).join(shifts, part).withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", *part)
+
+
 def by_size(groups: DataFrame, size: str, seed: str) -> DataFrame:
     """Groups with their place: large ones first, those of one size by seed."""
     return placed(groups, F.desc(size), F.asc(seed))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.durable import durable, salted_join
+
 
 def upsert(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key in order. An aggregate, so that a hot key is combined before the shuffle."""
@@ -27,22 +31,66 @@ def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
-def jaccard_pairs(members: DataFrame, owner: str, element: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) of owners whose element sets overlap by at least the threshold, a < b.
+class Classes(NamedTuple):
+    """owners (id, h): which set each owner has. sets (h, rep, copies, s, n): different sets, with their least owner and how many have them."""
 
-    Prefix filter: with elements ordered from rare to frequent, two sets that similar share one of
-    each other's first size - ceil(threshold * size) + 1. Only those meet; frequent elements
-    seldom do. Candidates are then counted over all their elements.
-    """
-    pairs = members.select(F.col(owner).alias("o"), F.col(element).alias("e")).where("o is not null and e is not null").distinct()
+    owners: DataFrame
+    sets: DataFrame
+
+
+def set_classes(members: DataFrame, owner: str, element: str) -> Classes:
+    """Owners by equal sets of elements; null owners and elements and repeated rows are left out. Elements stand from rare to frequent."""
+    pairs = members.select(F.col(owner).alias("o"), F.col(element).alias("e")).where("o is not null and e is not null")
+    pairs = durable(pairs.distinct())
     freq = pairs.groupBy("e").agg(F.count("*").alias("f"))
-    sets = pairs.join(freq, "e").groupBy("o").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda x: x["e"]).alias("s"))
-    n = F.size("s")
-    prefix = sets.select("o", n.alias("n"), F.explode(F.slice("s", F.lit(1), n - F.ceil(n * threshold).cast("int") + 1)).alias("e"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") * threshold <= F.col("b.n")) & (F.col("b.n") * threshold <= F.col("a.n"))
-    cand = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.o") < F.col("b.o")) & near).select(F.col("a.o").alias("a"), F.col("b.o").alias("b")).distinct()
-    left, right = sets.select(F.col("o").alias("a"), F.col("s").alias("sa")), sets.select(F.col("o").alias("b"), F.col("s").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    both = cand.join(left, "a").join(right, "b").withColumn("similarity", shared / (F.size("sa") + F.size("sb") - shared))
-    return both.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+    lists = salted_join(pairs, freq, ["e"]).groupBy("o").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda x: x["e"]).alias("s"))
+    owners = durable(lists.select(F.col("o").alias("id"), F.sha2(F.to_json("s"), 256).alias("h"), "s"))
+    different = owners.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("s").alias("s"))
+    return Classes(owners.select("id", "h"), durable(different.withColumn("n", F.size("s"))))
+
+
+def similar_classes(classes: Classes, threshold: float) -> DataFrame:
+    """(x, y, similarity) of different sets, by hash, that overlap by at least the threshold (over 0); the smaller set is x.
+
+    Prefix filter: the smaller of two sets that similar has at least 2t / (1 + t) of its elements in the other, so
+    one of its rarest must be among the other's rarest. The smaller one is filed under the shorter prefix, and
+    a frequent element is seldom in it. Where two sets meet, the places at which they do bound what they can still share. Elements
+    under which many sets are filed are dealt to several tasks.
+    """
+    t, n, less = float(threshold), F.col("n"), 1e-9  # rounding must not lengthen what is required
+    prefix = lambda need: F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(n * need - less) + 1).cast("int"))).alias("i", "e")
+    filed = classes.sets.select(F.col("h").alias("x"), n.alias("nx"), prefix(2 * t / (1 + t))).withColumnRenamed("i", "ix")
+    asked = classes.sets.select(F.col("h").alias("y"), n.alias("ny"), prefix(t)).withColumnRenamed("i", "iy")
+    smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
+    rest = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))  # what both still have from here on
+    may = (F.col("ny") * t <= F.col("nx") + less) & (rest + less >= t / (1 + t) * (F.col("nx") + F.col("ny")))
+    cand = durable(salted_join(asked, filed, ["e"]).where(smaller & may).select("x", "y").distinct())  # at their first common element they pass
+    left, right = classes.sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), classes.sets.select(F.col("h").alias("y"), F.col("s").alias("sy"))
+    shared = F.size(F.array_intersect("sx", "sy"))
+    both = salted_join(cand, left, ["x"]).join(right, "y").withColumn("similarity", shared / (F.size("sx") + F.size("sy") - shared))
+    return both.where(F.col("similarity") >= threshold).select("x", "y", "similarity")
+
+
+def jaccard_links(members: DataFrame, owner: str, element: str, threshold: float) -> DataFrame:
+    """(id, class_id, copies, links): each owner, the least owner of an equal set, how many have it, and how many other owners' sets overlap by at least the threshold, equal ones among them.
+
+    Sets are compared once, whatever the number of their copies; these are only counted.
+    """
+    classes = set_classes(members, owner, element)
+    near = durable(similar_classes(classes, threshold))
+    size = classes.sets.select(F.col("h").alias("other"), "copies")
+    ends = near.select(F.col("x").alias("h"), F.col("y").alias("other")).unionByName(near.select(F.col("y").alias("h"), F.col("x").alias("other")))
+    found = salted_join(ends, size, ["other"]).groupBy("h").agg(F.sum("copies").alias("linked"))
+    about = classes.sets.select("h", "rep", "copies").join(found, "h", "left")
+    links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
+    return salted_join(classes.owners, about, ["h"]).select("id", F.col("rep").alias("class_id"), "copies", links.alias("links"))
+
+
+def jaccard_pairs(members: DataFrame, owner: str, element: str, threshold: float) -> DataFrame:
+    """(a, b, similarity) of owners whose element sets overlap by at least the threshold, a < b. Different sets are compared, then owners put in their place: where many are equal, `jaccard_links` says as much in a row each."""
+    classes = set_classes(members, owner, element)
+    equal = classes.sets.where("copies > 1").select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(1.0).alias("similarity"))
+    near = similar_classes(classes, threshold).unionByName(equal)
+    named = lambda c, a: classes.owners.select(F.col("h").alias(c), F.col("id").alias(a))
+    met = near.join(named("x", "p"), "x").join(named("y", "q"), "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")

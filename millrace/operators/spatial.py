@@ -16,7 +16,8 @@ def near_points(points: DataFrame, targets: DataFrame, radius: float, pid: str =
     """(pid, tid, d2) of points and targets at most `radius` apart on a plane.
 
     Targets are copied into the nine cells around their own, cells being as wide as the radius. A pair
-    meets once. Crowded cells are ordinary equi-join skew, which adaptive execution splits.
+    meets once, and about one in three that meet is in the result, so work grows with the result. Where not the
+    pairs but the nearest target or a count is wanted, `quadtree` has both without the pairs.
     """
     p = points.select(F.col(pid).alias("pid"), F.col(x).alias("px"), F.col(y).alias("py")).withColumn("cx", F.floor(F.col("px") / radius)).withColumn("cy", F.floor(F.col("py") / radius))
     t = targets.select(F.col(tid).alias("tid"), F.col(x).alias("tx"), F.col(y).alias("ty"))
@@ -25,12 +26,6 @@ def near_points(points: DataFrame, targets: DataFrame, radius: float, pid: str =
     return p.join(t, ["cx", "cy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("pid", "tid", "d2")
 
 
-def nearest_within(points: DataFrame, targets: DataFrame, radius: float, **names: str) -> DataFrame:
-    """Each point's nearest target within the radius, ties to the greatest target id; points without one are not in the result."""
-    near = near_points(points, targets, radius, **names)
-    return near.groupBy("pid").agg(F.min_by("tid", F.struct(F.col("d2"), -F.col("tid"))).alias("tid"), F.min("d2").alias("d2"))
-
-
 def nearest_of_few(centres: Sequence[tuple], x: Column, y: Column) -> Column:
     """Index of the nearest of a short list of (x, y); ties to the first. An expression, no join."""
     dist = F.array(*[F.struct((F.pow(x - cx, 2) + F.pow(y - cy, 2)).alias("d"), F.lit(i).alias("i")) for i, (cx, cy) in enumerate(centres)])

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, geometry, numeric, text
-from millrace.operators import aggregates, clusters, evaluation, sequences, series, sets, spatial
+from millrace.operators import aggregates, clusters, evaluation, quadtree, sequences, series, sets, spatial
 from millrace.plans.registry import oracle_sql, queries, query
 from millrace.plans.registry import table as _t
 from millrace.sources import writers
@@ -232,6 +232,15 @@ def jaccard_pairs(spark, sf):
     return _pairs(spark, sf)
 
 
+@query("""WITH m AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS e FROM lineitem), s AS (SELECT o, count(*) AS n, list(e ORDER BY e) AS es FROM m GROUP BY o),
+p AS (SELECT a, b FROM (SELECT p.o AS a, q.o AS b, count(*) AS k FROM m p JOIN m q ON p.e = q.e AND p.o < q.o GROUP BY ALL) JOIN s x ON x.o = a JOIN s y ON y.o = b WHERE k / (x.n + y.n - k) >= 0.6),
+l AS (SELECT o, count(*) AS links FROM (SELECT a AS o FROM p UNION ALL SELECT b FROM p) GROUP BY o)
+SELECT o AS id, min(o) OVER (PARTITION BY es) AS class_id, count(*) OVER (PARTITION BY es) AS copies, coalesce(links, 0) AS links FROM s LEFT JOIN l USING (o)""")
+def jaccard_links(spark, sf):
+    """Orders by sets of suppliers: equal ones as a class, and how many others are alike. Single suppliers' orders are equal in heaps."""
+    return sets.jaccard_links(_t(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), "l_orderkey", "l_suppkey", 0.6)
+
+
 @query()
 def medoid_clusters(spark, sf):
     """Clusters of orders of like parts. A greedy iteration, which SQL can't express; tested against the one-by-one order."""
@@ -259,12 +268,12 @@ def _near(spark, sf):
 
 @query(f"SELECT tid, count(DISTINCT pid) AS visitors {_NEAR} GROUP BY tid")
 def radius_semi(spark, sf):
-    return spatial.near_points(*_near(spark, sf), 200.0).groupBy("tid").agg(F.countDistinct("pid").alias("visitors"))
+    return quadtree.visitors(*_near(spark, sf), 200.0)
 
 
 @query(f"SELECT pid, arg_min(tid, ((px - tx) * (px - tx) + (py - ty) * (py - ty), -tid)) AS tid {_NEAR} GROUP BY pid")
 def nearest_within(spark, sf):
-    return spatial.nearest_within(*_near(spark, sf), 200.0).select("pid", "tid")
+    return quadtree.nearest_within(*_near(spark, sf), 200.0).select("pid", "tid")
 
 
 _OUTER = [(0.0, 0.0), (8000.0, 2.0), (9500.0, 20.0), (4000.0, 24.5), (500.0, 18.0)]

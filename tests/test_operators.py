@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, geometry, numeric, text
-from millrace.operators import aggregates, clusters, evaluation, sequences, series, sets, spatial
+from millrace.operators import aggregates, clusters, evaluation, quadtree, sequences, series, sets, spatial
 from millrace.plans import catalog
 from millrace.sources import readers, writers
 from millrace.streaming import incremental
@@ -86,7 +86,7 @@ def test_spatial_joins(spark):
     want = {(a, b): math.dist((x, y), (u, v)) for a, x, y in pts for b, u, v in tgt if math.dist((x, y), (u, v)) <= 2}
     assert {(r.pid, r.tid) for r in spatial.near_points(p, t, 2.0).collect()} == set(want)
     best = {a: min((d, -b) for (c, b), d in want.items() if c == a)[1] * -1 for a in {a for a, _ in want}}
-    assert {r.pid: r.tid for r in spatial.nearest_within(p, t, 2.0).collect()} == best
+    assert {r.pid: r.tid for r in quadtree.nearest_within(p, t, 2.0).collect()} == best
     square, hole = [(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (3, 1), (3, 3), (1, 3)]
     test = spatial.in_region(F.col("x"), F.col("y"), [square], [hole])
     got = spark.createDataFrame([(0.5, 0.5), (2.0, 2.0), (5.0, 1.0)], "x double, y double").select(test.alias("t")).collect()
