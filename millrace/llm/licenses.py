@@ -61,7 +61,8 @@ def runs(docs: DataFrame, text_col: str, keys: list[Column], known: list[Templat
     hits = hits.withColumn("diagonal", F.col("start") - F.col("t_at"))
     # Votes whose diagonals follow each other within the slack are one band, a phrase's only if they are equal; a band is cut at gaps in the text.
     far = F.col("diagonal") - F.lag("diagonal").over(band) > F.when(F.col("base"), 0).otherwise(slack)
-    banded = hits.where("start >= 0").withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("band", F.sum("far").over(band))
+    votes = hits.where("start >= 0").distinct()  # rows that repeat an id and a text vote once
+    banded = votes.withColumn("far", F.coalesce(far, F.lit(True)).cast("int")).withColumn("band", F.sum("far").over(band))
     order = W.partitionBy(*key, "template", "band").orderBy("start", "t_at")
     apart = F.col("start") - F.max("start").over(order.rowsBetween(W.unboundedPreceding, -1)) > slack + F.col("n")
     cut = banded.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run", F.sum("apart").over(order))

@@ -63,6 +63,12 @@ def test_rows_stay_whole(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_text_vote_once(spark):
+    docs = spark.createDataFrame([(None, TEXTS["isc-text"])] * 300, "doc_id long, text string")
+    one = licenses.scan(docs.limit(1)).first()
+    assert "isc-text" in one.labels and licenses.scan(docs).collect() == [one] * 300
+
+
 def test_templates_of_ones_own(spark):
     known = licenses.templates({"house rules": "house"}, {"empty": "...", "don't": "You don't copy, you don't sell this."})
     docs = spark.createDataFrame([(1, "The House Rules: you don't copy you don't sell this")], "doc_id long, text string")
