@@ -2,7 +2,8 @@
 
 Benchmark texts become word windows, with a 64-bit hash each. A document's windows are made
 inside its own row and meet the set in a broadcast hash join; hits are verified against the
-windows' words, and only hits go on. A set beyond a stated number of bytes is cut by hash and
+windows' words, and only hits go on. Which items have a window stays out of the broadcast, however
+many these are; it is joined to the hits. A set beyond a stated number of bytes is cut by hash and
 its parts are broadcast one after the other: one method at every size. DataFrame functions only.
 """
 
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import alnum_words, durable, stored, window_hits, word_hashes
+from millrace.operators.durable import salted_join
 
 #: What tells rows of one id apart.
 _KEY = "text_key"
@@ -50,10 +52,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """
     grams = durable(windows(benchmark, item_col, item_text_col, n))
     keys = [F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias(_KEY)]
-    hits = window_hits(docs, keys, F.col(text_col), grams, max_bytes)
+    hits = stored(window_hits(docs, keys, F.col(text_col), grams.drop("items"), max_bytes).withColumn("gram", F.md5("gram")), "benchmark-hits")
+    owned = grams.select(F.md5("gram").alias("gram"), F.explode("items").alias("item"))
+    listed = salted_join(hits.where("start >= 0").select("doc_id", _KEY, "gram").distinct(), owned, ["gram"]).select("doc_id", _KEY, "item").distinct()
     span = F.when(F.col("start") >= 0, F.struct("start", "n"))
     whole = [F.max("n_words").alias("n_words"), F.count(F.when(F.col("start") < 0, 1)).cast("int").alias("copies")]
-    out = hits.groupBy("doc_id", _KEY).agg(*whole, F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    rows = hits.select("doc_id", _KEY, "n_words", "start", "n").unionByName(listed, allowMissingColumns=True)
+    out = rows.groupBy("doc_id", _KEY).agg(*whole, F.array_sort(F.collect_set(span)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
     out = out.select("doc_id", "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("__copy"))
     return out.drop("__copy").withColumn("contaminated", F.col("n_hit") > 0)
 
@@ -64,7 +69,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_te
     Rows of null or empty texts stay, and repeated rows stay or go together. Which texts go is told by
     their MD5; the list of these is broadcast up to max_bytes, and joined by shuffle beyond.
     """
-    grams = durable(windows(benchmark.withColumn("__item", F.lit(0)), "__item", item_text_col, n))
+    grams = durable(windows(benchmark.withColumn("__item", F.lit(0)), "__item", item_text_col, n).drop("items"))
     key = F.md5(F.coalesce(F.col(text_col), F.lit("")))
     hit = stored(window_hits(docs, [key.alias("__gone")], F.col(text_col), grams, max_bytes).where("start >= 0").select("__gone").distinct(), "contaminated")
     gone = F.broadcast(hit) if hit.count() * 64 <= max_bytes else hit

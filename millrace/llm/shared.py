@@ -102,48 +102,58 @@ def starts(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
-#: Longs of the bitmap that goes before a broadcast join of windows; a fixed size.
-_CELLS = 1 << 14
+def bitmap_longs(grams: int) -> int:
+    """Longs of the bitmap that goes before a broadcast join of so many windows: 16 bits a window, 1 MB at most; a power of two."""
+    return min(max(1 << 14, 1 << (grams // 4).bit_length()), 1 << 17)
+
+
+def _bitmap(part: DataFrame, longs: int) -> Column:
+    cells = [0] * longs
+    for c in part.groupBy(_cell(F.col("hash"), longs).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("v")).collect():  # `longs` rows at most
+        cells[c.cell] = c.v
+    return F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
+
+
+def _cell(h: Column, longs: int) -> Column:
+    return F.shiftrightunsigned(h, 65 - longs.bit_length()).cast("int")
 
 
 def window_hits(docs: DataFrame, keys: list[Column], text: Column, table: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """Windows of words that stand in a table: the keys, n_words, start, and the columns of table.
 
     table: hash (gram_hash of the words), n (how many they are), gram (the words, joined by
-    blanks), and more. Every row of docs also gives one row with start -1 and nulls beyond n_words.
-    Windows are made inside their row. Those that miss a bitmap of fixed size go at once; the rest
+    blanks), and more columns of a fixed width, 64 bytes at most. Every row of docs also gives one row with start -1 and nulls beyond n_words.
+    Windows are made inside their row. Those that miss a bitmap of the table's hashes go at once; the rest
     meet the table in a broadcast hash join, and what meets is held against the words themselves.
-    A table over max_bytes is cut by hash, and its parts are sent one after the other. A full bitmap
-    lets more through to the join, and changes nothing else.
+    A table over max_bytes is cut by hash, and its parts, each with its bitmap, are sent one after the other, so that bitmaps
+    grow with the table and none fills up. Texts are then cut into words once a part.
     """
     size = table.agg(F.sum(F.length("gram") + 64).alias("b")).first().b or 0
-    lengths = sorted(r.n for r in table.select("n").distinct().collect())
     parts = max(1, -(-size // max_bytes))
-    cell = lambda h: F.shiftrightunsigned(h, 64 - _CELLS.bit_length() + 1).cast("int")
-    bits = {}
-    for n in lengths:  # at most _CELLS rows whatever the table's size
-        full = [0] * _CELLS
-        for c in table.where(F.col("n") == n).groupBy(cell(F.col("hash")).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("v")).collect():
-            full[c.cell] = c.v
-        bits[n] = F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
-
-    def of(n: int, w: Column, h: Column) -> Column:
-        hashes = F.transform(starts(w, n), lambda i: gram_hash(h, i, n))
-        may = lambda x, i: F.when(F.getbit(F.element_at(bits[n], cell(x) + 1), x.bitwiseAND(F.lit(63)).cast("int")) == 1, i)
-        passed = F.filter(F.transform(hashes, may), lambda i: i.isNotNull())
-        return F.transform(passed, lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
-
-    def found(w: Column) -> Column:
-        none = F.expr("array(named_struct('start', -1, 'hash', cast(null as bigint), 'gram', cast(null as string)))")
-        return F.struct(F.size(w).cast("long").alias("n_words"), let(word_hashes(w), lambda h: F.concat(none, *[of(n, w, h) for n in lengths])).alias("hits"))
-
     names = [f"__k{i}" for i in range(len(keys))]
-    rows = docs.select(*[k.alias(n) for k, n in zip(keys, names)], let(alnum_words(text), found).alias("x"))
-    rows = rows.select(*names, "x.n_words", F.explode("x.hits").alias("hit")).select(*names, "n_words", "hit.start", F.col("hit.hash").alias("__hash"), F.col("hit.gram").alias("__gram"))
+    named = docs.select(*[k.alias(n) for k, n in zip(keys, names)], alnum_words(text).alias("w"))
+
+    def rows(part: DataFrame) -> DataFrame:
+        sizes = {r.n: bitmap_longs(r.k) for r in part.groupBy("n").agg(F.count("*").alias("k")).collect()}
+        bits = {n: _bitmap(part.where(F.col("n") == n), longs) for n, longs in sorted(sizes.items())}
+
+        def of(n: int, w: Column, h: Column) -> Column:
+            hashes = F.transform(starts(w, n), lambda i: gram_hash(h, i, n))
+            may = lambda x, i: F.when(F.getbit(F.element_at(bits[n], _cell(x, sizes[n]) + 1), x.bitwiseAND(F.lit(63)).cast("int")) == 1, i)
+            passed = F.filter(F.transform(hashes, may), lambda i: i.isNotNull())
+            return F.transform(passed, lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
+
+        def found(w: Column) -> Column:
+            none = F.expr("array(named_struct('start', -1, 'hash', cast(null as bigint), 'gram', cast(null as string)))")
+            return F.struct(F.size(w).cast("long").alias("n_words"), let(word_hashes(w), lambda h: F.concat(none, *[of(n, w, h) for n in bits])).alias("hits"))
+
+        hit = named.select(*names, let(F.col("w"), found).alias("x")).select(*names, "x.n_words", F.explode("x.hits").alias("hit"))
+        return hit.select(*names, "n_words", "hit.start", F.col("hit.hash").alias("__hash"), F.col("hit.gram").alias("__gram"))
+
     joined = None
     for p in range(parts):
-        part = F.broadcast(table if parts == 1 else table.where(F.pmod("hash", F.lit(parts)) == p))
-        met = rows.join(part, (F.col("__hash") == F.col("hash")) & (F.col("__gram") == F.col("gram")), "left")
+        part = table if parts == 1 else table.where(F.pmod("hash", F.lit(parts)) == p)
+        met = rows(part).join(F.broadcast(part), (F.col("__hash") == F.col("hash")) & (F.col("__gram") == F.col("gram")), "left")
         met = met.where(F.col("hash").isNotNull() | ((F.col("start") == -1) if p == 0 else F.lit(False))).drop("__hash", "__gram")
         met = met if parts == 1 else stored(met, "hits")
         joined = met if joined is None else joined.unionByName(met)

@@ -3,6 +3,7 @@ import re
 import pytest
 
 from millrace.llm import decontaminate
+from millrace.llm.shared import bitmap_longs
 
 
 def words(t):
@@ -71,3 +72,24 @@ def test_whole_table(spark, sf):
     want = plain([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, ",".join(r["items"]), r.contaminated) for r in got) == want
     assert decontaminate.clean(docs, items).count() == sum(not w[5] for w in want)
+
+
+@pytest.mark.parametrize("max_bytes", [64 << 20, 200])
+def test_a_window_of_many_items(spark, max_bytes):
+    """2,000 items share a window: all are listed, and none is in the broadcast."""
+    items = spark.createDataFrame([(i, f"one shared window of words {i % 3}") for i in range(2000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "so one shared window of words 1 again") for i in range(50)] + [(None, "one shared window of words 2"), (99, "one shared window")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"][:2]) for r in decontaminate.scan(docs, items, max_bytes=max_bytes).collect()}
+    assert got == {**{i: (6, 667, ["1", "10"]) for i in range(50)}, None: (6, 666, ["1001", "1004"]), 99: (0, 0, [])}
+
+
+def test_bitmaps_grow_with_the_windows():
+    assert [bitmap_longs(n) for n in (0, 65_535, 65_536, 300_000, 1 << 30)] == [1 << 14, 1 << 14, 1 << 15, 1 << 17, 1 << 17]
+
+
+def test_a_grown_bitmap_misses_nothing(spark):
+    """70,000 windows, so that the bitmap is twice its least size; each of them is found."""
+    items = spark.range(70_000).selectExpr("id as item_id", "concat('item number ', id) as text")
+    docs = spark.range(0, 70_000, 7).selectExpr("id as doc_id", "concat('here item number ', id, ' there') as text")
+    got = decontaminate.scan(docs, items)
+    assert got.where("n_hit = 3 and n_items = 1 and items[0] = cast(doc_id as string)").count() == 10_000
