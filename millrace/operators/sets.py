@@ -32,7 +32,7 @@ def missing(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
 
 
 class Classes(NamedTuple):
-    """owners (id, h): which set each owner has. sets (h, rep, copies, s, n): different sets, with their least owner and how many have them."""
+    """owners (id, rep): the least owner of the set that each owner has. sets (rep, copies, s, n): different sets and how many owners have them."""
 
     owners: DataFrame
     sets: DataFrame
@@ -44,28 +44,39 @@ def set_classes(members: DataFrame, owner: str, element: str) -> Classes:
     pairs = durable(pairs.distinct())
     freq = pairs.groupBy("e").agg(F.count("*").alias("f"))
     lists = salted_join(pairs, freq, ["e"]).groupBy("o").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "e"))), lambda x: x["e"]).alias("s"))
-    owners = durable(lists.select(F.col("o").alias("id"), F.sha2(F.to_json("s"), 256).alias("h"), "s"))
-    different = owners.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("s").alias("s"))
-    return Classes(owners.select("id", "h"), durable(different.withColumn("n", F.size("s"))))
+    owners = durable(lists.select(F.col("o").alias("id"), F.unhex(F.sha2(F.to_json("s"), 256)).alias("h"), "s"))
+    different = durable(owners.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("s").alias("s")))
+    named = salted_join(owners.select("id", "h"), different.select("h", "rep"), ["h"]).select("id", "rep")
+    return Classes(durable(named), different.select("rep", "copies", "s", F.size("s").alias("n")))
 
 
-def similar_classes(classes: Classes, threshold: float) -> DataFrame:
-    """(x, y, similarity) of different sets, by hash, that overlap by at least the threshold (over 0); the smaller set is x.
+def similar_classes(classes: Classes, threshold: float, few: int = 12) -> DataFrame:
+    """(x, y, similarity) of different sets, by least owner, that overlap by at least the threshold (over 0); the smaller set is x.
 
     Prefix filter: the smaller of two sets that similar has at least 2t / (1 + t) of its elements in the other, so
-    one of its rarest must be among the other's rarest. The smaller one is filed under the shorter prefix, and
-    a frequent element is seldom in it. Where two sets meet, the places at which they do bound what they can still share. Elements
-    under which many sets are filed are dealt to several tasks.
+    one of its rarest must be among the other's rarest. Sets of `few` elements at most are filed under two elements at once, the
+    first two that a pair shares: what has one frequent element in common is no candidate then. Single elements
+    stay for larger sets, of which there would be too many twos, and for pairs of which one shared element is enough. The place of the
+    last of these bounds what two sets can still share. Keys under which many sets are filed are dealt to several tasks.
     """
     t, n, less = float(threshold), F.col("n"), 1e-9  # rounding must not lengthen what is required
-    prefix = lambda need: F.posexplode(F.slice("s", F.lit(1), (n - F.ceil(n * need - less) + 1).cast("int"))).alias("i", "e")
-    filed = classes.sets.select(F.col("h").alias("x"), n.alias("nx"), prefix(2 * t / (1 + t))).withColumnRenamed("i", "ix")
-    asked = classes.sets.select(F.col("h").alias("y"), n.alias("ny"), prefix(t)).withColumnRenamed("i", "iy")
+
+    def keyed(least: Column, single: Column, own: str) -> DataFrame:
+        """A row per key: its hash, whether it is of one element, the set, its size and what it can share from the key on, the key included."""
+        need = F.ceil(n * least - less).cast("int")
+        start = lambda keys: F.posexplode(F.slice("s", F.lit(1), F.greatest(n - F.greatest(need, F.lit(keys)) + keys, F.lit(0))))
+        ones = classes.sets.where(single | (need <= 1)).select("rep", "n", start(1).alias("i", "e"))
+        ones = ones.select(F.xxhash64("e").alias("k"), F.lit(True).alias("one"), "rep", "n", (n - F.col("i")).alias("rest"))
+        twos = classes.sets.where(n.between(2, few)).select("rep", "n", "s", start(2).alias("i", "e")).where("i > 0")
+        twos = twos.select(F.explode(F.transform(F.slice("s", F.lit(1), F.col("i")), lambda d: F.xxhash64(d, "e"))).alias("k"), F.lit(False).alias("one"), "rep", "n", (n - F.col("i") + 1).alias("rest"))
+        return ones.unionByName(twos).select("k", "one", F.col("rep").alias(own), F.col("n").alias(f"n{own}"), F.col("rest").alias(f"rest{own}"))
+
+    asked, filed = keyed(F.lit(t), n > few, "y"), keyed(F.lit(2 * t / (1 + t)), n >= t * (few + 1) - less, "x")
     smaller = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    rest = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))  # what both still have from here on
-    may = (F.col("ny") * t <= F.col("nx") + less) & (rest + less >= t / (1 + t) * (F.col("nx") + F.col("ny")))
-    cand = durable(salted_join(asked, filed, ["e"]).where(smaller & may).select("x", "y").distinct())  # at their first common element they pass
-    left, right = classes.sets.select(F.col("h").alias("x"), F.col("s").alias("sx")), classes.sets.select(F.col("h").alias("y"), F.col("s").alias("sy"))
+    need = t / (1 + t) * (F.col("nx") + F.col("ny")) - less
+    may = (F.col("ny") * t <= F.col("nx") + less) & (F.least("restx", "resty") >= need) & (~F.col("one") | (need <= 1) | (F.col("ny") > few))
+    cand = durable(salted_join(asked, filed, ["k", "one"]).where(smaller & may).select("x", "y").distinct())  # at their first common key they pass
+    left, right = classes.sets.select(F.col("rep").alias("x"), F.col("s").alias("sx")), classes.sets.select(F.col("rep").alias("y"), F.col("s").alias("sy"))
     shared = F.size(F.array_intersect("sx", "sy"))
     both = salted_join(cand, left, ["x"]).join(right, "y").withColumn("similarity", shared / (F.size("sx") + F.size("sy") - shared))
     return both.where(F.col("similarity") >= threshold).select("x", "y", "similarity")
@@ -78,19 +89,19 @@ def jaccard_links(members: DataFrame, owner: str, element: str, threshold: float
     """
     classes = set_classes(members, owner, element)
     near = durable(similar_classes(classes, threshold))
-    size = classes.sets.select(F.col("h").alias("other"), "copies")
-    ends = near.select(F.col("x").alias("h"), F.col("y").alias("other")).unionByName(near.select(F.col("y").alias("h"), F.col("x").alias("other")))
-    found = salted_join(ends, size, ["other"]).groupBy("h").agg(F.sum("copies").alias("linked"))
-    about = classes.sets.select("h", "rep", "copies").join(found, "h", "left")
+    size = classes.sets.select(F.col("rep").alias("other"), "copies")
+    ends = near.select(F.col("x").alias("rep"), F.col("y").alias("other")).unionByName(near.select(F.col("y").alias("rep"), F.col("x").alias("other")))
+    found = salted_join(ends, size, ["other"]).groupBy("rep").agg(F.sum("copies").alias("linked"))
+    about = classes.sets.select("rep", "copies").join(found, "rep", "left")
     links = F.col("copies") - 1 + F.coalesce("linked", F.lit(0))
-    return salted_join(classes.owners, about, ["h"]).select("id", F.col("rep").alias("class_id"), "copies", links.alias("links"))
+    return salted_join(classes.owners, about, ["rep"]).select("id", F.col("rep").alias("class_id"), "copies", links.alias("links"))
 
 
 def jaccard_pairs(members: DataFrame, owner: str, element: str, threshold: float) -> DataFrame:
     """(a, b, similarity) of owners whose element sets overlap by at least the threshold, a < b. Different sets are compared, then owners put in their place: where many are equal, `jaccard_links` says as much in a row each."""
     classes = set_classes(members, owner, element)
-    equal = classes.sets.where("copies > 1").select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(1.0).alias("similarity"))
+    equal = classes.sets.where("copies > 1").select(F.col("rep").alias("x"), F.col("rep").alias("y"), F.lit(1.0).alias("similarity"))
     near = similar_classes(classes, threshold).unionByName(equal)
-    named = lambda c, a: classes.owners.select(F.col("h").alias(c), F.col("id").alias(a))
+    named = lambda c, a: classes.owners.select(F.col("rep").alias(c), F.col("id").alias(a))
     met = near.join(named("x", "p"), "x").join(named("y", "q"), "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")

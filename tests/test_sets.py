@@ -55,3 +55,33 @@ def test_a_frequent_group_is_numbered_in_several_tasks(spark):
     assert ordering.placed_within(table.limit(0), "g", "i").count() == 0
     lists = spark.createDataFrame([(1, ["b", "a", "b", "", None]), (2, ["b"]), (3, None)], "id long, t array<string>")
     assert {tuple(r) for r in aggregates.group_by_element(lists, F.col("t"), "id").select("element", "member", "nth", "n").collect()} == {("a", 1, 1, 1), ("b", 1, 1, 2), ("b", 2, 2, 2)}
+
+
+@pytest.mark.parametrize(("threshold", "few"), [(0.2, 2), (0.5, 2), (0.5, 4), (0.6, 4), (0.6, 12), (0.9, 6)])
+def test_sets_on_both_sides_of_the_bound_meet(spark, threshold, few):
+    rng = random.Random(few)
+    groups = {o: frozenset(rng.sample("abcdefghijkl", rng.randint(1, 8))) for o in range(90)}
+    found = sets.similar_classes(sets.set_classes(held(spark, groups), "o", "e"), threshold, few).collect()
+    first = {s: min(o for o in groups if groups[o] == s) for s in groups.values()}
+    want = {tuple(sorted((first[a], first[b]))) for a, b in itertools.combinations(first, 2) if alike(a, b) >= threshold}
+    assert len(found) == len(want) and {tuple(sorted((r.x, r.y))) for r in found} == want
+
+
+def test_one_frequent_element_makes_no_candidates(spark, tmp_path):
+    """1,500 sets of four from forty elements: what is written on the way to links was over a hundred thousand candidates."""
+    rng = random.Random(1)
+    groups = {o: frozenset(rng.sample(range(40), 4)) for o in range(1500)}
+    table = spark.createDataFrame([(o, e) for o, s in groups.items() for e in s], "o long, e long")
+    classes, cut, rows = sets.set_classes(table, "o", "e"), sets.durable, []
+
+    def counted(df):
+        out = cut(df)
+        rows.append(out.count())
+        return out
+
+    sets.durable = counted
+    try:
+        links = sets.similar_classes(classes, 0.6).count()
+    finally:
+        sets.durable = cut
+    assert links <= rows[0] < 15 * links
