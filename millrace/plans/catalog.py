@@ -244,8 +244,8 @@ def jaccard_links(spark, sf):
 @query()
 def medoid_clusters(spark, sf):
     """Clusters of orders of like parts. A greedy iteration, which SQL can't express; tested against the one-by-one order."""
-    nodes = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    return clusters.medoid_clusters(nodes, _pairs(spark, sf)).select("id", "seed")
+    orders = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id")).distinct()
+    return clusters.clustered_sets(orders, _t(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey", 0.5)
 
 
 _CENTRES = [(0.0, 5.0), (3000.0, 12.0), (6000.0, 20.0), (9000.0, 2.0)]

@@ -244,3 +244,15 @@ def test_auc_of_continuous_scores(spark):
 def test_two_digit_years(spark):
     rows = spark.createDataFrame([("1/2/98",), ("12/31/05",), ("x",), (None,)], "s string")
     assert [str(r.d) for r in rows.select(dates.short_date(F.col("s")).alias("d")).collect()] == ["1998-01-02", "2005-12-31", "None", "None"]
+
+
+def test_clusters_of_equal_sets_are_those_of_single_ones(spark):
+    """Equal sets go as one weighted node; every order's seed is that of the one-by-one order over all pairs. Before, all pairs of copies were made."""
+    rng = random.Random(9)
+    groups = {o: frozenset(rng.sample(range(12), rng.randint(1, 4))) for o in range(40)}
+    groups |= {100 + i: groups[i % 9] for i in range(30)}
+    table = spark.createDataFrame([(o, e) for o, s in groups.items() for e in s] + [(999, 1)], "o long, e long")  # 999 is no node
+    nodes = [*groups, 500]
+    edges = [(a, b) for a in groups for b in groups if a < b and len(groups[a] & groups[b]) >= 0.5 * len(groups[a] | groups[b])]
+    got = clusters.clustered_sets(spark.createDataFrame([(n,) for n in nodes], "id long"), table, "o", "e", 0.5)
+    assert {r.id: r.seed for r in got.collect()} == greedy(nodes, edges)
