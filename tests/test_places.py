@@ -104,3 +104,13 @@ def test_salted_join(spark):
         for how in ("inner", "left"):
             got = salted_join(left, right, ["k"], how, limit)
             assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, ["k"], how).collect()))
+
+
+def test_a_ring_of_long_edges_in_halved_cells(spark):
+    """Edges that run through whole rows of cells are only counted for what lies left of them; before, each met every point of its rows."""
+    rng = random.Random(8)
+    shapes = {n: [[(rng.uniform(0, 100), rng.randrange(101) / 2) for _ in range(60)]] for n in "ab"} | {"hole": SHAPES["hole"]}
+    pts = [(i, rng.choice([rng.uniform(-9, 120), rng.randrange(20) * 5.0]), rng.randrange(-9, 120) / 2) for i in range(600)]
+    df = spark.createDataFrame(pts, "pid long, x double, y double")
+    got = sorted((r.pid, r.x, r.y, r.region) for r in regions.in_regions(df, table(spark, shapes), 5.0, few=1).collect())
+    assert got == sorted((d, x, y, name) for d, x, y in set(pts) for name, rings in shapes.items() if inside(x, y, rings))
