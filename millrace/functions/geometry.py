@@ -1,10 +1,12 @@
-"""Geometry on columns; tracks are arrays of (lat, lon) structs. Sequential codecs are Arrow-batched pandas functions."""
+"""Geometry on columns; tracks are arrays of (lat, lon) structs. Codecs work on whole Arrow batches."""
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,80 +68,126 @@ def circularity(area: Column, length: Column) -> Column:
     return F.when(length > 0, F.abs(area) / (length * length / (4 * math.pi))).otherwise(0.0)
 
 
-@F.pandas_udf(T.StringType())
-def polyline_encode(tracks: pd.Series) -> pd.Series:
-    """Tracks as delta-coded text at five decimals; null stays null."""
+def _whole(v: np.ndarray) -> np.ndarray:
+    if not np.isfinite(v).all():
+        raise ValueError("a track has a point without a position")
+    return np.rint(v * 1e5).astype(np.int64)
 
-    def one(track) -> str | None:
-        if track is None:
-            return None
-        out, last = [], (0, 0)
-        for p in track:
-            now = (round(p["lat"] * 1e5), round(p["lon"] * 1e5))
-            for v in (n - m for n, m in zip(now, last)):
-                v = -2 * v - 1 if v < 0 else 2 * v
-                groups = [v & 31]
-                while v := v >> 5:
-                    groups.append(v & 31)
-                out += [chr(63 + g + 32 * (i < len(groups) - 1)) for i, g in enumerate(groups)]
-            last = now
-        return "".join(out)
 
-    return tracks.map(one, na_action="ignore")
+def _flat(tracks: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of tracks (null: none), and latitudes and longitudes of all their points."""
+    sizes = pc.fill_null(pc.list_value_length(tracks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = tracks.flatten()
+    return sizes, *[points.field(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("lat", "lon")]
 
 
-@F.pandas_udf(_POINTS)
-def polyline_decode(texts: pd.Series) -> pd.Series:
-    """The inverse of polyline_encode."""
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+@F.arrow_udf(T.StringType())
+def polyline_encode(tracks: pa.Array) -> pa.Array:
+    """Tracks as delta-coded text at five decimals; null stays null. All points of a batch are coded at once."""
+    sizes, lat, lon = _flat(tracks)
+    now = np.stack([_whole(lat), _whole(lon)], axis=1)
+    starts = _starts(sizes)
+    v = now.copy()
+    v[1:] -= now[:-1]
+    first = starts[:-1][sizes > 0]
+    v[first] = now[first]
+    v = v.reshape(-1)
+    v = np.where(v < 0, -2 * v - 1, 2 * v)
+    width, rest = np.ones(len(v), np.int64), v >> 5
+    while rest.any():
+        width += rest > 0
+        rest >>= 5
+    at = _starts(width)
+    place = np.arange(at[-1]) - np.repeat(at[:-1], width)
+    chars = ((np.repeat(v, width) >> (5 * place)) & 31) + 63 + 32 * (place < np.repeat(width, width) - 1)
+    text = chars.astype(np.uint8)
+    ends = at[2 * starts]
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(text), _valid(tracks)).cast(pa.string())
 
-    def one(text: str) -> list[dict]:
-        values, v, shift = [], 0, 0
-        for c in text:
-            b = ord(c) - 63
-            v |= (b & 31) << shift
-            shift += 5
-            if b < 32:
-                values.append(-(v + 1) // 2 if v & 1 else v // 2)
-                v, shift = 0, 0
-        out, lat, lon = [], 0, 0
-        for a, b in zip(values[::2], values[1::2]):
-            lat, lon = lat + a, lon + b
-            out.append({"lat": lat / 1e5, "lon": lon / 1e5})
-        return out
 
-    return texts.map(one, na_action="ignore")
+def _valid(given: pa.Array) -> pa.Buffer | None:
+    return None if given.null_count == 0 else pa.array(given.is_valid().to_numpy(zero_copy_only=False).astype(np.uint8)).cast(pa.bool_()).buffers()[1]
+
+
+@F.arrow_udf(_POINTS)
+def polyline_decode(texts: pa.Array) -> pa.Array:
+    """The inverse of polyline_encode."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    joined = b"".join(texts.drop_null().cast(pa.binary()).to_pylist())
+    b = np.frombuffer(joined, np.uint8).astype(np.int64) - 63
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    last = b < 32
+    first = np.ones(len(b), bool)
+    first[1:] = last[:-1] | (owner[1:] != owner[:-1])
+    begin = np.flatnonzero(first)
+    place = np.arange(len(b)) - np.repeat(begin, np.diff(np.append(begin, len(b))))
+    v = np.add.reduceat((b & 31) << (5 * place), begin) if len(b) else np.zeros(0, np.int64)
+    ended = last[np.append(begin[1:], len(b)) - 1] if len(b) else np.zeros(0, bool)  # a text that breaks off has no last value
+    v, of = v[ended], owner[begin][ended]
+    v = np.where(v & 1, -((v + 1) // 2), v // 2)
+    count = np.bincount(of, minlength=len(sizes))
+    nth = np.arange(len(v)) - np.repeat(_starts(count)[:-1], count)
+    paired = nth < (count // 2 * 2)[of]
+    pairs, points = v[paired].reshape(-1, 2), count // 2
+    total = np.cumsum(pairs, axis=0)
+    starts = _starts(points)
+    before = np.concatenate([np.zeros((1, 2), np.int64), total])[starts[:-1]] if len(sizes) else np.zeros((0, 2), np.int64)
+    total = (total - np.repeat(before, points, axis=0)) / 1e5
+    return _listed(texts, points, total[:, 0], total[:, 1])
+
+
+def _listed(like: pa.Array, sizes: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> pa.Array:
+    """Lists of points, null where `like` is."""
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(lat)), pa.array(np.ascontiguousarray(lon))], ["lat", "lon"])
+    kind = pa.list_(points.type)
+    return pa.Array.from_buffers(kind, len(sizes), [_valid(like), pa.py_buffer(_starts(sizes).astype(np.int32))], children=[points])
 
 
 def simplifier(tolerance_m: float):
-    """A function that drops points nearer than the tolerance to the line that stays (Douglas-Peucker, farthest first)."""
-
-    @F.pandas_udf(_POINTS)
-    def simplify(tracks: pd.Series) -> pd.Series:
-        import numpy as np
-
-        def one(track) -> list:
-            if len(track) < 3:
-                return list(track)
-            lat = np.array([p["lat"] for p in track])
-            lon = np.array([p["lon"] for p in track])
-            scale = math.pi * EARTH_M / 180
-            x, y = lon * scale * math.cos(math.radians(lat[0])), lat * scale
-            keep = np.zeros(len(lat), bool)
-            keep[[0, -1]] = True
-            todo = [(0, len(lat) - 1)]
-            while todo:
-                a, b = todo.pop()
-                if b - a < 2:
-                    continue
-                dx, dy = x[b] - x[a], y[b] - y[a]
-                span = math.hypot(dx, dy)
-                off = np.hypot(x[a + 1 : b] - x[a], y[a + 1 : b] - y[a]) if span == 0 else np.abs(dy * x[a + 1 : b] - dx * y[a + 1 : b] + x[b] * y[a] - y[b] * x[a]) / span
-                far = int(off.argmax())
-                if off[far] > tolerance_m:
-                    keep[a + 1 + far] = True
-                    todo += [(a, a + 1 + far), (a + 1 + far, b)]
-            return [track[i] for i in np.flatnonzero(keep)]
-
-        return tracks.map(one, na_action="ignore")
+    """A function that drops points nearer than the tolerance to the line that stays (Douglas-Peucker, farthest first).
+
+    All tracks of a batch are cut at once: each round looks at the pieces that the round before has made.
+    """
+
+    @F.arrow_udf(_POINTS)
+    def simplify(tracks: pa.Array) -> pa.Array:
+        sizes, lat, lon = _flat(tracks)
+        starts = _starts(sizes)
+        some = sizes > 0
+        head, tail = starts[:-1][some], starts[1:][some] - 1
+        scale = math.pi * EARTH_M / 180
+        ref = np.repeat(np.array([math.cos(math.radians(v)) for v in lat[head]]), sizes[some])
+        x, y = lon * scale * ref, lat * scale
+        keep = np.zeros(len(lat), bool)
+        keep[head] = keep[tail] = True
+        a, b = head, tail
+        while len(a):
+            long = b - a >= 2
+            a, b = a[long], b[long]
+            if not len(a):
+                break
+            inner = b - a - 1
+            at = _starts(inner)
+            i = np.arange(at[-1]) - np.repeat(at[:-1] - a - 1, inner)
+            dx, dy = x[b] - x[a], y[b] - y[a]
+            span = np.hypot(dx, dy)
+            wide = lambda v: np.repeat(v, inner)  # noqa: E731, B023
+            near = np.hypot(x[i] - wide(x[a]), y[i] - wide(y[a]))
+            line = np.abs(wide(dy) * x[i] - wide(dx) * y[i] + wide(x[b] * y[a]) - wide(y[b] * x[a])) / wide(np.where(span == 0, 1.0, span))
+            off = np.where(wide(span) == 0, near, line)
+            most = np.maximum.reduceat(off, at[:-1])
+            hits = np.flatnonzero(off == wide(most))
+            far = i[hits[np.searchsorted(hits, at[:-1][most > tolerance_m])]]
+            cut = most > tolerance_m
+            keep[far] = True
+            a, b = np.concatenate([a[cut], far]), np.concatenate([far, b[cut]])
+        kept = np.add.reduceat(keep, head) if len(head) else np.zeros(0, np.int64)
+        left = np.zeros(len(sizes), np.int64)
+        left[some] = kept
+        return _listed(tracks, left, lat[keep], lon[keep])
 
     return simplify

@@ -446,7 +446,8 @@ def pagination(spark, sf):
 def _tracks(spark, sf):
     k, i = F.col("c_custkey"), F.sequence(F.lit(0), F.lit(30))
     point = lambda j: F.struct((44.0 + (k % 50) / 100 + j / 1000 + F.sin(j * k) / 5000).alias("lat"), (-71.0 - j / 1000 + F.cos(j + k) / 3000).alias("lon"))
-    return _t(spark, sf, "customer").select("c_custkey", F.transform(i, point).alias("track"))
+    keys = _t(spark, sf, "customer").select("c_custkey").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey")  # keys are a small file, and thus one task
+    return keys.select("c_custkey", F.transform(i, point).alias("track"))
 
 
 @query()

@@ -256,3 +256,18 @@ def test_clusters_of_equal_sets_are_those_of_single_ones(spark):
     edges = [(a, b) for a in groups for b in groups if a < b and len(groups[a] & groups[b]) >= 0.5 * len(groups[a] | groups[b])]
     got = clusters.clustered_sets(spark.createDataFrame([(n,) for n in nodes], "id long"), table, "o", "e", 0.5)
     assert {r.id: r.seed for r in got.collect()} == greedy(nodes, edges)
+
+
+def test_tracks_are_dealt_to_all_tasks(spark, sf):
+    """The customers' keys are one small file, so all tracks were made and coded in one task."""
+    assert catalog._tracks(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_track_codecs_of_null_and_empty_tracks(spark):
+    tracks = [(0, None), (1, []), (2, [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]), (3, [(1.0, 2.0)]), (4, [(0.0, 0.0), (0.0, 1.0), (0.0, 2.0)])]
+    df = spark.createDataFrame(tracks, "id int, t array<struct<lat:double,lon:double>>").coalesce(1)
+    got = {r.id: r for r in df.select("id", geometry.polyline_encode("t").alias("p"), geometry.simplifier(40.0)("t").alias("s")).withColumn("d", geometry.polyline_decode("p")).collect()}
+    assert [got[i].p for i in range(3)] == [None, "", "_p~iF~ps|U_ulLnnqC_mqNvxq`@"]
+    plain = lambda v: v and [tuple(p) for p in v]
+    assert {i: plain(r.d) for i, r in got.items()} == dict(tracks)
+    assert {i: plain(r.s) for i, r in got.items()} == dict(tracks) | {4: [(0.0, 0.0), (0.0, 2.0)]}
