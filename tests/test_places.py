@@ -1,9 +1,11 @@
 import math
 import random
 
+import pyarrow as pa
+
 from millrace.operators import regions
 from millrace.operators.durable import salted_join
-from millrace.operators.nearest import nearest
+from millrace.operators.nearest import _leading, nearest
 
 
 def km(a, b, c, d):
@@ -41,6 +43,20 @@ def test_nearest_against_all_pairs(spark):
     check_nearest(spark, points, grid)
 
 
+def test_leading_targets_of_far_points():
+    """A crowd of targets far from all points: each point keeps what is nearest, equal ones all."""
+    rng = random.Random(5)
+    crowd = [(i, 10 + rng.random() / 50, 20 + rng.random() / 50) for i in range(700)] + [(900, -10.0, 30.0), (901, -10.0, 10.0)]
+    spots = [(i, rng.uniform(-80, -60), rng.uniform(0, 360)) for i in range(200)] + [(300, -10.0, 20.0), (301, 90.0, 0.0)]
+    left, right = pa.table(list(zip(*spots)), names=["pid", "lat", "lon"]), pa.table(list(zip(*crowd)), names=["tid", "t_lat", "t_lon"])
+    got = _leading(left, right).to_pylist()
+    for d, a, b in spots:
+        best = min((km(a, b, x, y), t) for t, x, y in crowd)
+        assert best[1] in {r["tid"] for r in got if r["pid"] == d}
+    assert {r["tid"] for r in got if r["pid"] == 300} == {900, 901}
+    assert len(got) < 220 and _leading(left, right.slice(0, 0)).num_rows == 0
+
+
 def test_nearest_ties_far_targets_and_none(spark):
     square = [(9, 1.0, 0.0, 0.0), (3, -1.0, 0.0, 0.0), (5, 0.0, 1.0, 0.0), (4, 0.0, 359.0, 0.0)]
     check_nearest(spark, [(1, 0.0, 0.0), (2, 0.0, 180.0), (3, 0.5, 0.0)], square)
