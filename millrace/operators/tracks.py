@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.geometry import haversine, segment_distance2
+from millrace.operators.durable import durable, salted_join
 from millrace.operators.sequences import changed
 
 
@@ -47,14 +48,23 @@ def _cells(a: Column, b: Column, cell: float, pad: float) -> Column:
 def near_segments(points: DataFrame, segments: DataFrame, radius: float, cell: float, pid: str = "pid", sid: str = "sid") -> DataFrame:
     """Distinct (pid, sid) of points (x, y) at most `radius` from a segment (ax, ay, bx, by) of sid.
 
-    A segment is stamped on the grid cells that its box, widened by the radius, touches; a point lies in
-    one. Cells wider than most segments are long keep the stamps few. Pairs are combined before they shuffle again.
+    Each different place is held against the segments once, however many points lie there. A segment is stamped on the
+    grid cells that its box, widened by the radius, touches; a place lies in one. Cells wider than most segments are long
+    keep the stamps few. Points take the sids of their place last; only of those with several places are pairs combined again.
     """
-    p = points.select(F.col(pid).alias("pid"), "x", "y").withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    p = points.select(F.col(pid).alias("pid"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    spots = p.select("x", "y").distinct().withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
     s = segments.select(F.col(sid).alias("sid"), "ax", "ay", "bx", "by").distinct()
     s = s.withColumn("cx", F.explode(_cells(F.col("ax"), F.col("bx"), cell, radius))).withColumn("cy", F.explode(_cells(F.col("ay"), F.col("by"), cell, radius)))
     near = segment_distance2(*map(F.col, ("x", "y", "ax", "ay", "bx", "by"))) <= radius * radius
-    return p.join(s, ["cx", "cy"]).where(near).select("pid", "sid").distinct()
+    met = durable(salted_join(durable(s), durable(spots), ["cx", "cy"]).where(near).select("x", "y", "sid").distinct())
+    range_ = [f(c).alias(a) for c in ("x", "y") for f, a in ((F.min, f"{c}0"), (F.max, f"{c}1"))]
+    placed = durable(p.groupBy("pid").agg(*range_).select("pid", F.col("x0").alias("x"), F.col("y0").alias("y"), ((F.col("x0") == F.col("x1")) & (F.col("y0") == F.col("y1"))).alias("one")))
+    several = placed.where("not one").select(F.col("pid").alias("__pid"))
+    spread = p.join(several, F.col("pid").eqNullSafe(F.col("__pid")), "left_semi").distinct()
+    pairs = lambda rows: salted_join(met, rows, ["x", "y"]).select("pid", "sid")
+    once = pairs(placed.where("one").select("pid", "x", "y"))
+    return once if several.isEmpty() else once.unionByName(pairs(spread).distinct())
 
 
 def trail_rollup(ways: DataFrame, trail: str, metres: Column, covered: Column, region: str, activity: str, activities: Sequence[str]) -> DataFrame:
