@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from millrace.operators.durable import durable
+
 
 def binary(label: Column, cut: float = 0.5) -> Column:
     return (label >= cut).cast("int")
@@ -114,7 +116,7 @@ def fold(group: Column, folds: int = 5) -> Column:
 
 def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str, kind: str = "forest", folds: int = 5, seed: int = 42, trees: int = 20) -> DataFrame:
     """rows with `score` predicted by models that saw no row of the same group; imputation and class weights are fitted inside the folds too."""
-    dealt = rows.withColumn("__fold", fold(F.col(group), folds))
+    dealt = durable(rows.withColumn("__fold", fold(F.col(group), folds)))  # each fold reads it several times
     made = {
         "forest": lambda: RandomForestClassifier(featuresCol="__x", labelCol=label, weightCol="__w", numTrees=trees, seed=seed),
         "boosting": lambda: GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__w", maxIter=trees, seed=seed),
