@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Bucketizer, Imputer, OneHotEncoder, SQLTransformer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -129,6 +129,20 @@ def _classifier(kind: str, label: str, trees: int, seed: int):
     return LogisticRegression(**same, maxIter=50)
 
 
+def bucketizer(train: DataFrame, columns: Sequence[str], out: Sequence[str], most: int = 32) -> Bucketizer:
+    """Cuts numbers into at most `most` bins, between all values where there are so few, else at quantiles of all rows."""
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    probs = F.array(*[F.lit(i / most) for i in range(1, most)])
+    found = train.agg(*[F.approx_count_distinct(value(c)) for c in columns], *[F.percentile_approx(value(c), probs, 10_000) for c in columns]).first()
+    splits = []
+    for c, about, cuts in zip(columns, found, found[len(columns) :]):
+        values = sorted(r[0] for r in train.select(value(c)).distinct().dropna().collect()) if about <= 2 * most else None
+        if values and len(values) <= most:
+            cuts = [(a + b) / 2 for a, b in zip(values, values[1:])] or values
+        splits.append([-math.inf, *sorted(set(cuts or [0.0])), math.inf])
+    return Bucketizer(splitsArray=splits, inputCols=list(columns), outputCols=list(out), handleInvalid="error")
+
+
 def fitted(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, kind: str = "forest", trees: int = 20, seed: int = 42) -> PipelineModel:
     """A pipeline of preparation and model. Classes weigh alike ("scaled": each positive row as many times as there are negative ones to a positive)."""
     pos, n = train.agg(F.count(F.when(F.col(label) == 1, 1)), F.count("*")).first()

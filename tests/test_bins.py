@@ -1,6 +1,9 @@
+import math
+import random
+
 from pyspark.sql import functions as F
 
-from millrace.operators import evaluation
+from millrace.operators import evaluation, training
 
 
 def test_features_are_made_once_for_all_folds(spark):
@@ -13,3 +16,11 @@ def test_features_are_made_once_for_all_folds(spark):
     rows = spark.range(60, numPartitions=2).select("id", F.udf(feature, "double")("id").alias("a"), (F.col("id") % 2).cast("double").alias("y"), (F.col("id") % 9).alias("g"))
     assert evaluation.out_of_fold(rows, ["a"], "y", "g", "logistic", folds=2).count() == 60
     assert made.value == 60
+
+
+def test_bins_hold_few_values_apart_and_equal_shares_of_many(spark):
+    rng = random.Random(1)
+    rows = spark.createDataFrame([(float(i % 5), rng.random(), None, math.nan if i % 3 else 2.0) for i in range(4000)], "a double, b double, c double, d double")
+    a, b, c, d = training.bucketizer(rows, ["a", "b", "c", "d"], ["p", "q", "r", "s"]).getSplitsArray()
+    assert a == [-math.inf, 0.5, 1.5, 2.5, 3.5, math.inf] and c == [-math.inf, 0.0, math.inf] and d == [-math.inf, 2.0, math.inf]
+    assert len(b) == 33 and all(abs(x - i / 32) < 0.05 for i, x in enumerate(b[1:-1], 1))
