@@ -39,7 +39,13 @@ def sweep(scored: DataFrame, score: str, label: str, low: float, high: float, st
     """
     width = (high - low) / (steps - 1)
     cuts = [round(low + i * width, 10) for i in range(steps)]
-    bin_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(score)))  # thresholds that the score reaches
+    if width > 1e-6:  # where a score must lie, but for rounding, and the three thresholds there
+        guess = F.floor(F.greatest(F.least((F.col(score) - low) / width, F.lit(steps + 1.0)), F.lit(0.0)))
+        start = F.greatest(guess - 1, F.lit(0).cast("long")).cast("int")
+        reached = lambda d: F.coalesce((F.try_element_at(F.array(*map(F.lit, cuts)), start + d) <= F.col(score)).cast("int"), F.lit(0))
+        bin_ = F.when(F.col(score).isNull(), 0).when(F.isnan(F.col(score).cast("double")), steps).otherwise(F.least(start, F.lit(steps)) + reached(1) + reached(2) + reached(3))
+    else:
+        bin_ = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(score)))
     per = scored.groupBy(bin_.alias("bin")).agg(F.count(F.when(F.col(label) == 1, 1)).alias("p"), F.count(F.when(F.col(label) != 1, 1)).alias("n"))  # at most steps + 1 rows
     rows = per.agg(F.collect_list(F.struct("bin", "p", "n")).alias("b"))
     at = rows.select("b", F.posexplode(F.array(*map(F.lit, cuts))).alias("i", "threshold"))

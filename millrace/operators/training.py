@@ -143,13 +143,31 @@ def bucketizer(train: DataFrame, columns: Sequence[str], out: Sequence[str], mos
     return Bucketizer(splitsArray=splits, inputCols=list(columns), outputCols=list(out), handleInvalid="error")
 
 
+def _boosted(rows: DataFrame, stages: list, classifier: GBTClassifier, label: str) -> PipelineModel:
+    """Trees see bins only, so rows of equal bins and label are trained on as one row of their weight; work after one pass grows with the kinds of rows."""
+    *first, assembler = stages
+    made = Pipeline(stages=first).fit(rows)
+    ready, inputs = made.transform(rows), assembler.getInputCols()
+    numbers, names = [c for c in inputs if c.startswith("__m_")], [c for c in inputs if c.startswith("__h_")]
+    more, to = [], [f"__b_{c[4:]}" for c in numbers]
+    if numbers:
+        more.append(bucketizer(ready, numbers, to))
+        ready = more[0].transform(ready)
+    kinds = ready.groupBy(*to, *[f"__i_{c[4:]}" for c in names], label).agg(F.sum("__w").alias("__w"), *[F.first(c).alias(c, metadata=ready.schema[c].metadata) for c in names])
+    vectors = VectorAssembler(inputCols=[*to, *names], outputCol="features", handleInvalid="keep")
+    return PipelineModel([*made.stages, *more, vectors, classifier.fit(vectors.transform(durable(kinds)))])
+
+
 def fitted(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str, kind: str = "forest", trees: int = 20, seed: int = 42) -> PipelineModel:
     """A pipeline of preparation and model. Classes weigh alike ("scaled": each positive row as many times as there are negative ones to a positive)."""
     pos, n = train.agg(F.count(F.when(F.col(label) == 1, 1)), F.count("*")).first()
     pos, neg = max(pos, 1), max(n - pos, 1)
     weight = (n / (2 * pos), n / (2 * neg)) if BALANCED[kind] else (neg / pos, 1.0)
     rows = train.withColumn("__w", F.when(F.col(label) == 1, weight[0]).otherwise(weight[1]))
-    return Pipeline(stages=[*preparation(train, numeric, categorical), _classifier(kind, label, trees, seed)]).fit(rows)
+    stages, classifier = preparation(train, numeric, categorical), _classifier(kind, label, trees, seed)
+    if kind in ("boosting", "scaled"):
+        return _boosted(rows, stages, classifier, label)
+    return Pipeline(stages=[*stages, classifier]).fit(rows)
 
 
 def scored(rows: DataFrame, model: PipelineModel) -> DataFrame:
