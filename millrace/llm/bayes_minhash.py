@@ -214,7 +214,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _array(c: pa.Array, name: str) -> np.ndarray:
     if pa.types.is_binary(c.type):  # of one length
         return np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(len(c), -1)
-    if name == "items":
+    if name in ("items", "wide"):
         out = np.empty(len(c), object)
         out[:] = np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])
         return out
@@ -293,9 +293,9 @@ def _first_met(bands: np.ndarray, bucket: int, i: np.ndarray, j: np.ndarray) ->
     return bands[i, (bands[i] == bands[j]).argmax(axis=1)] == bucket
 
 
-def _tiled(left: DataFrame, tile: int) -> DataFrame:
-    """(tile, side, bucket, node, part) of left (bucket, node, part, m, load): a bucket's rows cut into pieces of bounded size, each row once for every pair of pieces that its own is in."""
-    pieces = F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("load") / _LOAD))
+def _tiled(left: DataFrame, tile: int, most: int = _LOAD) -> DataFrame:
+    """(tile, side, bucket, node, part) of left (bucket, node, part, m, load): a bucket's rows cut into pieces of bounded size, of about `most` shingles, each row once for every pair of pieces that its own is in."""
+    pieces = F.greatest(F.ceil(F.col("m") / tile), F.ceil(F.col("load") / most))
     dealt = left.withColumn("i", F.pmod(F.xxhash64("node"), pieces)).withColumn("o", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return dealt.select(F.xxhash64("bucket", F.least("i", "o"), F.greatest("i", "o")).alias("tile"), (F.col("i") > F.col("o")).cast("int").alias("side"), "bucket", "node", "part")
 

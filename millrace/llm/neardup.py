@@ -12,10 +12,12 @@ still hold several components are compared exactly in tiles of bounded size: fin
 and bit counts, blocks whose population counts differ beyond the radius being skipped, then marks,
 of 2,048 bits each. A mark has the parity of how many elements fall on each bit, so that two marks never
 differ in more bits than their sets differ in elements: what they put out of reach is no link, and
-nothing is left to chance. Texts that merely share a template end here and leave no pair.
+nothing is left to chance. Sets of more than 1,024 elements would fill such a mark; they have a wide one besides, of two
+to four bits an element, and of two wide marks the longer is folded to the other's length. Texts that merely share a template
+end here and leave no pair.
 
 Of its likely pairs a tile sends a spanning forest only. What that doesn't join is confirmed
-inside the tile, to which the sets of nodes in likely pairs are sent. All links are confirmed on whole
+inside tiles of those nodes only that are in likely pairs, cut anew by the size of their sets, which are sent there. All links are confirmed on whole
 sets, made again from one text of each node that needs it. A pair of similarity 0.8 differs
 in 9.7 of 64 bits on average with a deviation of 2.9, so that fewer than one in 10^7 lies beyond
 the radius of 26, six deviations off.
@@ -39,6 +41,8 @@ from millrace.llm.shingles import mixed, shingles
 
 #: Bits of a mark.
 MARK = 2048
+#: Shingles in a piece of a bucket that is compared by marks, at most about so many; a wide mark has half a byte of each at most.
+_MARKED = 1 << 25
 
 
 def set_fingerprint(items: np.ndarray, words: int = 1) -> list[int]:
@@ -52,10 +56,38 @@ def set_fingerprint(items: np.ndarray, words: int = 1) -> list[int]:
     return np.packbits(ones * 2 > len(items), bitorder="little").view(np.int64).tolist()
 
 
-def mark(items: np.ndarray) -> np.ndarray:
+def mark(items: np.ndarray, bits: int = MARK) -> np.ndarray:
     """A bit is 1 if an odd number of elements falls on it; an element differing flips one bit at most."""
-    at = (items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % MARK
-    return np.packbits(np.bincount(at, minlength=MARK) & 1, bitorder="little")
+    at = (items.view(np.uint64) >> np.uint64(40)).astype(np.int64) % bits
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little")
+
+
+def wide_mark(items: np.ndarray) -> np.ndarray:
+    """The mark of a large set, at two bits an element or more, in 64-bit words; empty for sets to which `mark` gives as much."""
+    if 2 * len(items) <= MARK:
+        return np.empty(0, np.int64)
+    return mark(items, min(1 << 24, 1 << (2 * len(items) - 1).bit_length())).view(np.int64)
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """The wide mark that the set would have at so many words."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _wide_apart(wide: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many bits the wide marks of the pairs (i, j) differ; 0 where one has none."""
+    size, out = np.fromiter(map(len, wide), np.int64, len(wide)), np.zeros(len(i), np.int64)
+    words = np.minimum(size[i], size[j])
+    for w in np.unique(words[words > 0]).tolist():
+        at = np.flatnonzero(words == w)
+        rows, place = np.unique(np.r_[i[at], j[at]], return_inverse=True)
+        held = np.stack([_folded(wide[r], w) for r in rows.tolist()]).view(np.uint64)
+        x, y, step = place[: len(at)], place[len(at) :], max(1, (1 << 20) // w)
+        for lo in range(0, len(at), step):
+            out[at[lo : lo + step]] = np.bitwise_count(held[x[lo : lo + step]] ^ held[y[lo : lo + step]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def reach(least: float, bits: int = 64) -> int:
@@ -87,16 +119,16 @@ def _counts(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """(doc_id, text_key, key, n, fp, mark, first) of each row: its set's size, fingerprint, mark and the elements through which it meets sets like it.
+    """(doc_id, text_key, key, n, fp, mark, wide, first) of each row: its set's size, fingerprint, marks and the elements through which it meets sets like it.
 
-    Of equal sets in a task one has the last three; an empty set has no key.
+    Of equal sets in a task one has the last four; an empty set has no key.
     """
     sent, slots = docs.sparkSession.sparkContext.broadcast(counts), len(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in bayes._batches(batches):
-            keys, n, fps, marks, first = [], [], [], [], []
+            keys, n, fps, marks, wide, first = [], [], [], [], [], []
             for t in b.column(1):
                 x = shingles(t.as_py(), width)
                 key = xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None
@@ -105,6 +137,7 @@ def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, perce
                 if key is None or key in seen:
                     fps.append(None)
                     marks.append(None)
+                    wide.append(None)
                     first.append(None)
                     continue
                 if len(seen) >= 500_000:
@@ -112,17 +145,18 @@ def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, perce
                 seen.add(key)
                 fps.append(set_fingerprint(x)[0])
                 marks.append(mark(x).tobytes())
+                wide.append(wide_mark(x))
                 need = -(-len(x) * percent // 100)
                 first.append(x[np.lexsort((x, sent.value[x & (slots - 1)]))[: len(x) - need + 1]])
-            cols = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(marks, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "key", "n", "fp", "mark", "first"])
+            cols = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(marks, pa.binary()), pa.array(wide, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "key", "n", "fp", "mark", "wide", "first"])
 
-    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, key binary, n long, fp long, mark binary, first array<long>")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, key binary, n long, fp long, mark binary, wide array<long>, first array<long>")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """(node, key, n, text_key, fp, mark, bands): one row per different set."""
-    first = rows.where("mark is not null").groupBy("key").agg(F.min_by(F.struct("n", "text_key", "fp", "mark", F.col("first").alias("bands")), "text_key").alias("x"))
+    """(node, key, n, text_key, fp, mark, wide, bands): one row per different set."""
+    first = rows.where("mark is not null").groupBy("key").agg(F.min_by(F.struct("n", "text_key", "fp", "mark", "wide", F.col("first").alias("bands")), "text_key").alias("x"))
     return first.select(F.monotonically_increasing_id().alias("node"), "key", "x.*")
 
 
@@ -145,8 +179,8 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int, radius: int) -> Da
     return stored(both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "mark_a", "mark_b").mapInArrow(run, "a long, b long"), "near-likely")
 
 
-def compared(side: np.ndarray, n: np.ndarray, part: np.ndarray, fp: np.ndarray, marks: np.ndarray, percent: int, radius: int, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, weight) of likely pairs of different parts in a tile: of its two sides, or within its only one. Pairs that differ least weigh most."""
+def compared(side: np.ndarray, n: np.ndarray, part: np.ndarray, fp: np.ndarray, marks: np.ndarray, percent: int, radius: int, block: int = 512, wide: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, weight) of likely pairs of different parts in a tile: of its two sides, or within its only one. Pairs that differ least weigh most. wide: the sets' wide marks."""
     fp, marks = fp.view(np.uint64), np.ascontiguousarray(marks).view(np.uint64)
     bits = np.bitwise_count(fp).astype(np.int64)
     order = np.lexsort((bits, side))
@@ -168,32 +202,51 @@ def compared(side: np.ndarray, n: np.ndarray, part: np.ndarray, fp: np.ndarray,
                 i, j = xs[a[lo : lo + (1 << 15)]], ys[b[lo : lo + (1 << 15)]]
                 apart = np.bitwise_count(marks[i] ^ marks[j]).sum(axis=1, dtype=np.int64)
                 on = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
-                if on.any():
-                    yield i[on], j[on], -apart[on]
+                i, j, apart = i[on], j[on], apart[on]
+                if wide is not None and len(i):
+                    apart = np.maximum(apart, _wide_apart(wide, i, j))
+                    on = (100 + percent) * apart <= (100 - percent) * (n[i] + n[j])
+                    i, j, apart = i[on], j[on], apart[on]
+                if len(i):
+                    yield i, j, -apart
 
 
 def _forests(dealt: DataFrame, nodes: DataFrame, near: Callable) -> DataFrame:
     """(a, b): of each tile likely pairs that, if all are links, join what all of its likely pairs would."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, side, _, node, part, n, fp, marks in bayes._whole_tiles(batches):
-            for i, j, _ in bayes._spanning(part, near(side, n, part, fp, marks)):
+        for _, side, _, node, part, n, fp, marks, wide in bayes._whole_tiles(batches):
+            for i, j, _ in bayes._spanning(part, near(side, n, part, fp, marks, wide)):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
-    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark")).mapInArrow(run, "a long, b long").distinct()
+    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark", "wide")).mapInArrow(run, "a long, b long").distinct()
 
 
 def _suspects(dealt: DataFrame, nodes: DataFrame, near: Callable) -> DataFrame:
-    """The rows of tiles that are in any likely pair there."""
+    """(bucket, node, part) of tiles' rows that are in any likely pair there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile, side, bucket, node, part, n, fp, marks in bayes._whole_tiles(batches):
+        for _, side, bucket, node, part, n, fp, marks, wide in bayes._whole_tiles(batches):
             seen = np.zeros(len(node), bool)
-            for i, j, _ in near(side, n, part, fp, marks):
+            for i, j, _ in near(side, n, part, fp, marks, wide):
                 seen[i] = seen[j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (tile, side, bucket, node, part)], ["tile", "side", "bucket", "node", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (bucket, node, part)], ["bucket", "node", "part"])
+
+    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark", "wide")).mapInArrow(run, "bucket long, node long, part long").distinct()
+
+
+def _classed(rows: DataFrame) -> DataFrame:
+    """(bucket) of buckets that hold several parts, one of those with the same nodes."""
+    of = rows.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    return of.where("p <> q").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
+
 
-    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark")).mapInArrow(run, "tile long, side int, bucket long, node long, part long")
+def _cut_anew(suspects: DataFrame, nodes: DataFrame, tile: int) -> DataFrame:
+    """The stored suspects in tiles by their own number and the size of their sets; of buckets with the same suspects one is left."""
+    crowded, salt = bayes.hot_keys(suspects, "bucket"), F.xxhash64("node")
+    sized = stored(bayes.spread_join(suspects, _classed(suspects), "bucket", crowded, salt).join(nodes.select("node", "n"), "node"), "near-sized")
+    per = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("load"))
+    return bayes._tiled(bayes.spread_join(sized.drop("n"), per, "bucket", crowded, salt), tile)
 
 
 def _links_in_tiles(suspects: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, near: Callable) -> DataFrame:
@@ -202,7 +255,9 @@ def _links_in_tiles(suspects: DataFrame, nodes: DataFrame, sets: DataFrame, perc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, side, _, node, part, n, fp, items, marks in bayes._whole_tiles(batches):
             label, a, b = np.unique(part, return_inverse=True)[1], [], []
-            for i, j, w in near(side, n, part, fp, marks):
+            wide = np.empty(len(items), object)
+            wide[:] = [wide_mark(x) for x in items]
+            for i, j, w in near(side, n, part, fp, marks, wide):
                 for k in np.argsort(-w, kind="stable").tolist():
                     x, y = i[k], j[k]
                     if label[x] == label[y]:
@@ -222,7 +277,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """(doc_id, text_key, group) of each row of docs: rows of one group are joined by links of at least this similarity, in whole percents. Texts without words are one group."""
     percent = round(100 * least)
     radius = reach(percent / 100)
-    near = lambda side, n, part, fp, marks: compared(side, n, part, fp, marks, percent, radius)
+    near = lambda side, n, part, fp, marks, wide: compared(side, n, part, fp, marks, percent, radius, wide=wide)
     rows = stored(_rows(docs, _counts(docs, text_col, width), id_col, text_col, percent, width), "near-rows")
     nodes = stored(_nodes(rows), "near-nodes")
     met = bayes._met(nodes)
@@ -239,9 +294,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         """Buckets that hold several components, one of those with the same nodes, in tiles. A bucket of up to three nodes has met all its pairs."""
         part = met.where("m > 3").select("bucket", "node", "m", "load").join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
         part = stored(part, "near-parts")
-        several = part.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
-        several = several.where("p <> q").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
-        return bayes._tiled(bayes.spread_join(part, several, "bucket", crowded, F.xxhash64("node")), tile)
+        return bayes._tiled(bayes.spread_join(part, _classed(part), "bucket", crowded, F.xxhash64("node")), tile, _MARKED)
 
     more = stored(_forests(open_tiles(), nodes, near).join(tried, ["a", "b"], "left_anti"), "near-more")
     for pairs in (True, False):
@@ -250,7 +303,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
         new = stored(needs.join(known, "node", "left_anti"), "near-wanted")
         if not new.isEmpty():
             sets, known = sets.unionByName(bayes._sets(docs, text_col, rows, new, width)), known.unionByName(new)
-        found = bayes._confirmed(more, sets, percent) if pairs else stored(_links_in_tiles(rest, nodes, sets, percent, near), "near-links")
+        found = bayes._confirmed(more, sets, percent) if pairs else stored(_links_in_tiles(_cut_anew(rest, nodes, tile), nodes, sets, percent, near), "near-links")
         links = links.unionByName(found)
     named = nodes.select("key", "node").join(components(links), "node", "left").select("key", F.coalesce("root", "node").alias("group"))
     filled = rows.where("key is not null").select("doc_id", "text_key", "key")
@@ -265,6 +318,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
     kept = groups(docs, id_col, text_col, least, width).groupBy("group").agg(first).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (F.xxhash64(docs[text_col]) == F.col("__kept_key"))
-    rows = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
-    return rows.withColumn("__key", F.xxhash64(text_col)).dropDuplicates([id_col, "__key"]).drop("__key")
+    named = lambda d, i, key: d.withColumns({"__none": i.isNull(), "__id": F.coalesce(i.cast("long"), F.lit(0)), "__key": key})
+    wanted = named(kept, F.col("__kept_id"), F.col("__kept_key")).select("__none", "__id", "__key")
+    rows = named(docs, F.col(id_col).cast("long"), F.xxhash64(text_col)).join(wanted.hint("shuffle_hash"), ["__none", "__id", "__key"], "left_semi")
+    return rows.dropDuplicates(["__none", "__id", "__key"]).drop("__none", "__id", "__key")

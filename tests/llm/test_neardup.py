@@ -95,6 +95,35 @@ def test_texts_that_share_a_template_leave_no_pairs(spark, monkeypatch):
     assert [df.count() for df in sent] == [0, 0, 0]
 
 
+def test_large_sets_that_share_a_template_are_told_apart_by_wide_marks(spark, monkeypatch):
+    """Sets of 6,000 fill a mark of 2,048 bits, so that all of them went on with their whole sets; wide marks put them out of reach. Links are still found."""
+    sent = {}
+    for name in ("_forests", "_suspects"):
+        whole = getattr(neardup, name)
+        monkeypatch.setattr(neardup, name, lambda *a, whole=whole, name=name: sent.setdefault(name, whole(*a)))
+    words = [f"t{i}" for i in range(4900)]
+    data = [(k, " ".join([*words, *(f"o{k}_{i}" for i in range(1100))])) for k in range(24)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == list(range(24))
+    assert {name: df.count() for name, df in sent.items()} == {"_forests": 0, "_suspects": 0}
+    data += [(100 + k, t.replace("t2000 ", f"n{k} ")) for k, t in data[:12]]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == list(range(24))
+
+
+def test_wide_marks_fold_to_each_other():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(-(1 << 63), 1 << 63, n)) for n in (5, 1024, 1025, 1500, 4000, 4100, 9000)]
+    sets += [np.unique(np.r_[s[: len(s) * 9 // 10], rng.integers(-(1 << 63), 1 << 63, len(s) // 5)]) for s in sets]
+    wide = np.empty(len(sets), object)
+    wide[:] = [neardup.wide_mark(s) for s in sets]
+    i, j = np.triu_indices(len(sets))
+    apart = neardup._wide_apart(wide, i, j)
+    for x, y, d in zip(i, j, apart):
+        assert d <= len(np.setxor1d(sets[x], sets[y]))
+        assert d > 0 or x == y or min(len(sets[x]), len(sets[y])) <= 1024
+
+
 def test_templated_texts_with_copies(spark):
     """Links across a crowd that shares a template, over several tiles."""
     data = templated(120, 30, 3)
