@@ -85,3 +85,27 @@ def test_one_frequent_element_makes_no_candidates(spark, tmp_path):
     finally:
         sets.durable = cut
     assert links <= rows[0] < 15 * links
+
+
+def test_what_is_kept_on_the_way_is_compressed(spark):
+    """20,000 sets of four: checkpoints of their rows and classes took more than 5 MB."""
+    import os
+
+    from millrace.operators.durable import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    rng = random.Random(4)
+    table = spark.createDataFrame([(o, rng.randrange(30_000)) for o in range(20_000) for _ in range(4)], "o long, e long")
+    before = size()
+    classes = sets.set_classes(table, "o", "e")
+    assert classes.owners.count() == 20_000 and 0 < size() - before < 2_500_000
+
+
+def test_crowded_keys(spark):
+    from millrace.operators.durable import crowded_keys
+
+    rows = spark.range(3000).selectExpr("if(id < 500, -1, if(id < 560, null, id)) as k")
+    assert {(r.k, r["__n"]) for r in crowded_keys(rows, ["k"], 40, 16).collect()} == {(-1, 500)}  # the limit is twice the mean of 188 rows a slot
+    assert {(r.k, r["__n"]) for r in crowded_keys(rows, ["k"], 40, 1 << 14).collect()} == {(-1, 500), (None, 60)}
+    assert crowded_keys(rows, ["k"], 600).isEmpty() and crowded_keys(rows.limit(0), ["k"], 1).isEmpty()
