@@ -88,7 +88,7 @@ def test_one_frequent_element_makes_no_candidates(spark, tmp_path):
 
 
 def test_what_is_kept_on_the_way_is_compressed(spark):
-    """20,000 sets of four: checkpoints of their rows and classes took more than 5 MB."""
+    """20,000 sets of four: checkpoints of their rows and classes took 3.5 MB."""
     import os
 
     from millrace.operators.durable import shared_dir
