@@ -200,8 +200,8 @@ def _sets(docs: DataFrame, text_col: str, rows: DataFrame, wanted: DataFrame, wi
     else:
         texts = spread_join(texts, few, "text_key", hot_keys(rows, "text_key"), F.monotonically_increasing_id(), "left_semi")
     made = texts.select("text", "text_key").mapInArrow(run, "text_key long, key binary, items array<long>")
-    held = made.join(wanted, ["text_key", "key"]).groupBy("node").agg(F.first("items").alias("items"))
-    return stored(held, "bayes-sets")
+    held = made.groupBy("text_key", "key").agg(F.first("items").alias("items")).join(wanted.hint("shuffle_merge"), ["text_key", "key"])  # both by the same keys, so sets are shuffled once
+    return stored(held.select("node", "items"), "bayes-sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

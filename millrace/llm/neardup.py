@@ -16,8 +16,8 @@ nothing is left to chance. Sets of more than 1,024 elements would fill such a ma
 to four bits an element, and of two wide marks the longer is folded to the other's length. Texts that merely share a template
 end here and leave no pair.
 
-Of its likely pairs a tile sends a spanning forest only. What that doesn't join is confirmed
-inside tiles of those nodes only that are in likely pairs, cut anew by the size of their sets, which are sent there. All links are confirmed on whole
+Of its likely pairs a tile sends a spanning forest only, and the nodes that are in any. What the forests don't join is confirmed
+inside tiles of those nodes only that are in likely pairs still, cut anew by the size of their sets, which are sent there. All links are confirmed on whole
 sets, made again from one text of each node that needs it. A pair of similarity 0.8 differs
 in 9.7 of 64 bits on average with a deviation of 2.9, so that fewer than one in 10^7 lies beyond
 the radius of 26, six deviations off.
@@ -31,12 +31,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import bayes_minhash as bayes
 from millrace.llm.components import components
-from millrace.llm.shared import stored
+from millrace.llm.shared import bitmap, in_bitmap, stored
 from millrace.llm.shingles import mixed, shingles
 
 #: Bits of a mark.
@@ -118,17 +118,18 @@ def _counts(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return out
 
 
-def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, percent: int, width: int) -> DataFrame:
-    """(doc_id, text_key, key, n, fp, mark, wide, first) of each row: its set's size, fingerprint, marks and the elements through which it meets sets like it.
+def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, percent: int, width: int, common: int = 10_000) -> DataFrame:
+    """(doc_id, text_key, key, n, fp, mark, wide, first, common) of each row: its set's size, fingerprint, marks and the elements through which it meets sets like it.
 
-    Of equal sets in a task one has the last four; an empty set has no key.
+    Of equal sets in a task one has the last five; an empty set has no key. Elements of `first` occur `common` times at most,
+    or eight times as often as the mean slot's; those that may occur more often stand apart.
     """
-    sent, slots = docs.sparkSession.sparkContext.broadcast(counts), len(counts)
+    sent, slots, most = docs.sparkSession.sparkContext.broadcast(counts), len(counts), max(common, 8 * int(counts.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in bayes._batches(batches):
-            keys, n, fps, marks, wide, first = [], [], [], [], [], []
+            keys, n, fps, marks, wide, first, often = [], [], [], [], [], [], []
             for t in b.column(1):
                 x = shingles(t.as_py(), width)
                 key = xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None
@@ -139,6 +140,7 @@ def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, perce
                     marks.append(None)
                     wide.append(None)
                     first.append(None)
+                    often.append(None)
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
@@ -147,19 +149,37 @@ def _rows(docs: DataFrame, counts: np.ndarray, id_col: str, text_col: str, perce
                 marks.append(mark(x).tobytes())
                 wide.append(wide_mark(x))
                 need = -(-len(x) * percent // 100)
-                first.append(x[np.lexsort((x, sent.value[x & (slots - 1)]))[: len(x) - need + 1]])
-            cols = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(marks, pa.binary()), pa.array(wide, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "key", "n", "fp", "mark", "wide", "first"])
+                count = sent.value[x & (slots - 1)]
+                on = np.lexsort((x, count))[: len(x) - need + 1]
+                first.append(x[on[count[on] <= most]])
+                often.append(x[on[count[on] > most]])
+            cols = [b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(marks, pa.binary()), pa.array(wide, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_key", "key", "n", "fp", "mark", "wide", "first", "common"])
 
-    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, key binary, n long, fp long, mark binary, wide array<long>, first array<long>")
+    return _source(docs, id_col, text_col).mapInArrow(run, "doc_id long, text_key long, key binary, n long, fp long, mark binary, wide array<long>, first array<long>, common array<long>")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
-    """(node, key, n, text_key, fp, mark, wide, bands): one row per different set."""
-    first = rows.where("mark is not null").groupBy("key").agg(F.min_by(F.struct("n", "text_key", "fp", "mark", "wide", F.col("first").alias("bands")), "text_key").alias("x"))
+    """(node, key, n, text_key, fp, mark, wide, bands, common): one row per different set."""
+    first = rows.where("mark is not null").groupBy("key").agg(F.min_by(F.struct("n", "text_key", "fp", "mark", "wide", F.col("first").alias("bands"), "common"), "text_key").alias("x"))
     return first.select(F.monotonically_increasing_id().alias("node"), "key", "x.*")
 
 
+def _met(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, m, load, lo, hi) of nodes that aren't alone in a bucket, as bayes._met gives them: in one shuffle, but for common elements, which may crowd a bucket."""
+    of = Window.partitionBy("bucket")
+    dealt = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    met = dealt.select("bucket", "node", F.count("*").over(of).alias("m"), F.sum("n").over(of).alias("load"), F.min("node").over(of).alias("lo"), F.max("node").over(of).alias("hi"))
+    common = bayes._met(nodes.where(F.size("common") > 0).select("node", "n", F.col("common").alias("bands")))
+    return stored(met.where("m > 1").unionByName(common), "near-met")
+
+
+def _only(right: DataFrame, rows: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """right without nodes that stored rows don't have, so that these aren't shuffled to the join; right itself if those are too many to be sent."""
+    few = rows.select("node").distinct()
+    return right.join(F.broadcast(few), "node", "left_semi") if few.count() * 16 <= max_bytes else right
+
+
 def _within(n: Column, apart: Column, percent: int) -> Column:
     """Sets of n elements together that differ in `apart` of them are so similar."""
     return (100 + percent) * apart <= (100 - percent) * n
@@ -212,14 +232,24 @@ def compared(side: np.ndarray, n: np.ndarray, part: np.ndarray, fp: np.ndarray,
 
 
 def _forests(dealt: DataFrame, nodes: DataFrame, near: Callable) -> DataFrame:
-    """(a, b): of each tile likely pairs that, if all are links, join what all of its likely pairs would."""
+    """(a, b, bucket, node): of each tile likely pairs (a, b) that, if all are links, join what all of its likely pairs would, and its nodes that are in any likely pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, side, _, node, part, n, fp, marks, wide in bayes._whole_tiles(batches):
-            for i, j, _ in bayes._spanning(part, near(side, n, part, fp, marks, wide)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
+        for _, side, bucket, node, part, n, fp, marks, wide in bayes._whole_tiles(batches):
+            seen = np.zeros(len(node), bool)
+
+            def found() -> Iterator[tuple[np.ndarray, ...]]:
+                for i, j, w in near(side, n, part, fp, marks, wide):
+                    seen[i] = seen[j] = True
+                    yield i, j, w
+
+            for i, j, _ in bayes._spanning(part, found()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.nulls(len(i), pa.int64()), pa.nulls(len(i), pa.int64())], names)
+            size = int(seen.sum())
+            yield pa.RecordBatch.from_arrays([pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(bucket[seen]), pa.array(node[seen])], names)
 
-    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark", "wide")).mapInArrow(run, "a long, b long").distinct()
+    names = ["a", "b", "bucket", "node"]
+    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark", "wide")).mapInArrow(run, "a long, b long, bucket long, node long").distinct()
 
 
 def _suspects(dealt: DataFrame, nodes: DataFrame, near: Callable) -> DataFrame:
@@ -232,7 +262,7 @@ def _suspects(dealt: DataFrame, nodes: DataFrame, near: Callable) -> DataFrame:
                 seen[i] = seen[j] = True
             yield pa.RecordBatch.from_arrays([pa.array(c[seen]) for c in (bucket, node, part)], ["bucket", "node", "part"])
 
-    return bayes._in_tiles(dealt, nodes.select("node", "n", "fp", "mark", "wide")).mapInArrow(run, "bucket long, node long, part long").distinct()
+    return bayes._in_tiles(dealt, _only(nodes, dealt).select("node", "n", "fp", "mark", "wide")).mapInArrow(run, "bucket long, node long, part long").distinct()
 
 
 def _classed(rows: DataFrame) -> DataFrame:
@@ -241,12 +271,18 @@ def _classed(rows: DataFrame) -> DataFrame:
     return of.where("p <> q").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket")
 
 
+def _sized(rows: DataFrame, nodes: DataFrame, crowded: DataFrame) -> DataFrame:
+    """Rows with their bucket's number of rows m and of shingles, load."""
+    sized = stored(rows.join(_only(nodes, rows).select("node", "n"), "node"), "near-sized")
+    per = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("load"))
+    return bayes.spread_join(sized.drop("n"), per, "bucket", crowded, F.xxhash64("node"))
+
+
 def _cut_anew(suspects: DataFrame, nodes: DataFrame, tile: int) -> DataFrame:
     """The stored suspects in tiles by their own number and the size of their sets; of buckets with the same suspects one is left."""
-    crowded, salt = bayes.hot_keys(suspects, "bucket"), F.xxhash64("node")
-    sized = stored(bayes.spread_join(suspects, _classed(suspects), "bucket", crowded, salt).join(nodes.select("node", "n"), "node"), "near-sized")
-    per = sized.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("load"))
-    return bayes._tiled(bayes.spread_join(sized.drop("n"), per, "bucket", crowded, salt), tile)
+    crowded = bayes.hot_keys(suspects, "bucket")
+    left = stored(bayes.spread_join(suspects, _classed(suspects), "bucket", crowded, F.xxhash64("node")), "near-left")
+    return bayes._tiled(_sized(left, nodes, crowded), tile)
 
 
 def _links_in_tiles(suspects: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, near: Callable) -> DataFrame:
@@ -269,7 +305,7 @@ def _links_in_tiles(suspects: DataFrame, nodes: DataFrame, sets: DataFrame, perc
                         b.append(max(node[x], node[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    more = nodes.select("node", "n", "fp", "mark").join(sets, "node").select("node", "n", "fp", "items", "mark")
+    more = _only(nodes, suspects).select("node", "n", "fp", "mark").join(_only(sets, suspects), "node").select("node", "n", "fp", "items", "mark")
     return bayes._in_tiles(suspects, more).mapInArrow(run, "a long, b long").distinct()
 
 
@@ -280,7 +316,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     near = lambda side, n, part, fp, marks, wide: compared(side, n, part, fp, marks, percent, radius, wide=wide)
     rows = stored(_rows(docs, _counts(docs, text_col, width), id_col, text_col, percent, width), "near-rows")
     nodes = stored(_nodes(rows), "near-nodes")
-    met = bayes._met(nodes)
+    met = _met(nodes)
     to = lambda c: met.select(F.least(c, "node").alias("a"), F.greatest(c, "node").alias("b"))
     tried = stored(to("lo").union(to("hi")).where("a <> b").distinct(), "near-tried")
     likely = _likely(tried, nodes, percent, radius)
@@ -288,23 +324,29 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     known = stored(wanted(likely), "near-wanted")
     sets = bayes._sets(docs, text_col, rows, known, width)
     links = bayes._confirmed(likely, sets, percent)
-    crowded = bayes.hot_keys(met.where("m > 3"), "bucket")
-
-    def open_tiles() -> DataFrame:
-        """Buckets that hold several components, one of those with the same nodes, in tiles. A bucket of up to three nodes has met all its pairs."""
-        part = met.where("m > 3").select("bucket", "node", "m", "load").join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-        part = stored(part, "near-parts")
-        return bayes._tiled(bayes.spread_join(part, _classed(part), "bucket", crowded, F.xxhash64("node")), tile, _MARKED)
-
-    more = stored(_forests(open_tiles(), nodes, near).join(tried, ["a", "b"], "left_anti"), "near-more")
-    for pairs in (True, False):
-        rest = None if pairs else stored(_suspects(open_tiles(), nodes, near), "near-suspects")
-        needs = wanted(more) if pairs else nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "key", "text_key")
+    parts = lambda rows: stored(rows.join(components(links), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root"), "near-parts")
+
+    def open_tiles(part: DataFrame) -> DataFrame:
+        """Buckets that hold several components, one of those with the same nodes, in tiles."""
+        return bayes._tiled(bayes.spread_join(part, _classed(part), "bucket", bayes.hot_keys(part, "bucket"), F.xxhash64("node")), tile, _MARKED)
+
+    def with_sets(needs: DataFrame) -> None:
+        nonlocal sets, known
         new = stored(needs.join(known, "node", "left_anti"), "near-wanted")
         if not new.isEmpty():
             sets, known = sets.unionByName(bayes._sets(docs, text_col, rows, new, width)), known.unionByName(new)
-        found = bayes._confirmed(more, sets, percent) if pairs else stored(_links_in_tiles(_cut_anew(rest, nodes, tile), nodes, sets, percent, near), "near-links")
-        links = links.unionByName(found)
+
+    # A bucket of up to three nodes has met all its pairs.
+    found = stored(_forests(open_tiles(parts(met.where("m > 3").select("bucket", "node", "m", "load"))), nodes, near), "near-found")
+    more = stored(found.where("a is not null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-more")
+    with_sets(wanted(more))
+    ends = more.select(F.col("a").alias("node")).union(more.select("b"))
+    links = links.unionByName(bayes._confirmed(more, _only(sets, ends), percent))
+    # Parts only grow, so what is in a likely pair of two parts now was in one before.
+    met = found.where("node is not null").select("bucket", "node")
+    rest = stored(_suspects(open_tiles(parts(_sized(met, nodes, bayes.hot_keys(met, "bucket")))), nodes, near), "near-suspects")
+    with_sets(nodes.join(rest.select("node").distinct(), "node", "left_semi").select("node", "key", "text_key"))
+    links = links.unionByName(stored(_links_in_tiles(stored(_cut_anew(rest, nodes, tile), "near-dealt"), nodes, sets, percent, near), "near-links"))
     named = nodes.select("key", "node").join(components(links), "node", "left").select("key", F.coalesce("root", "node").alias("group"))
     filled = rows.where("key is not null").select("doc_id", "text_key", "key")
     out = bayes.spread_join(filled, named, "key", bayes.hot_keys(filled, "key"), F.monotonically_increasing_id())
@@ -315,10 +357,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """Docs with one row of each group: that of the smallest id (rows without an id last), all columns kept.
 
     Null and empty texts are one group; repeated rows are one. An empty table stays empty.
+    Rows that miss a bitmap of those that go or are repeated stay where they are; only the others are shuffled with their texts.
     """
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
-    kept = groups(docs, id_col, text_col, least, width).groupBy("group").agg(first).select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key"))
+    names = ["__none", "__id", "__key"]
     named = lambda d, i, key: d.withColumns({"__none": i.isNull(), "__id": F.coalesce(i.cast("long"), F.lit(0)), "__key": key})
-    wanted = named(kept, F.col("__kept_id"), F.col("__kept_key")).select("__none", "__id", "__key")
-    rows = named(docs, F.col(id_col).cast("long"), F.xxhash64(text_col)).join(wanted.hint("shuffle_hash"), ["__none", "__id", "__key"], "left_semi")
-    return rows.dropDuplicates(["__none", "__id", "__key"]).drop("__none", "__id", "__key")
+    grouped = stored(named(groups(docs, id_col, text_col, least, width), F.col("doc_id"), F.col("text_key")).select("group", *names), "near-groups")
+    kept = stored(grouped.groupBy("group").agg(F.min(F.struct(*names)).alias("first")).select("first.*"), "near-kept")
+    held = grouped.groupBy(*names).agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), names, "left")
+    unsure = stored(held.where("n > 1 or stays is null").select(F.xxhash64(*names).alias("hash")), "near-unsure")
+    longs, bits = bitmap(unsure)
+    rows = named(docs, F.col(id_col).cast("long"), F.xxhash64(text_col))
+    hit = in_bitmap(bits, longs, F.xxhash64(*names))
+    single = rows.where(hit).join(kept.hint("shuffle_hash"), names, "left_semi").dropDuplicates(names)
+    return rows.where(~hit).unionByName(single).drop(*names)

@@ -114,6 +114,17 @@ def _bitmap(part: DataFrame, longs: int) -> Column:
     return F.split(F.lit(",".join(map(str, cells))), ",").cast("array<bigint>")
 
 
+def bitmap(table: DataFrame) -> tuple[int, Column]:
+    """Of the hashes of a stored table (hash): longs and the bitmap, for in_bitmap."""
+    longs = bitmap_longs(table.count())
+    return longs, _bitmap(table, longs)
+
+
+def in_bitmap(bits: Column, longs: int, h: Column) -> Column:
+    """False for hashes that the bitmap's table lacks; true for those it has and, the fuller it is, some others."""
+    return F.getbit(F.element_at(bits, _cell(h, longs) + 1), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _cell(h: Column, longs: int) -> Column:
     return F.shiftrightunsigned(h, 65 - longs.bit_length()).cast("int")
 
@@ -139,7 +150,7 @@ def window_hits(docs: DataFrame, keys: list[Column], text: Column, table: DataFr
 
         def of(n: int, w: Column, h: Column) -> Column:
             hashes = F.transform(starts(w, n), lambda i: gram_hash(h, i, n))
-            may = lambda x, i: F.when(F.getbit(F.element_at(bits[n], _cell(x, sizes[n]) + 1), x.bitwiseAND(F.lit(63)).cast("int")) == 1, i)
+            may = lambda x, i: F.when(in_bitmap(bits[n], sizes[n], x), i)
             passed = F.filter(F.transform(hashes, may), lambda i: i.isNotNull())
             return F.transform(passed, lambda i: F.struct(i.alias("start"), gram_hash(h, i, n).alias("hash"), gram_text(w, i, n).alias("gram")))
 

@@ -166,3 +166,38 @@ def test_shingles_against_plain_words():
             alone = {seen.setdefault(s, neardup.shingles(s.decode(), width)[0]) for s in plain}
             assert sorted(alone) == sorted(neardup.shingles(t, width))
     assert len(set(seen.values())) == len(seen)
+
+
+def test_second_tiles_hold_only_what_was_in_a_likely_pair(spark, monkeypatch):
+    """All tiles were sent twice, and whole texts were shuffled to drop a few of them."""
+    dealt, whole = [], neardup._suspects
+    monkeypatch.setattr(neardup, "_suspects", lambda *a: dealt.append(a[0].count()) or whole(*a))
+    data = templated(120, 44)
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert neardup.keep_one(docs).count() == 120
+    assert dealt == [0]
+
+
+def test_kept_rows_are_not_shuffled(spark):
+    words = [f"w{i}" for i in range(40)]
+    data = [(k, f"k{k} " + " ".join(words[k % 7 :])) for k in range(60)] + [(100 + k, f"k{k} " + " ".join(words[k % 7 :])) for k in range(5)] + [(3, "k3 " + " ".join(words[3:]))]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    got = neardup.keep_one(docs)
+    assert sorted(r.doc_id for r in got.collect()) == plain_kept(data)
+    stay, unsure = got._jdf.queryExecution().optimizedPlan().children().apply(0), got._jdf.queryExecution().optimizedPlan().children().apply(1)
+    assert "Join" not in stay.toString() and "Aggregate" not in stay.toString() and "Join" in unsure.toString()
+
+
+def test_common_elements_meet_as_others_do(spark, monkeypatch):
+    from functools import partial
+
+    rows = [(k, 10 + k, [k % 3, k % 5 + 10, 100 + k // 4], [1000, 1001 + k % 2]) for k in range(40)]
+    nodes = spark.createDataFrame(rows, "node long, n long, bands array<long>, common array<long>")
+    both = neardup.bayes._met(nodes.selectExpr("node", "n", "concat(bands, common) as bands"))
+    cols = ["bucket", "node", "m", "load", "lo", "hi"]
+    assert sorted(map(tuple, neardup._met(nodes).select(cols).collect())) == sorted(map(tuple, both.select(cols).collect()))
+    monkeypatch.setattr(neardup, "_rows", partial(neardup._rows, common=2))
+    data = templated(60, 30, 3)
+    data += [(1000 + d, t.replace("t150 ", f"n{d} ")) for d, t in data[:20]]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r.doc_id for r in neardup.keep_one(docs).collect()) == plain_kept(data)
