@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -65,19 +65,13 @@ def in_regions(points: DataFrame, rings: DataFrame, cell: float, pid: str = "pid
     return salted_join(p, held, ["x", "y"]).select("pid", "x", "y", F.explode("regions").alias("region"))
 
 
-def samples(line: Column, most: int = 24) -> Column:
-    """Every n-th point of a line, n being a `most`-th of its length, and its last point."""
-    step = F.greatest(F.lit(1), F.floor(F.size(line) / most).cast("int"))
-    return F.array_append(F.filter(line, lambda p, i: i % step == 0), F.element_at(line, -1))
-
-
-def regions_of_ways(ways: DataFrame, rings: DataFrame, cell: float, way: str = "way", line: str = "line", most: int = 24) -> DataFrame:
-    """(way, region, held): all regions that hold a sampled point of a way (points lon, lat); where none does, the one whose ring points' mean is nearest to the way's middle point, held being false.
+def regions_of_ways(ways: DataFrame, rings: DataFrame, cell: float, way: str = "way", line: str = "line") -> DataFrame:
+    """(way, region, held): all regions that hold any point of a way (points lon, lat); where none does, the one whose ring points' mean is nearest to the way's middle point, held being false.
 
     rings: (region, ring, position, x, y), x being the longitude. Ways without points have no regions.
     """
     rows = ways.where(F.size(line) > 0).select(F.col(way).alias("way"), F.col(line).alias("line"))
-    points = rows.select("way", F.inline(samples(F.col("line"), most))).select(F.col("way").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
+    points = rows.select("way", F.inline("line")).select(F.col("way").alias("pid"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     held = in_regions(points, rings, cell).select(F.col("pid").alias("way"), "region").distinct()
     middle = F.element_at("line", F.floor(F.size("line") / 2).cast("int") + 1)
     lost = rows.join(held.select("way").distinct(), "way", "left_anti").select("way", middle["lat"].alias("lat"), middle["lon"].alias("lon"))

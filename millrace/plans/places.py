@@ -58,8 +58,7 @@ def nearest_grid_cell(spark, sf):
 @query(f"""WITH v AS (SELECT s_nationkey AS region, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, count(*) OVER (PARTITION BY s_nationkey) AS n, (s_suppkey * 37 % 101) * 0.5 AS y, s_acctbal / 100 AS x FROM supplier),
 e AS (SELECT a.region, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.region = b.region AND b.pos = (a.pos + 1) % a.n),
 pts AS (SELECT user_id, value / 5 AS x, CAST(props->>'$.k' AS DOUBLE) / 2 AS y, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
-sampled AS (SELECT * FROM pts WHERE i % greatest(1, n // 24) = 0 OR i = n - 1),
-held AS (SELECT DISTINCT user_id, region FROM (SELECT user_id, i, region FROM sampled p JOIN e ON (y1 > p.y) <> (y2 > p.y) AND p.x < x1 + (p.y - y1) / (y2 - y1) * (x2 - x1) GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)),
+held AS (SELECT DISTINCT user_id, region FROM (SELECT user_id, i, region FROM pts p JOIN e ON (y1 > p.y) <> (y2 > p.y) AND p.x < x1 + (p.y - y1) / (y2 - y1) * (x2 - x1) GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1)),
 a AS (SELECT user_id, x AS lon, y AS lat FROM pts WHERE i = n // 2 AND user_id NOT IN (SELECT user_id FROM held)),
 b AS (SELECT region, avg(x) AS lon, avg(y) AS lat FROM v GROUP BY 1)
 SELECT user_id, region, true AS held FROM held UNION ALL SELECT user_id, arg_min(region, (km, region)), false FROM (SELECT user_id, region, {_KM} AS km FROM a, b) GROUP BY 1""")

@@ -1,11 +1,14 @@
+import datetime
 import math
 import random
 
+import duckdb
 import pyarrow as pa
 
 from millrace.operators import regions
 from millrace.operators.durable import salted_join
 from millrace.operators.nearest import _leading, nearest
+from millrace.plans import catalog
 
 
 def km(a, b, c, d):
@@ -113,6 +116,26 @@ def test_ways_and_their_nearest_region(spark):
     assert got == want
 
 
+def test_every_point_of_a_way_counts(spark, tmp_path):
+    """A region that holds one point of a hundred is found, wherever in the way the point is; before, only every fourth was looked at."""
+    away = {"lon": 90.0, "lat": 90.0}
+    ways = [(i, [{"lon": 40.7, "lat": 40.5} if k == i else away for k in range(100)]) for i in range(100)] + [(200, [away] * 100)]
+    df = spark.createDataFrame(ways, "way long, line array<struct<lon:double,lat:double>>")
+    got = {(r.way, r.region, r.held) for r in regions.regions_of_ways(df, table(spark, SHAPES), 2.5).collect()}
+    assert got == {(i, "far", True) for i in range(100)} | {(200, "far", False)}
+
+    corners, sf = [(0, 10.0), (100, 10.0), (60, 10.0), (37, 40.0)], str(tmp_path)
+    spark.createDataFrame([(key, nation, 100.0 * x + nation) for nation in (3, 8) for key, x in corners], "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{sf}/supplier.parquet")
+    events = [(user, user * 1000 + k, datetime.datetime(2024, 1, 1), 75.0 if k == user else 5000.0, '{"k": 30}') for user in range(60) for k in range(60)]
+    spark.createDataFrame(events, "user_id long, event_id long, ts timestamp, value double, props string").write.parquet(f"{sf}/events.parquet")
+    df, con = catalog.queries()["way_regions"](spark, sf), duckdb.connect()
+    for t in ("supplier", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["way_regions"]).fetchall()
+    assert sorted(tuple(r) for r in df.select("user_id", "region", "held").collect()) == sorted(want)
+    assert {user for user, _, held in want if held} == set(range(60))
+
+
 def test_salted_join(spark):
     left = spark.createDataFrame([(i % 2, i) for i in range(60)] + [(5, 1), (None, 2)], "k int, i int")
     right = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (5, "d"), (7, "e")], "k int, v string")
